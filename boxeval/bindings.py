@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boxeval.operators.ordered import running
+
 PAGE_SIDE = 800.0
 # fixed values: three allowed origins and the licence policy
 ALLOWED_ORIGINS = [
@@ -254,3 +256,29 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(80) + F.pmod("l_partkey", F.lit(4)) * 4).cast("double").alias("side"),
         (F.lit(1.0) + F.col("l_quantity") / 50).alias("score"),
     )
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B4: messages of request lifecycles, keyed by user.
+
+    ``latest`` is the newest request of the key at that moment; answers with a
+    high ``k`` speak of the request before it and so arrive late.
+    """
+    kind = (
+        F.when(F.col("event_type") == "signup", F.lit("request"))
+        .when(F.col("event_type") == "view", F.lit("phase"))
+        .when(F.col("event_type") == "purchase", F.lit("result"))
+        .when(F.col("event_type") == "error", F.lit("error"))
+        .otherwise(F.lit("cancel"))
+    )
+    events = runs(spark, sf_dir).select(
+        "event_id", F.col("user_id").alias("key"), "ts", "ms", kind.alias("kind"), F.col("k").cast("bigint").alias("k")
+    )
+    opened = F.when(F.col("kind") == "request", F.lit(1)).otherwise(F.lit(0)).cast("bigint")
+    counted = running(events, ["key"], [F.col("ts"), F.col("event_id")], opened, "latest")
+    about = F.when((F.col("kind") == "request") | (F.col("k") < 50), F.col("latest")).otherwise(
+        F.greatest(F.col("latest") - 1, F.lit(1))
+    )
+    return counted.where(F.col("latest") > 0).select(
+        "event_id", "key", "ts", F.unix_micros("ts").alias("us"), "ms", "latest", about.alias("request_id"), "kind"
+    )

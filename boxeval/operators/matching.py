@@ -16,7 +16,7 @@ from __future__ import annotations
 from functools import reduce
 from math import log
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxeval.functions.geometry import Box, box, iou
@@ -187,12 +187,13 @@ def greedy_match(
     return small.unionByName(rounds)
 
 
-def _members(df: DataFrame, index: str) -> DataFrame:
-    """Boxes with their rank among the copies of the same geometry, from 0."""
-    ranked = row_numbers(df, ["page", *_EDGES], [F.col(index)], "_rank")
-    return ranked.select(
-        "page", F.struct(*_EDGES).alias("cls"), F.col(index).alias("ix"), (F.col("_rank") - 1).alias("rank")
+def _members(df: DataFrame, index: str, copied: DataFrame) -> DataFrame:
+    """Boxes of the copied classes with their rank among the copies, from 0."""
+    inside = df.select("page", F.struct(*_EDGES).alias("cls"), F.col(index).alias("ix")).join(
+        copied, ["page", "cls"], "left_semi"
     )
+    ranked = row_numbers(inside, ["page", "cls"], [F.col("ix")], "rank")
+    return cut(ranked.withColumn("rank", F.col("rank") - 1))
 
 
 def greedy_match_rounds(
@@ -203,94 +204,84 @@ def greedy_match_rounds(
     A round takes every pair of distinct boxes that are each other's best
     remaining choice and matches their copies in index order, as many at once
     as no equally good third box could claim.  Copies leave a class in index
-    order, so a class needs only a cursor.
+    order, so a class needs only a cursor and the index it points at.
     """
-    pm, tm = cut(_members(pred, "p")), cut(_members(truth, "a"))
-    pairs = box_pairs(pred, truth, at_least)
     live = cut(
-        pairs.select(
+        box_pairs(pred, truth, at_least).select(
             "page",
             F.struct(*(F.col("p" + e).alias(e) for e in _EDGES)).alias("pc"),
             F.struct(*(F.col("t" + e).alias(e) for e in _EDGES)).alias("tc"),
             "iou",
-            F.col("n_pred"),
-            F.col("n_truth"),
+            "n_pred",
+            "n_truth",
             F.lit(0).cast("bigint").alias("p_at"),
             F.lit(0).cast("bigint").alias("t_at"),
+            F.col("first_p").alias("p_head"),
+            F.col("first_a").alias("t_head"),
         )
     )
-    runs: list[DataFrame] = []
-    while not live.isEmpty():
-        headed = _with_heads(live, pm, tm)
-        best = (
-            headed.join(headed.groupBy("page", "pc").agg(F.max("iou").alias("p_best")), ["page", "pc"])
-            .join(headed.groupBy("page", "tc").agg(F.max("iou").alias("t_best")), ["page", "tc"])
-        )
-        run = cut(_mutual_runs(best, pm, tm))
-        runs.append(run)
-        live = cut(_advance(live, run))
-    if not runs:
-        return _no_matches(pm, tm)
+    # classes without copies need no member table: their head is the box itself
+    p_copied = live.where(F.col("n_pred") > 1).select("page", F.col("pc").alias("cls"))
+    t_copied = live.where(F.col("n_truth") > 1).select("page", F.col("tc").alias("cls"))
+    pm, tm = _members(pred, "p", p_copied), _members(truth, "a", t_copied)
+    runs = [_mutual_runs(live, pm, tm)]
+    while not runs[-1].isEmpty():
+        live = cut(_advance(live, runs[-1], pm, tm))
+        runs.append(_mutual_runs(live, pm, tm))
     return _expand_runs(reduce(DataFrame.unionByName, runs), pm, tm)
 
 
-def _no_matches(pm: DataFrame, tm: DataFrame) -> DataFrame:
-    a_type = tm.schema["ix"].dataType
-    empty = pm.where(F.lit(False))
-    return empty.select(
-        "page",
-        F.col("ix").alias("p"),
-        F.lit(None).cast(a_type).alias("a"),
-        F.lit(None).cast("double").alias("iou"),
-    )
-
-
-def _with_heads(live: DataFrame, pm: DataFrame, tm: DataFrame) -> DataFrame:
-    """Add the smallest unmatched index of both classes of every pair."""
-    p_head = pm.select("page", F.col("cls").alias("pc"), F.col("rank").alias("p_at"), F.col("ix").alias("p_head"))
-    t_head = tm.select("page", F.col("cls").alias("tc"), F.col("rank").alias("t_at"), F.col("ix").alias("t_head"))
-    return live.join(p_head, ["page", "pc", "p_at"]).join(t_head, ["page", "tc", "t_at"])
-
+def _mutual_runs(live: DataFrame, pm: DataFrame, tm: DataFrame) -> DataFrame:
+    """Runs of matches: classes, start ranks, heads and length.
 
-def _mutual_runs(best: DataFrame, pm: DataFrame, tm: DataFrame) -> DataFrame:
-    """Runs of matches: classes, start ranks and length."""
-    top_p = best.where(F.col("iou") == F.col("p_best"))
-    top_t = best.where(F.col("iou") == F.col("t_best"))
+    The windows hold the partners of one distinct box, whose number depends on
+    pixel resolution and not on the number of rows.
+    """
+    by_p, by_t = Window.partitionBy("page", "pc"), Window.partitionBy("page", "tc")
+    good_p, good_t = F.col("iou") == F.col("p_best"), F.col("iou") == F.col("t_best")
     # among equally good partners the smallest head goes first, and may go on
     # until the next smallest head is due
-    p_next = _two_smallest(top_p, "pc", "t_head", "t_first", "t_stop")
-    t_next = _two_smallest(top_t, "tc", "p_head", "p_first", "p_stop")
-    mutual = (
-        best.where((F.col("iou") == F.col("p_best")) & (F.col("iou") == F.col("t_best")))
-        .join(p_next, ["page", "pc"])
-        .join(t_next, ["page", "tc"])
-        .where((F.col("t_head") == F.col("t_first")) & (F.col("p_head") == F.col("p_first")))
-        .select("page", "pc", "tc", "iou", "p_at", "t_at", "n_pred", "n_truth", "p_stop", "t_stop")
+    t_seen = (
+        live.withColumn("p_best", F.max("iou").over(by_p))
+        .withColumn("t_first", F.min(F.when(good_p, F.col("t_head"))).over(by_p))
+        .withColumn(
+            "t_stop",
+            F.min(F.when(good_p & (F.col("t_head") > F.col("t_first")), F.col("t_head"))).over(by_p),
+        )
     )
-    p_room = _room(mutual, pm, "pc", "p_at", "p_stop", "p_room")
-    t_room = _room(mutual, tm, "tc", "t_at", "t_stop", "t_room")
-    sized = mutual.join(p_room, ["page", "pc"], "left").join(t_room, ["page", "tc"], "left")
-    length = F.least(
-        F.coalesce("p_room", F.col("n_pred") - F.col("p_at")),
-        F.coalesce("t_room", F.col("n_truth") - F.col("t_at")),
+    both_seen = (
+        t_seen.withColumn("t_best", F.max("iou").over(by_t))
+        .withColumn("p_first", F.min(F.when(good_t, F.col("p_head"))).over(by_t))
+        .withColumn(
+            "p_stop",
+            F.min(F.when(good_t & (F.col("p_head") > F.col("p_first")), F.col("p_head"))).over(by_t),
+        )
     )
-    return sized.select("page", "pc", "tc", "iou", "p_at", "t_at", length.alias("k"))
-
-
-def _two_smallest(df: DataFrame, cls: str, head: str, first: str, second: str) -> DataFrame:
-    least = df.groupBy("page", cls).agg(F.min(head).alias(first))
-    later = F.when(F.col(head) > F.col(first), F.col(head))
-    return (
-        df.join(least, ["page", cls])
-        .groupBy("page", cls, first)
-        .agg(F.min(later).alias(second))
+    heads = (F.col("t_head") == F.col("t_first")) & (F.col("p_head") == F.col("p_first"))
+    room = F.least(F.col("n_pred") - F.col("p_at"), F.col("n_truth") - F.col("t_at"))
+    mutual = cut(
+        both_seen.where(good_p & good_t & heads)
+        .withColumn("k", room)
+        .drop("p_best", "t_best", "p_first", "t_first")
     )
+    contested = (F.col("k") > 1) & (F.col("p_stop").isNotNull() | F.col("t_stop").isNotNull())
+    kept = [c for c in mutual.columns if c not in ("p_stop", "t_stop")]
+    if mutual.where(contested).isEmpty():
+        return mutual.select(*kept)
+    p_room = _room(mutual.where(contested), pm, "pc", "p_at", "p_stop", "p_room")
+    t_room = _room(mutual.where(contested), tm, "tc", "t_at", "t_stop", "t_room")
+    sized = mutual.join(p_room, ["page", "pc"], "left").join(t_room, ["page", "tc"], "left")
+    return cut(sized.withColumn("k", F.least("k", "p_room", "t_room")).select(*kept))
 
 
 def _room(
     mutual: DataFrame, members: DataFrame, cls: str, at: str, stop: str, name: str
 ) -> DataFrame:
-    """Copies from the cursor on whose index is below the rival's head."""
+    """Copies from the cursor on whose index is below the rival's head.
+
+    A class without copies has no members here and no row in the result; its
+    single box is the head, so the run length is one anyway.
+    """
     tied = mutual.where(F.col(stop).isNotNull()).select("page", cls, at, stop)
     inside = tied.join(members.withColumnRenamed("cls", cls), ["page", cls]).where(
         (F.col("rank") >= F.col(at)) & (F.col("ix") < F.col(stop))
@@ -298,34 +289,48 @@ def _room(
     return inside.groupBy("page", cls).agg(F.count("*").alias(name))
 
 
-def _advance(live: DataFrame, run: DataFrame) -> DataFrame:
+def _advance(live: DataFrame, run: DataFrame, pm: DataFrame, tm: DataFrame) -> DataFrame:
     """Move the cursors past this round's matches and drop exhausted classes."""
-    p_done = run.groupBy("page", "pc").agg(F.sum("k").alias("p_k"))
-    t_done = run.groupBy("page", "tc").agg(F.sum("k").alias("t_k"))
-    moved = (
-        live.join(p_done, ["page", "pc"], "left")
-        .join(t_done, ["page", "tc"], "left")
-        .withColumn("p_at", F.col("p_at") + F.coalesce("p_k", F.lit(0)))
-        .withColumn("t_at", F.col("t_at") + F.coalesce("t_k", F.lit(0)))
-        .drop("p_k", "t_k")
+
+    def moved(cls: str, at: str, total: str, members: DataFrame, side: str) -> DataFrame:
+        # a class is in at most one run per round
+        after = run.select("page", F.col(cls).alias("cls"), (F.col(at) + F.col("k")).alias("rank"), total)
+        heads = after.join(members, ["page", "cls", "rank"], "left")
+        return heads.select(
+            "page", F.col("cls").alias(cls), F.col("rank").alias(side + "_to"), F.col("ix").alias(side + "_new")
+        )
+
+    joined = live.join(moved("pc", "p_at", "n_pred", pm, "p"), ["page", "pc"], "left").join(
+        moved("tc", "t_at", "n_truth", tm, "t"), ["page", "tc"], "left"
     )
+    for side in ("p", "t"):
+        joined = joined.withColumn(side + "_head", F.coalesce(side + "_new", side + "_head")).withColumn(
+            side + "_at", F.coalesce(side + "_to", side + "_at")
+        )
     left = (F.col("p_at") < F.col("n_pred")) & (F.col("t_at") < F.col("n_truth"))
-    return moved.where(left).select(*live.columns)
+    return joined.where(left).select(*live.columns)
 
 
 def _expand_runs(runs: DataFrame, pm: DataFrame, tm: DataFrame) -> DataFrame:
-    """Class runs back to member pairs, by rank."""
+    """Class runs back to member pairs: heads for single steps, else by rank."""
+    plain = runs.where(F.col("k") == 1).select(
+        "page", F.col("p_head").alias("p"), F.col("t_head").alias("a"), "iou"
+    )
+    long_runs = runs.where(F.col("k") > 1).select("page", "pc", "tc", "iou", "p_at", "t_at", "k")
     p_rows = (
         pm.withColumnRenamed("cls", "pc")
-        .join(runs, ["page", "pc"])
+        .join(long_runs, ["page", "pc"])
         .where((F.col("rank") >= F.col("p_at")) & (F.col("rank") < F.col("p_at") + F.col("k")))
         .select(
-            "page", "tc", "iou", F.col("ix").alias("p"),
+            "page",
+            F.col("tc").alias("cls"),
             (F.col("t_at") + F.col("rank") - F.col("p_at")).alias("rank"),
+            "iou",
+            F.col("ix").alias("p"),
         )
     )
-    t_rows = tm.select("page", F.col("cls").alias("tc"), "rank", F.col("ix").alias("a"))
-    return p_rows.join(t_rows, ["page", "tc", "rank"]).select("page", "p", "a", "iou")
+    copies = p_rows.join(tm, ["page", "cls", "rank"]).select("page", "p", F.col("ix").alias("a"), "iou")
+    return plain.unionByName(copies)
 
 
 def missed(truth: DataFrame, match: DataFrame) -> DataFrame:

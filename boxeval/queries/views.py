@@ -142,3 +142,19 @@ obs AS (
   SELECT *, least(reliable, reliable_wrong + greatest(reliable_exact - correct_orientations, 0)) AS reliable_wrong_study
   FROM obs3)
 """
+
+# the running count of requests per key; answers may speak of the one before
+REQUESTS = """
+counted AS (
+  SELECT CAST(event_id AS BIGINT) AS event_id, CAST(user_id AS BIGINT) AS key, ts, event_type, value AS ms,
+         CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
+         CAST(sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END)
+           OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS latest
+  FROM events),
+requests AS (
+  SELECT event_id, key, ts, epoch_us(ts) AS us, ms, latest,
+         CASE WHEN event_type = 'signup' OR k < 50 THEN latest ELSE greatest(latest - 1, 1) END AS request_id,
+         CASE event_type WHEN 'signup' THEN 'request' WHEN 'view' THEN 'phase' WHEN 'purchase' THEN 'result'
+           WHEN 'error' THEN 'error' ELSE 'cancel' END AS kind
+  FROM counted WHERE latest > 0)
+"""
