@@ -282,3 +282,63 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.where(F.col("latest") > 0).select(
         "event_id", "key", "ts", F.unix_micros("ts").alias("us"), "ms", "latest", about.alias("request_id"), "kind"
     )
+
+
+def judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Predictions, truths and inputs of B1 with the boards of B2 on them."""
+    b = labelled_boards(spark, sf_dir).select(
+        F.col("vec_id").alias("l_suppkey"), "cells", "truth_cells", F.array_min("confidences").alias("floor")
+    )
+    truth = truths(spark, sf_dir, "l_suppkey", "l_returnflag").join(b, "l_suppkey")
+    facing = (
+        F.when(F.col("l_returnflag") == "A", F.lit("white"))
+        .when(F.col("l_returnflag") == "R", F.lit("black"))
+        .otherwise(F.lit("ambiguous"))
+    )
+    edges = ["x0", "y0", "x1", "y1"]
+    truth = truth.select("page", "a", *edges, "cells", facing.alias("orientation"))
+    pred = predictions(
+        spark, sf_dir, "l_suppkey", "l_linestatus", "l_discount", "l_tax"
+    ).join(b, "l_suppkey")
+    read = (
+        F.when(F.col("l_discount") < 0.05, F.col("cells"))
+        .when(F.col("l_discount") < 0.08, F.col("truth_cells"))
+        .otherwise(F.reverse("cells"))
+    )
+    pred = pred.select(
+        "page",
+        "p",
+        *edges,
+        read.alias("cells"),
+        F.least(F.lit(1.0), F.col("floor") + F.col("l_discount") * 4).alias("min_conf"),
+        F.when(F.col("l_linestatus") == "O", F.lit("white")).otherwise(F.lit("black")).alias("orientation"),
+        (F.col("l_tax") > 0.06).alias("orientation_ambiguous"),
+    )
+    return pred, truth, pages(spark, sf_dir)
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measured inputs: one page per order, 700 px wide and high."""
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("page"),
+        F.lit(700.0).alias("width"),
+        F.lit(700.0).alias("height"),
+        F.lit(False).alias("oracle"),
+    )
+
+
+def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cell edits: one per event, on the board numbered like its user."""
+    value = (
+        F.when(F.col("event_type") == "view", F.lit("."))
+        .when(F.col("event_type") == "error", F.lit("k"))
+        .when(F.col("event_type") == "click", F.lit("Q"))
+        .otherwise(F.lit("P"))
+    )
+    return runs(spark, sf_dir).select(
+        F.col("user_id").alias("vec_id"),
+        F.pmod(F.col("k").cast("bigint"), F.lit(64)).cast("int").alias("square"),
+        value.alias("value"),
+        "ts",
+        F.col("event_id").alias("edit_id"),
+    )

@@ -24,6 +24,21 @@ def distribution(
     return df.groupBy(*keys).agg(*summary_columns(value, prefix))
 
 
+def cold_warm(df: DataFrame, keys: list[str], value: str, cold: str) -> DataFrame:
+    """The summary for cold rows, warm rows and all rows of each group."""
+    halves = distribution(df, [*keys, cold], value)
+    whole = distribution(df, keys, value, "all_")
+    names = ["count", "min", *_LEVELS, "max"]
+    picked = [
+        F.max(F.when(F.col(cold) == flag, F.col(n))).alias(prefix + n)
+        for prefix, flag in (("cold_", True), ("warm_", False))
+        for n in names
+    ]
+    split = halves.groupBy(*keys).agg(*picked)
+    counts = {p + "count": F.coalesce(p + "count", F.lit(0).cast("bigint")) for p in ("cold_", "warm_")}
+    return split.withColumns(counts).join(whole, keys)
+
+
 def summary_columns(value: str, prefix: str = "", only: str | None = None) -> list[Column]:
     """The five summary aggregates, optionally over the rows where ``only`` holds."""
     used = value if only is None else f"CASE WHEN {only} THEN {value} END"

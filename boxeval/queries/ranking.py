@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from boxeval.bindings import predictions, requests, runs, windows
 from boxeval.operators import suppression as K
-from boxeval.operators.distribution import distribution, nearest_rank, summary_columns
+from boxeval.operators.distribution import cold_warm, distribution, nearest_rank
 from boxeval.operators.ordered import first_flag, row_numbers
 from boxeval.queries.registry import query
 from boxeval.queries.views import BOXES, REQUESTS, RUNS, WINDOWS
@@ -162,10 +162,6 @@ def nearest_rank_query(spark: SparkSession, sf: str) -> DataFrame:
     f"""WITH {RUNS} SELECT engine, {_five('ms', 'cold_', 'run = 0')}, {_five('ms', 'warm_', 'run > 0')}, {_five('ms', 'all_')}
     FROM runs GROUP BY engine""",
 )
-def cold_warm(spark: SparkSession, sf: str) -> DataFrame:
+def cold_warm_query(spark: SparkSession, sf: str) -> DataFrame:
     marked = first_flag(runs(spark, sf), ["user_id", "day"], ["ts", "event_id"], "cold")
-    return marked.groupBy("engine").agg(
-        *summary_columns("ms", "cold_", "cold"),
-        *summary_columns("ms", "warm_", "NOT cold"),
-        *summary_columns("ms", "all_"),
-    )
+    return cold_warm(marked, ["engine"], "ms", "cold")

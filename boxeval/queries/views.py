@@ -158,3 +158,52 @@ requests AS (
            WHEN 'error' THEN 'error' ELSE 'cancel' END AS kind
   FROM counted WHERE latest > 0)
 """
+
+JUDGED = MATCH + "," + BOARDS + """,
+jtruth AS (
+  SELECT t.page, t.a, b.cells, CASE t.l_returnflag WHEN 'A' THEN 'white' WHEN 'R' THEN 'black' ELSE 'ambiguous' END AS orientation
+  FROM truth t JOIN labelled b ON b.vec_id = t.l_suppkey),
+jpred AS (
+  SELECT p.page, p.p, p.x0, p.y0, p.x1, p.y1,
+         CASE WHEN p.l_discount < 0.05::DOUBLE THEN b.cells WHEN p.l_discount < 0.08::DOUBLE THEN b.truth_cells ELSE reverse(b.cells) END AS cells,
+         least(1.0::DOUBLE, list_min(b.conf) + p.l_discount * 4) AS min_conf,
+         CASE WHEN p.l_linestatus = 'O' THEN 'white' ELSE 'black' END AS orientation, p.l_tax > 0.06::DOUBLE AS orientation_ambiguous
+  FROM pred p JOIN labelled b ON b.vec_id = p.l_suppkey),
+dup AS (
+  SELECT DISTINCT q.page, q.p FROM pairs q JOIN matches m ON m.page = q.page AND m.a = q.a
+  WHERE q.iou >= 0.9 AND NOT EXISTS (SELECT 1 FROM matches n WHERE n.page = q.page AND n.p = q.p)),
+rec0 AS (
+  SELECT p.page, p.p, false AS oracle, p.x0 >= 0 AND p.y0 >= 0 AND p.x1 <= 700 AND p.y1 <= 700 AS in_image, p.min_conf >= 0.7 AS reliable,
+         m.a AS matched_a, d.p IS NOT NULL AS duplicate, m.iou,
+         greatest(abs(q.px0 - q.tx0) * 8 / (q.tx1 - q.tx0), abs(q.px1 - q.tx1) * 8 / (q.tx1 - q.tx0), abs(q.py0 - q.ty0) * 8 / (q.ty1 - q.ty0), abs(q.py1 - q.ty1) * 8 / (q.ty1 - q.ty0)) AS grid_error,
+         CASE WHEN m.a IS NOT NULL THEN CAST(len(list_filter(range(1, 65), lambda i: substr(p.cells, i, 1) = substr(t.cells, i, 1))) AS BIGINT) END AS correct_squares,
+         CASE WHEN t.orientation <> 'ambiguous' THEN NOT p.orientation_ambiguous AND p.orientation = t.orientation END AS orientation_correct,
+         coalesce(t.orientation = 'ambiguous', false) AS truth_ambiguous, p.orientation_ambiguous
+  FROM jpred p LEFT JOIN matches m ON m.page = p.page AND m.p = p.p LEFT JOIN jtruth t ON t.page = m.page AND t.a = m.a
+  LEFT JOIN pairs q ON q.page = m.page AND q.p = m.p AND q.a = m.a LEFT JOIN dup d ON d.page = p.page AND d.p = p.p),
+records AS (
+  SELECT *, correct_squares = 64 AS exact, reliable AND NOT coalesce(correct_squares = 64, false) AS reliable_wrong,
+         reliable AND (NOT coalesce(correct_squares = 64, false) OR coalesce(orientation_correct, true) = false) AS reliable_wrong_study
+  FROM rec0),
+measured0 AS (
+  SELECT o.o_orderkey AS page, false AS oracle, coalesce(t.n, 0) AS expected_boards, coalesce(t.ident, 0) AS identifiable,
+         coalesce(r.n, 0) AS predictions, coalesce(r.matched, 0) AS matched, coalesce(r.dup, 0) AS duplicate, coalesce(r.aligned, 0) AS aligned,
+         coalesce(r.exact, 0) AS exact, CAST(coalesce(r.correct, 0) AS BIGINT) AS correct_squares, coalesce(r.reliable, 0) AS reliable,
+         coalesce(r.rexact, 0) AS reliable_exact, coalesce(r.rwrong, 0) AS reliable_wrong, coalesce(r.rwrongs, 0) AS reliable_wrong_study,
+         coalesce(r.oc, 0) AS correct_orientations, coalesce(r.amb, 0) AS ambiguous_predictions, coalesce(r.ack, 0) AS ambiguity_acknowledged,
+         coalesce(r.outside, 0) AS out_of_image
+  FROM orders o
+  LEFT JOIN (SELECT page, count(*) AS n, count(*) FILTER (WHERE orientation <> 'ambiguous') AS ident FROM jtruth GROUP BY page) t ON t.page = o.o_orderkey
+  LEFT JOIN (SELECT page, count(*) AS n, count(matched_a) AS matched, count(*) FILTER (WHERE duplicate) AS dup,
+      count(*) FILTER (WHERE grid_error <= 0.08::DOUBLE) AS aligned, count(*) FILTER (WHERE exact) AS exact, sum(correct_squares) AS correct,
+      count(*) FILTER (WHERE reliable) AS reliable, count(*) FILTER (WHERE reliable AND exact) AS rexact, count(*) FILTER (WHERE reliable_wrong) AS rwrong,
+      count(*) FILTER (WHERE reliable_wrong_study) AS rwrongs, count(*) FILTER (WHERE orientation_correct) AS oc,
+      count(*) FILTER (WHERE orientation_ambiguous) AS amb, count(*) FILTER (WHERE truth_ambiguous AND orientation_ambiguous) AS ack,
+      count(*) FILTER (WHERE NOT in_image) AS outside FROM records GROUP BY page) r ON r.page = o.o_orderkey),
+measured AS (
+  SELECT *, predictions - reliable AS unreliable, predictions = 0 AS no_board, expected_boards * 64 AS expected_squares,
+         expected_boards - matched AS missed, predictions - matched AS false_positive, expected_boards - identifiable AS ambiguous_truth,
+         matched / nullif(predictions, 0) AS precision, matched / nullif(expected_boards, 0) AS recall,
+         exact / nullif(expected_boards, 0) AS exact_rate, correct_squares / nullif(expected_boards * 64, 0) AS square_rate
+  FROM measured0)
+"""
