@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boxeval.operators.integrity import content_hash
 from boxeval.operators.ordered import running
+from boxeval.operators.policy import detect_licence
 
 PAGE_SIDE = 800.0
 # fixed values: three allowed origins and the licence policy
@@ -342,3 +344,133 @@ def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ts",
         F.col("event_id").alias("edit_id"),
     )
+
+
+EXPECTED_BOARD = "4k3/8/8/8/8/8/8/4K3"
+EMPTY_BOARD = "8/8/8/8/8/8/8/8"
+# adjacent digits: a board for the loose parser only
+LOOSE_BOARD = "44/8/8/8/8/8/8/8"
+
+
+def raw_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B3 as raw protocol strings, some of them missing or malformed."""
+    base = runs(spark, sf_dir)
+    k = F.col("k").cast("bigint")
+    null = F.lit(None).cast("string")
+    hour = F.hour("ts")
+    board = (
+        F.when(k < 40, F.lit(EXPECTED_BOARD)).when(k < 70, F.lit(EMPTY_BOARD)).when(k < 80, F.lit(LOOSE_BOARD))
+    )
+    seen = F.col("event_type") == "view"
+    trusted = F.when(F.col("ms") > 10, F.lit("true")).when(F.col("ms") > 2, F.lit("false")).otherwise(F.lit("maybe"))
+    cents = F.floor(F.col("ms") * 100).cast("bigint").cast("string")
+    total = (
+        F.when(k % 7 == 0, F.lit(""))
+        .when(k % 11 == 0, F.lit("NaN"))
+        .when(k % 13 == 0, F.lit("-3"))
+        .when(k % 17 == 0, F.lit("0x10"))
+        .otherwise(cents)
+    )
+    first = F.pmod(hour, F.lit(2)) == 0
+    cold = F.when(k % 19 == 0, F.lit("yes")).when(k % 23 == 0, (~first).cast("string"))
+    return base.select(
+        "event_id",
+        F.col("user_id").alias("case_id"),
+        F.pmod(F.dayofmonth("ts"), F.lit(4)).cast("bigint").alias("session"),
+        F.pmod(hour, F.lit(2)).cast("bigint").alias("run"),
+        F.when(k >= 95, F.lit("unknown")).when(k >= 90, null).otherwise(F.col("phase")).alias("phase"),
+        F.when(seen, F.when(k < 10, F.lit(EXPECTED_BOARD))).otherwise(board).alias("placement"),
+        F.when(seen, F.when(k < 5, F.lit("true"))).otherwise(trusted).alias("reliable"),
+        total.alias("total_ms"),
+        F.when(k % 5 == 0, F.lit(" 12.5e1 ")).otherwise(F.lit("7")).alias("stage_ms"),
+        cold.otherwise(first.cast("string")).alias("cold"),
+        F.when(k % 29 == 0, F.lit("v0")).otherwise(F.lit("v1")).alias("version"),
+    )
+
+
+def planned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("page"), F.lit(PAGE_SIDE).alias("page_width"), F.lit(PAGE_SIDE).alias("page_height")
+    )
+
+
+def planned_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B1 truths as annotations: kind, style and rectangle."""
+    kind = F.when(F.col("l_linenumber") <= 3, F.lit("complete")).otherwise(F.lit("partial"))
+    t = truths(spark, sf_dir, "l_linenumber", "l_partkey")
+    return t.select(
+        "page",
+        "a",
+        kind.alias("kind"),
+        F.concat(F.lit("style-"), F.pmod("l_partkey", F.lit(5)).cast("string")).alias("style"),
+        F.col("x0").alias("x"),
+        F.col("y0").alias("y"),
+        (F.col("x1") - F.col("x0")).alias("width"),
+        (F.col("y1") - F.col("y0")).alias("height"),
+    )
+
+
+def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B3 as device records: one row per user with a status per capability."""
+    kinds = ["click", "error", "purchase", "signup", "view"]
+    counted = (
+        table(spark, sf_dir, "events")
+        .groupBy("user_id")
+        .agg(*(F.count_if(F.col("event_type") == k).alias(k) for k in kinds))
+    )
+
+    def status(name: str) -> Column:
+        n = F.col(name)
+        return (
+            F.when(n >= 14, F.lit("supported"))
+            .when(n >= 12, F.lit("unknown"))
+            .when(n >= 9, F.lit("unsupported"))
+            .otherwise(F.lit("error"))
+        )
+
+    device = F.concat(F.lit("class-"), F.pmod("user_id", F.lit(3)).cast("string"))
+    return counted.select(device.alias("device_class"), *(status(k).alias(k) for k in kinds))
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B6: documents with a licence line as packages; some have compound licences."""
+    docs = documents(spark, sf_dir).select("doc_id", "lang", detect_licence(F.col("text")).alias("found"))
+    whole = (
+        F.when(F.col("lang") == "de", F.concat(F.lit("("), "found", F.lit(" OR MIT)")))
+        .when(F.col("lang") == "fr", F.concat("found", F.lit(" AND CC-BY-4.0")))
+        .when(F.col("lang") == "es", F.concat(F.lit(" "), "found", F.lit(" ")))
+        .otherwise(F.col("found"))
+    )
+    return docs.where(F.col("found").isNotNull()).select(
+        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name"), whole.alias("licence")
+    )
+
+
+def licence_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviewed exceptions: documents judged good, each with one licence."""
+    good = table(spark, sf_dir, "labels").where(F.col("quality") == 1)
+    return good.select(
+        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name"), F.lit("GPL-3.0").alias("licence")
+    )
+
+
+def pins(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Expected and actual hashes of contents.
+
+    Labelled documents are pinned by the hash of their text without outer
+    blanks, benchmark items by their own, though nothing was delivered for them.
+    """
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    name = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))
+    squeezed = F.replace("text", F.lit("  "), F.lit(" "))
+    pinned = docs.join(table(spark, sf_dir, "labels"), "doc_id", "left_semi").select(
+        name.alias("path"), content_hash(squeezed).alias("sha256")
+    )
+    bench = table(spark, sf_dir, "benchmark").select(
+        F.concat(F.lit("item-"), F.col("item_id").cast("string")).alias("path"), content_hash(F.col("text")).alias("sha256")
+    )
+    return pinned.unionByName(bench), docs.select(name.alias("path"), content_hash(F.col("text")).alias("sha256"))

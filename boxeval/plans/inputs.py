@@ -146,8 +146,8 @@ def attach_plan(obs: DataFrame, plan: DataFrame, key: str) -> DataFrame:
 
 def expected_grid(sessions: DataFrame, keys: list[str], runs_per_session: int) -> DataFrame:
     """Every (session, run) that should exist; runs come from a short sequence."""
-    numbers = F.sequence(F.lit(0), F.lit(runs_per_session - 1))
-    return sessions.select(*keys).distinct().withColumn("run", F.explode(numbers).cast("bigint"))
+    numbers = F.sequence(F.lit(0).cast("bigint"), F.lit(runs_per_session - 1).cast("bigint"))
+    return sessions.select(*keys).distinct().withColumn("run", F.explode(numbers))
 
 
 def missing_runs(sessions: DataFrame, runs: DataFrame, keys: list[str], runs_per_session: int) -> DataFrame:

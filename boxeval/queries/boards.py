@@ -294,8 +294,8 @@ def unsafe_results(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "p6_oracle_inputs",
-    f"""WITH {BOARDS}, {BOXES} SELECT t.page, t.a AS input_id, 1 AS expected_boards, 1 AS predictions, 1 AS exact, CASE WHEN t.l_returnflag = 'N' THEN 0 ELSE 1 END AS correct_orientations,
-      1 AS reliable_exact, CAST(NULL AS BIGINT) AS matched, CAST(NULL AS DOUBLE) AS precision FROM truth t JOIN boards b ON b.vec_id = t.l_suppkey""",
+    f"""WITH {BOARDS}, {BOXES} SELECT t.page, t.a AS input_id, 1::BIGINT AS expected_boards, 1::BIGINT AS predictions, 1::BIGINT AS exact, CAST(CASE WHEN t.l_returnflag = 'N' THEN 0 ELSE 1 END AS BIGINT) AS correct_orientations,
+      1::BIGINT AS reliable_exact, CAST(NULL AS BIGINT) AS matched, CAST(NULL AS DOUBLE) AS precision FROM truth t JOIN boards b ON b.vec_id = t.l_suppkey""",
 )
 def oracle_inputs(spark: SparkSession, sf: str) -> DataFrame:
     from boxeval.plans.inputs import oracle_predictions

@@ -207,3 +207,42 @@ measured AS (
          exact / nullif(expected_boards, 0) AS exact_rate, correct_squares / nullif(expected_boards * 64, 0) AS square_rate
   FROM measured0)
 """
+
+RAW = """
+raw AS (
+  SELECT event_id, case_id, session, run,
+    CASE WHEN k >= 95 THEN 'unknown' WHEN k >= 90 THEN NULL ELSE phase END AS phase,
+    CASE WHEN event_type = 'view' THEN CASE WHEN k < 10 THEN '4k3/8/8/8/8/8/8/4K3' END WHEN k < 40 THEN '4k3/8/8/8/8/8/8/4K3' WHEN k < 70 THEN '8/8/8/8/8/8/8/8' WHEN k < 80 THEN '44/8/8/8/8/8/8/8' END AS placement,
+    CASE WHEN event_type = 'view' THEN CASE WHEN k < 5 THEN 'true' END WHEN value > 10 THEN 'true' WHEN value > 2 THEN 'false' ELSE 'maybe' END AS reliable,
+    CASE WHEN k % 7 = 0 THEN NULL WHEN k % 11 = 0 THEN NULL WHEN k % 13 = 0 THEN NULL WHEN k % 17 = 0 THEN NULL ELSE floor(value * 100) END AS total_ms,
+    CASE WHEN k % 5 = 0 THEN 125.0 ELSE 7.0 END::DOUBLE AS stage_ms,
+    CASE WHEN k % 19 = 0 THEN NULL WHEN k % 23 = 0 THEN run <> 0 ELSE run = 0 END AS cold, k % 29 = 0 AS old
+  FROM (SELECT CAST(event_id AS BIGINT) AS event_id, CAST(user_id AS BIGINT) AS case_id, CAST(day(ts) % 4 AS BIGINT) AS session, CAST(hour(ts) % 2 AS BIGINT) AS run,
+     CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type, value,
+     CASE event_type WHEN 'view' THEN 'no-board' WHEN 'error' THEN 'error' ELSE 'done' END AS phase FROM events)),
+assessed0 AS (SELECT *, CASE WHEN phase IN ('done', 'no-board', 'error') THEN phase END AS known, coalesce(phase = 'done' AND placement = '4k3/8/8/8/8/8/8/4K3', false) AS exact FROM raw),
+assessed AS (SELECT *,
+    list_filter([CASE WHEN known IS NULL THEN 'phase-missing-or-invalid' END, CASE WHEN known = 'error' THEN 'recognizer-error' END,
+      CASE WHEN known = 'done' AND reliable = 'maybe' THEN 'reliable-missing-or-invalid' END,
+      CASE WHEN known = 'done' AND coalesce(placement, '44/') LIKE '44/%' THEN 'placement-missing-or-invalid' END,
+      CASE WHEN known = 'no-board' AND reliable IS NOT NULL THEN 'no-board-reliable-present' END, CASE WHEN known = 'no-board' AND placement IS NOT NULL THEN 'no-board-placement-present' END,
+      CASE WHEN total_ms IS NULL THEN 'total-ms-missing-or-invalid' END, CASE WHEN cold IS NULL THEN 'cold-start-missing-or-invalid' END,
+      CASE WHEN old THEN 'recognizer-version-mismatch' END], lambda x: x IS NOT NULL) AS infra,
+    CASE WHEN known = 'done' AND reliable = 'true' AND NOT exact THEN 1 ELSE 0 END AS unsafe,
+    CASE WHEN session > 2 THEN 'observation-identity-invalid' WHEN cold IS NULL OR cold <> (run = 0) THEN 'cold-sequence-invalid' END AS odd
+  FROM assessed0)
+"""
+
+SUMMARY = """count(*) AS observations, bool_and(oracle) AS oracle, count(*) FILTER (WHERE predictions = 0) AS no_board,
+  CAST(sum(expected_boards) AS BIGINT) AS expected_boards, CAST(sum(predictions) AS BIGINT) AS predictions, CAST(sum(exact) AS BIGINT) AS exact,
+  CAST(sum(correct_squares) AS BIGINT) AS correct_squares, CAST(sum(expected_squares) AS BIGINT) AS expected_squares, CAST(sum(reliable) AS BIGINT) AS reliable,
+  CAST(sum(reliable_exact) AS BIGINT) AS reliable_exact, CAST(sum(reliable_wrong) AS BIGINT) AS reliable_wrong, CAST(sum(reliable_wrong_study) AS BIGINT) AS reliable_wrong_study,
+  CAST(sum(identifiable) AS BIGINT) AS identifiable, CAST(sum(correct_orientations) AS BIGINT) AS correct_orientations, CAST(sum(ambiguous_truth) AS BIGINT) AS ambiguous_truth,
+  CAST(sum(ambiguous_predictions) AS BIGINT) AS ambiguous_predictions, CAST(sum(ambiguity_acknowledged) AS BIGINT) AS ambiguity_acknowledged, CAST(sum(out_of_image) AS BIGINT) AS out_of_image,
+  CASE WHEN NOT bool_and(oracle) THEN CAST(coalesce(sum(matched), 0) AS BIGINT) END AS matched, CASE WHEN NOT bool_and(oracle) THEN CAST(coalesce(sum(missed), 0) AS BIGINT) END AS missed,
+  CASE WHEN NOT bool_and(oracle) THEN CAST(coalesce(sum(false_positive), 0) AS BIGINT) END AS false_positive, CASE WHEN NOT bool_and(oracle) THEN CAST(coalesce(sum(duplicate), 0) AS BIGINT) END AS duplicate,
+  CASE WHEN NOT bool_and(oracle) THEN CAST(coalesce(sum(aligned), 0) AS BIGINT) END AS aligned,
+  CASE WHEN NOT bool_and(oracle) THEN CAST(coalesce(sum(matched), 0) AS DOUBLE) / nullif(CAST(sum(predictions) AS DOUBLE), 0) END AS precision,
+  CASE WHEN NOT bool_and(oracle) THEN CAST(coalesce(sum(matched), 0) AS DOUBLE) / nullif(CAST(sum(expected_boards) AS DOUBLE), 0) END AS recall,
+  CAST(sum(exact) AS DOUBLE) / nullif(CAST(sum(expected_boards) AS DOUBLE), 0) AS exact_rate, CAST(sum(correct_squares) AS DOUBLE) / nullif(CAST(sum(expected_squares) AS DOUBLE), 0) AS square_rate,
+  CAST(sum(correct_orientations) AS DOUBLE) / nullif(CAST(sum(identifiable) AS DOUBLE), 0) AS orientation_rate"""
