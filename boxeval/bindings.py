@@ -474,3 +474,45 @@ def pins(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         F.concat(F.lit("item-"), F.col("item_id").cast("string")).alias("path"), content_hash(F.col("text")).alias("sha256")
     )
     return pinned.unionByName(bench), docs.select(name.alias("path"), content_hash(F.col("text")).alias("sha256"))
+
+
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B8: an 8 x 8 image per embedding, whole samples from 0 to 255."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("at", "e"))
+    gray = F.floor((F.col("e").cast("double") + 0.5) * 255).cast("double")
+    return rows.select(
+        F.col("vec_id").cast("bigint").alias("img"),
+        F.floor(F.col("at") / 8).cast("bigint").alias("y"),
+        F.pmod(F.col("at"), F.lit(8)).cast("bigint").alias("x"),
+        F.greatest(F.lit(0.0), F.least(F.lit(255.0), gray)).alias("v"),
+    )
+
+
+def pixel_sizes(spark: SparkSession, sf_dir: str, width: int = 8, height: int = 8) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").cast("bigint").alias("img"),
+        F.lit(width).cast("bigint").alias("width"),
+        F.lit(height).cast("bigint").alias("height"),
+    )
+
+
+def printed_boards(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """80 x 80 images: each embedding printed as a 64 px checkerboard on paper.
+
+    Cell brightness follows the embedding, so the boards differ in contrast.
+    """
+    axis = F.sequence(F.lit(0), F.lit(79))
+    images = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    px = images.withColumn("y", F.explode(axis)).withColumn("x", F.explode(axis))
+    row, col = F.floor((F.col("y") - 8) / 8), F.floor((F.col("x") - 8) / 8)
+    inside = row.between(0, 7) & col.between(0, 7)
+    ink = F.try_element_at("embedding", (row * 8 + col + 1).cast("int")).cast("double") * 60
+    tone = F.when(F.pmod(row + col, F.lit(2)) == 0, F.lit(210.0)).otherwise(F.lit(130.0))
+    v = F.when(inside, F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), tone + ink))).cast("double"))
+    px = px.select(
+        F.col("vec_id").cast("bigint").alias("img"),
+        F.col("y").cast("bigint").alias("y"),
+        F.col("x").cast("bigint").alias("x"),
+        v.otherwise(F.lit(238.0)).alias("v"),
+    )
+    return px, pixel_sizes(spark, sf_dir, 80, 80)

@@ -130,14 +130,12 @@ def check_cross_field(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "v5_check_references",
-    """SELECT 'document' AS entity, CAST(doc_id AS VARCHAR) AS row_id, 'not in labels' AS message FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
-    UNION ALL SELECT 'label', CAST(doc_id AS VARCHAR), 'not in documents' FROM (SELECT DISTINCT doc_id FROM labels) WHERE doc_id NOT IN (SELECT doc_id FROM documents)""",
+    """SELECT 'documents' AS entity, CAST(doc_id AS VARCHAR) AS row_id, 'not in labels' AS message FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+    UNION ALL SELECT 'labels', CAST(doc_id AS VARCHAR), 'not in documents' FROM (SELECT DISTINCT doc_id FROM labels) WHERE doc_id NOT IN (SELECT doc_id FROM documents)""",
 )
 def check_references(spark: SparkSession, sf: str) -> DataFrame:
-    found = V.check_references(documents(spark, sf), table(spark, sf, "labels"), "doc_id", "document", "label")
-    return found.withColumn("message", F.replace("message", F.lit("not in label"), F.lit("not in labels"))).withColumn(
-        "message", F.when(F.col("message") == "not in document", F.lit("not in documents")).otherwise(F.col("message"))
-    )
+    labels = table(spark, sf, "labels")
+    return V.check_references(documents(spark, sf), labels, "doc_id", "documents", "labels")
 
 
 _REQUIRED = {"flag-A": 1, "flag-N": 1, "flag-R": 1, "size-0": 100, "size-3": 100, "size-4": 1}
@@ -274,9 +272,10 @@ def verify_pins(spark: SparkSession, sf: str) -> DataFrame:
     return H.verify_pins(expected, actual, "path")
 
 
-_TREE = "SELECT source, doc_id AS at, doc_id || ':' || sha256(text) AS item FROM documents"
+# five levels of the hash tree
+_TREE = "SELECT source, doc_id AS pos, doc_id || ':' || sha256(text) AS item FROM documents"
 for _ in range(5):
-    _TREE = f"SELECT source, at >> 12 AS at, sha256(string_agg(item, chr(10) ORDER BY at)) AS item FROM ({_TREE}) GROUP BY source, at >> 12"
+    _TREE = f"SELECT source, pos // 4096 AS pos, sha256(string_agg(item, chr(10) ORDER BY pos)) AS item FROM ({_TREE}) GROUP BY source, pos // 4096"
 
 
 @query(

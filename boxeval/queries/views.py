@@ -246,3 +246,10 @@ SUMMARY = """count(*) AS observations, bool_and(oracle) AS oracle, count(*) FILT
   CASE WHEN NOT bool_and(oracle) THEN CAST(coalesce(sum(matched), 0) AS DOUBLE) / nullif(CAST(sum(expected_boards) AS DOUBLE), 0) END AS recall,
   CAST(sum(exact) AS DOUBLE) / nullif(CAST(sum(expected_boards) AS DOUBLE), 0) AS exact_rate, CAST(sum(correct_squares) AS DOUBLE) / nullif(CAST(sum(expected_squares) AS DOUBLE), 0) AS square_rate,
   CAST(sum(correct_orientations) AS DOUBLE) / nullif(CAST(sum(identifiable) AS DOUBLE), 0) AS orientation_rate"""
+
+PIXELS = """
+px AS (
+  SELECT CAST(vec_id AS BIGINT) AS img, CAST(i // 8 AS BIGINT) AS y, CAST(i % 8 AS BIGINT) AS x,
+         CAST(greatest(0.0, least(255.0, floor((CAST(embedding[i + 1] AS DOUBLE) + 0.5::DOUBLE) * 255))) AS DOUBLE) AS v, label
+  FROM embeddings, range(0, 64) t(i))
+"""
