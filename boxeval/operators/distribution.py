@@ -51,8 +51,10 @@ def summary_columns(value: str, prefix: str = "", only: str | None = None) -> li
     ]
 
 
-def nearest_rank(df: DataFrame, keys: list[str], value: str, prefix: str = "") -> DataFrame:
-    """The same summary for groups of any size.
+def nearest_rank(
+    df: DataFrame, keys: list[str], value: str, prefix: str = "", weight: str | None = None
+) -> DataFrame:
+    """The same summary for groups of any size; ``weight`` counts equal values.
 
     Equal values are counted first.  The wanted rank is then located among
     coarse buckets of the value's logarithm, among fine buckets inside that
@@ -65,7 +67,7 @@ def nearest_rank(df: DataFrame, keys: list[str], value: str, prefix: str = "") -
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).alias("_v"))
-        .agg(F.count("*").alias("_n"))
+        .agg((F.sum(weight) if weight else F.count("*")).alias("_n"))
         .withColumn("_coarse", F.when(F.col("_v") == 0, F.lit(0)).otherwise(sign * coarse))
         .withColumn("_fine", F.when(F.col("_v") == 0, F.lit(0)).otherwise(sign * fine))
     )

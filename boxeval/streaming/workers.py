@@ -1,0 +1,128 @@
+"""Lifecycles that need timers: deadlines, shared fates and shared cold starts.
+
+These depend on everything a worker does, so the state is keyed by worker, as
+a worker handles its requests one after the other.  Messages wait in the state,
+ordered by time, until the watermark has passed them; only open requests stay.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+OUTCOME = "worker string, key bigint, request_id bigint, outcome string, us bigint, elapsed_us bigint, cold boolean"
+_WAITING = StructType(
+    [StructField("kind", StringType()), StructField("key", LongType()), StructField("request_id", LongType())]
+)
+_WAITING_KEY = StructType([StructField("us", LongType()), StructField("event_id", LongType())])
+_OPEN_KEY = StructType([StructField("key", LongType()), StructField("request_id", LongType())])
+_OPEN = StructType(
+    [StructField("opened", LongType()), StructField("deadline", LongType()), StructField("cold", LongType())]
+)
+_FLAG = StructType([StructField("ready", LongType())])
+_COLUMNS = [c.split()[0] for c in OUTCOME.split(", ")]
+
+
+class WorkerProcessor(StatefulProcessor):
+    """Deadlines of one worker's requests.
+
+    Until the first answer a request has ``cold_us`` to finish and counts as
+    cold, later ones have ``warm_us``.  When one runs out of time the worker is
+    taken to be stuck and its other open requests fail with it.  A ``context``
+    message (the page changed) cancels the key's open requests; ``crash`` fails
+    all, ``close`` aborts all.
+    """
+
+    def __init__(self, cold_us: int, warm_us: int):
+        self.cold_us, self.warm_us = cold_us, warm_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", _WAITING_KEY, _WAITING)
+        self.open = handle.getMapState("open", _OPEN_KEY, _OPEN)
+        self.flag = handle.getValueState("flag", _FLAG)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            for m in batch.itertuples():
+                self.waiting.updateValue((int(m.us), int(m.event_id)), (m.kind, int(m.key), int(m.request_id)))
+                self.handle.registerTimer(int(m.us) // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        due = sorted((tuple(at), tuple(m)) for at, m in self.waiting.iterator() if at[0] < now)
+        out: list[tuple] = []
+        for (us, _), (kind, client, request) in due:
+            self._expire(us, out)
+            self._apply(us, kind, client, request, out)
+        for at, _ in due:
+            self.waiting.removeKey(at)
+        self._expire(now, out)
+        if out:
+            yield pd.DataFrame([(key[0], *row) for row in out], columns=_COLUMNS)
+
+    def close(self) -> None:
+        pass
+
+    def _apply(self, us: int, kind: str, client: int, request: int, out: list[tuple]) -> None:
+        at = (client, request)
+        if kind == "request":
+            ready = self.flag.exists()
+            deadline = us + (self.warm_us if ready else self.cold_us)
+            self.open.updateValue(at, (us, deadline, 0 if ready else 1))
+            self.handle.registerTimer(deadline // 1000 + 1)
+        elif kind == "context":
+            self._settle([a for a in self._entries() if a[0] == client], "cancelled", us, out)
+        elif kind in ("crash", "close"):
+            self._settle(self._entries(), "worker-unavailable" if kind == "crash" else "aborted", us, out)
+        elif kind in ("result", "error", "cancel") and self.open.containsKey(at):
+            if kind != "cancel":
+                self.flag.update((1,))
+            self._settle([at], "aborted" if kind == "cancel" else kind, us, out)
+
+    def _entries(self) -> list[tuple[int, int]]:
+        return sorted(tuple(at) for at in self.open.keys())
+
+    def _expire(self, now: int, out: list[tuple]) -> None:
+        while True:
+            timed = sorted((tuple(v)[1], tuple(at)) for at, v in self.open.iterator() if tuple(v)[1] < now)
+            if not timed:
+                return
+            deadline, first = timed[0]
+            self._settle([first], "timeout", deadline, out)
+            # requests opened after the worker was replaced keep their own time
+            others = [a for a in self._entries() if tuple(self.open.getValue(a))[0] <= deadline]
+            self._settle(others, "worker-unavailable", deadline, out)
+
+    def _settle(self, entries: list[tuple[int, int]], outcome: str, us: int, out: list[tuple]) -> None:
+        for at in entries:
+            opened, _, cold = tuple(self.open.getValue(at))
+            self.open.removeKey(at)
+            out.append((at[0], at[1], outcome, us, us - opened, bool(cold)))
+
+
+def worker_lifecycle(stream: DataFrame, cold_us: int, warm_us: int, late: str = "0 seconds") -> DataFrame:
+    """Outcomes per request; ``stream`` has ``worker, key, request_id, kind, us, event_id, ts``."""
+    keyed = stream.withWatermark("ts", late).groupBy("worker")
+    return keyed.transformWithStateInPandas(
+        statefulProcessor=WorkerProcessor(cold_us, warm_us),
+        outputStructType=OUTCOME,
+        outputMode="Append",
+        timeMode="EventTime",
+    )
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_rocksdb(spark) -> None:
+    """Keyed state with timers needs this store; a session that has one keeps it."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    if "RocksDB" not in (spark.conf.get(name, "") or ""):
+        spark.conf.set(name, ROCKSDB)
+
