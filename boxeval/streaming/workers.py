@@ -45,27 +45,51 @@ class WorkerProcessor(StatefulProcessor):
         self.waiting = handle.getMapState("waiting", _WAITING_KEY, _WAITING)
         self.open = handle.getMapState("open", _OPEN_KEY, _OPEN)
         self.flag = handle.getValueState("flag", _FLAG)
+        self.alarm = handle.getValueState("alarm", _FLAG)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
         for batch in rows:
             for m in batch.itertuples():
                 self.waiting.updateValue((int(m.us), int(m.event_id)), (m.kind, int(m.key), int(m.request_id)))
-                self.handle.registerTimer(int(m.us) // 1000 + 1)
+                first = int(m.us) if first is None else min(first, int(m.us))
+        self._wake(first)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        due = sorted((tuple(at), tuple(m)) for at, m in self.waiting.iterator() if at[0] < now)
+        # everything before the watermark has arrived, so one pass settles it all
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        due, later = [], None
+        for at, m in self.waiting.iterator():
+            if at[0] < now:
+                due.append((tuple(at), tuple(m)))
+            else:
+                later = at[0] if later is None else min(later, at[0])
         out: list[tuple] = []
-        for (us, _), (kind, client, request) in due:
+        for (us, event), (kind, client, request) in sorted(due):
             self._expire(us, out)
             self._apply(us, kind, client, request, out)
-        for at, _ in due:
-            self.waiting.removeKey(at)
+            self.waiting.removeKey((us, event))
         self._expire(now, out)
+        self.alarm.clear()
+        deadlines = [tuple(v)[1] for v in self.open.values()]
+        self._wake(min([*deadlines, *([] if later is None else [later])], default=None))
         if out:
             yield pd.DataFrame([(key[0], *row) for row in out], columns=_COLUMNS)
 
+    def _wake(self, us: int | None) -> None:
+        """Keep one timer per worker, at the earliest thing that can happen."""
+        if us is None:
+            return
+        at = us // 1000 + 1
+        if self.alarm.exists():
+            (held,) = self.alarm.get()
+            if held <= at:
+                return
+            self.handle.deleteTimer(held)
+        self.handle.registerTimer(at)
+        self.alarm.update((at,))
+
     def close(self) -> None:
         pass
 
@@ -75,7 +99,6 @@ class WorkerProcessor(StatefulProcessor):
             ready = self.flag.exists()
             deadline = us + (self.warm_us if ready else self.cold_us)
             self.open.updateValue(at, (us, deadline, 0 if ready else 1))
-            self.handle.registerTimer(deadline // 1000 + 1)
         elif kind == "context":
             self._settle([a for a in self._entries() if a[0] == client], "cancelled", us, out)
         elif kind in ("crash", "close"):
