@@ -45,7 +45,7 @@ def _grid(df: DataFrame, at_least: float, spread: bool) -> DataFrame:
         return F.floor(F.log(size) / log(base)).cast("int")
 
     def cell(center: Column, lev: Column) -> Column:
-        return F.floor(center / (F.pow(F.lit(base), lev) * max(1.0, 2 * reach)))
+        return F.floor(center / (F.pow(F.lit(base), lev + 1) * max(0.5, 2 * reach)))
 
     center_x, center_y = (b.x0 + b.x1) / 2, (b.y0 + b.y1) / 2
     if not spread:
@@ -59,7 +59,9 @@ def _grid(df: DataFrame, at_least: float, spread: bool) -> DataFrame:
         return F.explode(F.sequence(level(low), level(high)))
 
     def cells(center: Column, size: Column, lev: str) -> Column:
-        away = size * reach * (1 + slack) + slack
+        # centres are at most this share of the smaller side apart
+        smaller = F.least(size, F.pow(F.lit(base), F.col(lev) + 1))
+        away = smaller * reach * (1 + slack) + slack
         return F.explode(
             F.sequence(cell(center - away, F.col(lev)), cell(center + away, F.col(lev)))
         )
@@ -142,7 +144,10 @@ def box_pairs(pred: DataFrame, truth: DataFrame, at_least: float = MATCH_IOU) ->
 
 
 def _fold_pages(pred: DataFrame, truth: DataFrame, at_least: float) -> DataFrame:
-    """Greedy matching of pages with few boxes: one ordered fold per page."""
+    """Greedy matching of pages with few boxes: one ordered fold per page.
+
+    Rows are matches, and unmatched predictions that overlap a matched truth.
+    """
     pairs = near_pairs(
         pred.select("page", "p", *_EDGES), truth.select("page", "a", *_EDGES), "page", at_least
     ).select("page", F.col("l_p").alias("p"), F.col("r_a").alias("a"), "iou")
@@ -155,20 +160,44 @@ def _fold_pages(pred: DataFrame, truth: DataFrame, at_least: float) -> DataFrame
         used = F.exists(done, lambda m: (m["p"] == pair["p"]) | (m["a"] == pair["a"]))
         return F.when(used, done).otherwise(F.concat(done, F.array(pair)))
 
-    # a lone qualifying pair needs no fold
-    folded = F.when(F.size("todo") == 1, F.col("todo")).otherwise(
-        F.aggregate("todo", F.array().cast(entry), take)
+    # a lone qualifying pair needs no fold and leaves no duplicate
+    lone = F.size("todo") == 1
+    folded = F.when(lone, F.col("todo")).otherwise(F.aggregate("todo", F.array().cast(entry), take))
+
+    def again(pair: Column) -> Column:
+        own = F.exists("m", lambda m: m["p"] == pair["p"])
+        return ~own & F.exists("m", lambda m: m["a"] == pair["a"])
+
+    extra = F.when(
+        F.size("todo") > F.size("m"),
+        F.array_distinct(F.transform(F.filter("todo", again), lambda t: t["p"])),
     )
-    return (
-        ranked.select("page", F.explode(folded).alias("m"))
-        .select("page", "m.p", "m.a", (-F.col("m.worse")).alias("iou"))
+    matched = ranked.withColumn("m", folded)
+    a_type = truth.schema["a"].dataType.simpleString()
+    rows = F.concat(
+        F.transform(
+            "m",
+            lambda m: F.struct(
+                m["p"].alias("p"), m["a"].alias("a"), (-m["worse"]).alias("iou"), F.lit(False).alias("duplicate")
+            ),
+        ),
+        F.transform(
+            F.coalesce(extra, F.slice(F.transform("m", lambda m: m["p"]), 1, 0)),
+            lambda p: F.struct(
+                p.alias("p"),
+                F.lit(None).cast(a_type).alias("a"),
+                F.lit(None).cast("double").alias("iou"),
+                F.lit(True).alias("duplicate"),
+            ),
+        ),
     )
+    return matched.select("page", F.inline(rows))
 
 
-def greedy_match(
+def pairing(
     pred: DataFrame, truth: DataFrame, at_least: float = MATCH_IOU, fold_limit: int = FOLD_LIMIT
 ) -> DataFrame:
-    """One-to-one matches by falling IoU, then prediction, then truth index.
+    """Matches, and duplicates as rows without a truth: ``page, p, a, iou, duplicate``.
 
     Pages with up to ``fold_limit`` boxes are matched by a fold inside one row;
     larger pages go through ``greedy_match_rounds``, which gives the same result
@@ -181,10 +210,21 @@ def greedy_match(
     small = _fold_pages(
         pred.join(large, "page", "left_anti"), truth.join(large, "page", "left_anti"), at_least
     )
-    rounds = greedy_match_rounds(
-        pred.join(large, "page", "left_semi"), truth.join(large, "page", "left_semi"), at_least
+    big_pred, big_truth = (df.join(large, "page", "left_semi") for df in (pred, truth))
+    match = cut(greedy_match_rounds(big_pred, big_truth, at_least))
+    again = duplicates(big_pred, big_truth, match, at_least).select("page", "p", F.lit(True).alias("duplicate"))
+    return (
+        small.unionByName(match.withColumn("duplicate", F.lit(False)))
+        .unionByName(again, allowMissingColumns=True)
     )
-    return small.unionByName(rounds)
+
+
+def greedy_match(
+    pred: DataFrame, truth: DataFrame, at_least: float = MATCH_IOU, fold_limit: int = FOLD_LIMIT
+) -> DataFrame:
+    """One-to-one matches by falling IoU, then prediction, then truth index."""
+    paired = pairing(pred, truth, at_least, fold_limit)
+    return paired.where(~F.col("duplicate")).select("page", "p", "a", "iou")
 
 
 def _members(df: DataFrame, index: str, copied: DataFrame) -> DataFrame:
@@ -362,11 +402,12 @@ def nearest_truth(pred: DataFrame, truth: DataFrame) -> DataFrame:
     first_a = truth.groupBy("page").agg(F.min("a").alias("a"))
     todo, answers = distinct_boxes(pred, "p").select("page", *_EDGES), []
     for at_least in (MATCH_IOU, 0.5, 0.0):
+        todo = cut(todo)
         pairs = box_pairs(todo.withColumn("p", F.lit(0)), truth, at_least)
         hit = pairs.groupBy("page", *(F.col("p" + e).alias(e) for e in _EDGES)).agg(
             F.min(F.struct((-F.col("iou")).alias("worse"), F.col("first_a").alias("a"))).alias("b")
         )
-        hit = hit.select("page", *_EDGES, F.col("b.a").alias("a"), (-F.col("b.worse")).alias("iou"))
+        hit = cut(hit.select("page", *_EDGES, F.col("b.a").alias("a"), (-F.col("b.worse")).alias("iou")))
         answers.append(hit)
         todo = todo.join(hit, ["page", *_EDGES], "left_anti")
     apart = todo.join(first_a, "page").select("page", *_EDGES, "a", F.lit(0.0).alias("iou"))

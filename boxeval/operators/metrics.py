@@ -37,23 +37,20 @@ COMPARED = [*COUNTS[:4], *DETECTION, "precision", "recall", "exact_rate", "squar
 
 
 def score_predictions(
-    pred: DataFrame, truth: DataFrame, match: DataFrame, duplicate: DataFrame, inputs: DataFrame
+    pred: DataFrame, truth: DataFrame, paired: DataFrame, inputs: DataFrame
 ) -> DataFrame:
     """One record per prediction: what it matched and whether it read it right.
 
     ``pred`` has ``cells, min_conf, orientation, orientation_ambiguous``, ``truth``
-    has ``cells, orientation`` and ``inputs`` has ``width, height, oracle``.
+    has ``cells, orientation``, ``inputs`` has ``width, height, oracle`` and ``paired``
+    holds the matches and duplicates of ``matching.pairing``.
     """
     known = truth.select(
         "page", "a", F.col("cells").alias("true_cells"), F.col("orientation").alias("true_orientation"),
         *(F.col(e).alias("t" + e) for e in ("x0", "y0", "x1", "y1")),
     )
-    twice = duplicate.select("page", "p", F.lit(True).alias("again"))
     joined = (
-        pred.join(match.select("page", "p", "a", "iou"), ["page", "p"], "left")
-        .join(known, ["page", "a"], "left")
-        .join(twice, ["page", "p"], "left")
-        .join(inputs, "page")
+        pred.join(paired, ["page", "p"], "left").join(known, ["page", "a"], "left").join(inputs, "page")
     )
     matched = F.col("a").isNotNull()
     given = F.col("oracle")
@@ -68,7 +65,7 @@ def score_predictions(
         in_bounds(box(), F.col("width"), F.col("height")).alias("in_image"),
         is_reliable(F.col("min_conf")).alias("reliable"),
         F.col("a").alias("matched_a"),
-        (~given & ~matched & F.coalesce("again", F.lit(False))).alias("duplicate"),
+        (~given & F.coalesce("duplicate", F.lit(False))).alias("duplicate"),
         F.when(~given, F.col("iou")).alias("iou"),
         F.when(~given & matched, grid_error(box(), box("t"))).alias("grid_error"),
         F.when(matched, correct_cells(F.col("cells"), F.col("true_cells"))).alias("correct_squares"),

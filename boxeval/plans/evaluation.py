@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from boxeval.functions.numbers import safe_ratio
 from boxeval.operators import matching as J
 from boxeval.operators.metrics import score_predictions
-from boxeval.session import cut
 
 
 def score_pages(
@@ -17,13 +16,11 @@ def score_pages(
     """Records of all predictions.  Inputs that were ``given`` their box have one
     truth and one prediction each, which belong together whatever their IoU."""
     if given:
-        pairs = pred.join(truth.select("page", "a"), "page").select("page", "p", "a", F.lit(1.0).alias("iou"))
-        none = pred.where(F.lit(False))
-        return score_predictions(pred, truth, pairs, none, inputs)
-    # used four times below, so it is computed once
-    match = cut(J.greedy_match(pred, truth))
-    again = J.duplicates(pred, truth, match)
-    return score_predictions(pred, truth, match, again, inputs)
+        together = pred.select("page", "p").join(truth.select("page", "a"), "page")
+        paired = together.withColumn("iou", F.lit(1.0)).withColumn("duplicate", F.lit(False))
+    else:
+        paired = J.pairing(pred, truth)
+    return score_predictions(pred, truth, paired, inputs)
 
 
 def detector_quality(pred: DataFrame, truth: DataFrame, groups: DataFrame) -> DataFrame:
