@@ -23,9 +23,8 @@ def parse_expression(text: Column) -> Column:
     """
     trimmed = F.trim(text)
     wrapped = trimmed.startswith("(") & trimmed.endswith(")")
-    # a lone parenthesis is both start and end; nothing is left of it
-    inner = F.when(wrapped, F.trim(F.substring(trimmed, F.lit(2), F.greatest(F.length(trimmed) - 2, F.lit(0)))))
-    bare = inner.otherwise(trimmed)
+    inner = F.trim(F.substring(trimmed, F.lit(2), F.length(trimmed) - 2))
+    bare = F.when(wrapped, inner).otherwise(trimmed)
     has_or, has_and = bare.contains(" OR "), bare.contains(" AND ")
 
     def split(word: str) -> Column:

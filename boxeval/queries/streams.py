@@ -58,8 +58,8 @@ def _workers(spark: SparkSession, sf: str) -> DataFrame:
     # one more message per worker at the end of the input closes it, and a later
     # one moves the watermark past it
     ends = messages.groupBy("worker").agg(F.max("key").alias("key"))
-    last = messages.agg(F.max("us").alias("last"))
-    tail = ends.join(last).select(
+    last = messages.agg(F.max("us")).first()[0]
+    tail = ends.select(
         "worker",
         "key",
         F.lit(0).cast("bigint").alias("request_id"),
@@ -69,11 +69,10 @@ def _workers(spark: SparkSession, sf: str) -> DataFrame:
                 F.struct(F.lit("idle").alias("kind"), F.lit(40).alias("days")),
             )
         ).alias("m"),
-        "last",
     )
     tail = tail.select(
         "worker", "key", "request_id", "m.kind",
-        (F.col("last") + F.col("m.days") * DAY_US).alias("us"),
+        (F.lit(last) + F.col("m.days") * DAY_US).alias("us"),
         F.lit(-1).cast("bigint").alias("event_id"),
     ).withColumn("ts", F.timestamp_micros("us"))
     both = messages.select(tail.columns).unionByName(tail)
