@@ -86,7 +86,9 @@ def near_pairs(left: DataFrame, right: DataFrame, key: str, at_least: float) ->
     keep = [key, *_CELLS]
     l_grid = _prefixed(_grid(left, at_least, spread=False), "l_", keep)
     r_grid = _prefixed(_grid(right, at_least, spread=True), "r_", keep)
-    joined = l_grid.join(r_grid, keep).drop(*_CELLS)
+    # size estimates do not see that rows are spread over cells, so a broadcast
+    # chosen from them could outgrow memory; a sorted join can also split skew
+    joined = l_grid.join(r_grid.hint("merge"), keep).drop(*_CELLS)
     scored = joined.withColumn("iou", iou(box("l_"), box("r_")))
     return scored.where(F.col("iou") >= at_least)
 
@@ -105,7 +107,7 @@ def touching_pairs(left: DataFrame, right: DataFrame, key: str, tile: float = 25
         ).withColumn("_ty", F.explode(F.sequence(F.floor(b.y0 / tile), F.floor(b.y1 / tile))))
         return _prefixed(spans, prefix, [key, "_tx", "_ty"])
 
-    joined = tiled(left, "l_").join(tiled(right, "r_"), [key, "_tx", "_ty"])
+    joined = tiled(left, "l_").join(tiled(right, "r_").hint("merge"), [key, "_tx", "_ty"])
     l, r = box("l_"), box("r_")
     owner = (F.col("_tx") == F.floor(F.greatest(l.x0, r.x0) / tile)) & (
         F.col("_ty") == F.floor(F.greatest(l.y0, r.y0) / tile)

@@ -62,11 +62,15 @@ def licence_line(text: Column) -> Column:
 
 def detect_licence(text: Column) -> Column:
     """Identifier of the licence line's wording; ``unknown`` when it has another."""
-    line = licence_line(text)
-    found = F.when(line.isNull(), F.lit(None).cast("string"))
-    for words, name in ALIASES:
-        found = found.when(F.contains(line, F.lit(words)), F.lit(name))
-    return found.otherwise(F.lit("unknown"))
+
+    def named(line: Column) -> Column:
+        found = F.when(line.isNull(), F.lit(None).cast("string"))
+        for words, name in ALIASES:
+            found = found.when(F.contains(line, F.lit(words)), F.lit(name))
+        return found.otherwise(F.lit("unknown"))
+
+    # the line is looked for once and then compared with every wording
+    return F.get(F.transform(F.array(licence_line(text)), named), F.lit(0))
 
 
 def inventory_count(inventory: DataFrame) -> DataFrame:
