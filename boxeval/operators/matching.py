@@ -266,11 +266,64 @@ def greedy_match_rounds(
     p_copied = live.where(F.col("n_pred") > 1).select("page", F.col("pc").alias("cls"))
     t_copied = live.where(F.col("n_truth") > 1).select("page", F.col("tc").alias("cls"))
     pm, tm = _members(pred, "p", p_copied), _members(truth, "a", t_copied)
-    runs = [_mutual_runs(live, pm, tm)]
-    while not runs[-1].isEmpty():
-        live = cut(_advance(live, runs[-1], pm, tm))
-        runs.append(_mutual_runs(live, pm, tm))
-    return _expand_runs(reduce(DataFrame.unionByName, runs), pm, tm)
+    runs, found = [], []
+    while not live.isEmpty():
+        stars = _stars(live)
+        if not stars.isEmpty():
+            shared = cut(_match_stars(stars, pm, tm))
+            found.append(shared.select("page", "p", "a", "iou"))
+            p_done = shared.groupBy("page", "pc").agg(F.count("*").alias("k"))
+            t_done = shared.groupBy("page", "tc").agg(F.count("*").alias("k"))
+            live = cut(_advance(live, p_done, t_done, pm, tm))
+            continue
+        run = _mutual_runs(live, pm, tm)
+        runs.append(run)
+        # a class is in at most one run per round
+        live = cut(_advance(live, run.select("page", "pc", "k"), run.select("page", "tc", "k"), pm, tm))
+    if runs:
+        found.append(_expand_runs(reduce(DataFrame.unionByName, runs), pm, tm))
+    if not found:
+        return live.select("page", F.col("p_head").alias("p"), F.col("t_head").alias("a"), "iou")
+    return reduce(DataFrame.unionByName, found)
+
+
+def _stars(live: DataFrame) -> DataFrame:
+    """Pairs of true boxes whose equally good predictions all want nothing else.
+
+    The copies of such predictions may take turns in index order, which rounds
+    of single heads would follow one by one.
+    """
+    by_p, by_t = Window.partitionBy("page", "pc"), Window.partitionBy("page", "tc")
+    marked = (
+        live.withColumn("p_best", F.max("iou").over(by_p))
+        .withColumn("p_ties", F.count_if(F.col("iou") == F.col("p_best")).over(by_p))
+        .withColumn("t_best", F.max("iou").over(by_t))
+    )
+    tied = F.col("iou") == F.col("t_best")
+    loyal = tied & (F.col("iou") == F.col("p_best")) & (F.col("p_ties") == 1)
+    counted = marked.withColumn("ties", F.count_if(tied).over(by_t)).withColumn(
+        "loyal", F.count_if(loyal).over(by_t)
+    )
+    chosen = counted.where(tied & (F.col("ties") > 1) & (F.col("loyal") == F.col("ties")))
+    return cut(chosen.select(*live.columns))
+
+
+def _match_stars(stars: DataFrame, pm: DataFrame, tm: DataFrame) -> DataFrame:
+    """Line up the copies of all predictions of a star and give out its truths in order."""
+    kept = ["page", "pc", "tc", "iou", "t_at", "n_truth", "t_head"]
+    single = stars.where(F.col("n_pred") == 1).select(*kept, F.col("p_head").alias("p"))
+    several = (
+        stars.join(pm.withColumnRenamed("cls", "pc"), ["page", "pc"])
+        .where(F.col("rank") >= F.col("p_at"))
+        .select(*kept, F.col("ix").alias("p"))
+    )
+    lined = row_numbers(single.unionByName(several), ["page", "tc"], [F.col("p")], "u")
+    served = lined.where(F.col("u") <= F.col("n_truth") - F.col("t_at")).withColumn(
+        "rank", F.col("t_at") + F.col("u") - 1
+    )
+    truths = tm.select("page", F.col("cls").alias("tc"), "rank", "ix")
+    named = served.join(truths, ["page", "tc", "rank"], "left")
+    return named.select("page", "pc", "tc", "iou", "p", F.coalesce("ix", "t_head").alias("a"))
 
 
 def _mutual_runs(live: DataFrame, pm: DataFrame, tm: DataFrame) -> DataFrame:
@@ -331,26 +384,26 @@ def _room(
     return inside.groupBy("page", cls).agg(F.count("*").alias(name))
 
 
-def _advance(live: DataFrame, run: DataFrame, pm: DataFrame, tm: DataFrame) -> DataFrame:
-    """Move the cursors past this round's matches and drop exhausted classes."""
-
-    def moved(cls: str, at: str, total: str, members: DataFrame, side: str) -> DataFrame:
-        # a class is in at most one run per round
-        after = run.select("page", F.col(cls).alias("cls"), (F.col(at) + F.col("k")).alias("rank"), total)
-        heads = after.join(members, ["page", "cls", "rank"], "left")
-        return heads.select(
-            "page", F.col("cls").alias(cls), F.col("rank").alias(side + "_to"), F.col("ix").alias(side + "_new")
-        )
-
-    joined = live.join(moved("pc", "p_at", "n_pred", pm, "p"), ["page", "pc"], "left").join(
-        moved("tc", "t_at", "n_truth", tm, "t"), ["page", "tc"], "left"
+def _advance(
+    live: DataFrame, p_done: DataFrame, t_done: DataFrame, pm: DataFrame, tm: DataFrame
+) -> DataFrame:
+    """Move the cursors past this round's ``k`` matches and drop exhausted classes."""
+    joined = live.join(p_done.withColumnRenamed("k", "p_k"), ["page", "pc"], "left").join(
+        t_done.withColumnRenamed("k", "t_k"), ["page", "tc"], "left"
     )
     for side in ("p", "t"):
-        joined = joined.withColumn(side + "_head", F.coalesce(side + "_new", side + "_head")).withColumn(
-            side + "_at", F.coalesce(side + "_to", side + "_at")
-        )
+        joined = joined.withColumn(side + "_at", F.col(side + "_at") + F.coalesce(side + "_k", F.lit(0)))
     left = (F.col("p_at") < F.col("n_pred")) & (F.col("t_at") < F.col("n_truth"))
-    return joined.where(left).select(*live.columns)
+    rest = joined.where(left)
+    # only classes with copies can have moved and still be here
+    for side, cls, members in (("p", "pc", pm), ("t", "tc", tm)):
+        heads = members.select(
+            "page", F.col("cls").alias(cls), F.col("rank").alias(side + "_at"), F.col("ix").alias(side + "_new")
+        )
+        rest = rest.join(heads, ["page", cls, side + "_at"], "left").withColumn(
+            side + "_head", F.coalesce(side + "_new", side + "_head")
+        )
+    return rest.select(*live.columns)
 
 
 def _expand_runs(runs: DataFrame, pm: DataFrame, tm: DataFrame) -> DataFrame:
