@@ -22,9 +22,12 @@ from boxeval.llm.common import bounded_batches, training_sample
 
 #: Judged contents that the fit looks at, about; all if there are fewer.  One task holds their words.
 TRAINING_ROWS = 12_000
-#: Words must occur in so many of those contents to have a weight.
-LEAST_CONTENTS = 4
-ROUNDS, RATE, DECAY, START = 80, 0.4, 1e-5, -6.0
+#: Words and stems must occur in so many of those contents, and their log-odds between toxic and other contents must be
+#: so many standard deviations from 0, to have a weight.
+LEAST_CONTENTS, LEAST_DEVIATIONS = 5, 3.5
+#: Lengths of the word starts that count as stems.
+STEMS = (3, 4, 5, 6)
+ROUNDS, RATE, DECAY, START = 120, 0.4, 1e-5, -6.0
 #: Weights below this have no say and are not kept.
 LEAST_WEIGHT = 0.02
 #: Probability from which a sentence is reported.
@@ -34,9 +37,18 @@ _SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def parts(text: str) -> set[str]:
+    """The words of a text in lower case, and their starts with a mark."""
+    words = set(_WORD.findall(text.lower()))
+    found = set(words)
+    for n in STEMS:
+        found.update([w[:n] + "-" for w in words if len(w) > n])
+    return found
+
+
 @dataclass(frozen=True)
 class SentenceModel:
-    """Weights of words and of the empty sentence."""
+    """Weights of words and stems, and of the empty sentence."""
 
     weights: dict[str, float]
     bias: float
@@ -45,7 +57,7 @@ class SentenceModel:
         """Start, end and log-odds of each sentence that has a word with a weight."""
         weights = self.weights
         for sentence in _SENTENCE.finditer(text):
-            found = set(_WORD.findall(sentence[0].lower())) & weights.keys()
+            found = parts(sentence[0]) & weights.keys()
             if found:
                 yield sentence.start(), sentence.end(), self.bias + sum(weights[w] for w in sorted(found))
 
@@ -61,15 +73,31 @@ class SentenceModel:
         return float(-np.expm1(-total)), spans
 
 
+def telling(toxic: Counter, other: Counter, n_toxic: int, n_other: int) -> list[str]:
+    """Words and stems that occur in the one kind of contents clearly more often than in the other."""
+    names = []
+    for name in toxic.keys() | other.keys():
+        a, b = toxic[name], other[name]
+        if a + b >= LEAST_CONTENTS:
+            odds = np.log((a + 0.5) / (n_toxic - a + 0.5)) - np.log((b + 0.5) / (n_other - b + 0.5))
+            spread = np.sqrt(1 / (a + 0.5) + 1 / (n_toxic - a + 0.5) + 1 / (b + 0.5) + 1 / (n_other - b + 0.5))
+            if abs(odds) >= LEAST_DEVIATIONS * spread:
+                names.append(name)
+    return sorted(names)
+
+
 def learn(texts: list[str], verdicts: np.ndarray) -> SentenceModel:
     """Fit weights to the verdicts by full gradients with a step per weight."""
-    in_contents = Counter(w for text in texts for w in set(_WORD.findall(text.lower())))
-    names = sorted(w for w, n in in_contents.items() if n >= LEAST_CONTENTS)
+    toxic = np.asarray(verdicts) == 1
+    counts = Counter(), Counter()
+    for text, verdict in zip(texts, toxic, strict=True):
+        counts[int(verdict)].update(parts(text))
+    names = telling(counts[1], counts[0], int(toxic.sum()), int((~toxic).sum()))
     index = {w: i for i, w in enumerate(names)}
     words, sizes, owners = [], [], []
     for owner, text in enumerate(texts):
         for sentence in _SENTENCE.finditer(text):
-            own = sorted(index[w] for w in set(_WORD.findall(sentence[0].lower())) & index.keys())
+            own = sorted(index[w] for w in parts(sentence[0]) & index.keys())
             if own:
                 words.append(np.array(own, np.int32))
                 sizes.append(len(own))
@@ -80,7 +108,6 @@ def learn(texts: list[str], verdicts: np.ndarray) -> SentenceModel:
     flat, size, owner = np.concatenate(words), np.array(sizes), np.array(owners)
     del words, sizes, owners
     at = np.repeat(np.arange(len(size)), size)
-    toxic = np.asarray(verdicts) == 1
     w, b = np.zeros(len(names)), START
     seen_w, seen_b = np.full(len(names), 1e-8), 1e-8
     for _ in range(ROUNDS):
