@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxeval.llm.bpe import tokenize_contents
 from boxeval.llm.common import fixture_contents, held_out
+from boxeval.llm.fingerprints import fingerprint_neighbours
 from boxeval.llm.quality import fit_quality, score_quality
+from boxeval.llm.secrets import KINDS, scan_secrets
 from boxeval.llm.toxicity import fit_toxicity, score_toxicity
 
 QUERIES = {}
@@ -52,6 +54,34 @@ def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query("op4_lz_fingerprints")
+def fingerprints_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_neighbours(contents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+def _span_list(spans: Column) -> Column:
+    def text(s: Column) -> Column:
+        return F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+
+    return F.array_join(F.transform(spans, text), ",")
+
+
+@_query("op5_secrets")
+def secrets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def number(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["layer"] == "")
+    found = scan_secrets(contents(spark, sf_dir)).withColumn("base", base)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *map(number, KINDS),
+        F.sha2(_span_list(F.col("base")), 256).alias("base_sha256"),
+        _span_list(F.col("spans")).alias("spans"),
+        "complete",
+    )
+
+
 @_query("op6_byte_bpe")
 def byte_bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
