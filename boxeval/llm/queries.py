@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxeval.llm.bpe import tokenize_contents
+from boxeval.llm.chat import format_conversations, read_turns
 from boxeval.llm.common import fixture_contents, held_out
 from boxeval.llm.fingerprints import fingerprint_neighbours
+from boxeval.llm.packing import cut_contents, pack_pieces
 from boxeval.llm.quality import fit_quality, score_quality
+from boxeval.llm.rollups import commit, totals
 from boxeval.llm.secrets import KINDS, scan_secrets
 from boxeval.llm.toxicity import fit_toxicity, score_toxicity
+from boxeval.session import checkpoint_root, cut
+
+#: What a content's tokens end with, and the texts that the vocabulary takes for one token.
+END_ID, SPECIALS = 2, {"<|endoftext|>": 50256}
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -54,6 +63,57 @@ def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def packed(texts: DataFrame) -> DataFrame:
+    """Pieces of contents with the check sum of their ids and their place in a sequence."""
+    # the same ids as the JSON file's library gives, four times as fast; the tests compare them
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    pieces = cut_contents(texts, path, public_tokenizers.PATTERN, SPECIALS, END_ID)
+    pieces = pieces.withColumn("ids_crc32", F.crc32("token_ids")).drop("token_ids")
+    return pack_pieces(pieces).withColumnRenamed("id", "doc_id")
+
+
+@_query("op2_packing")
+def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(contents(spark, sf_dir))
+
+
+@_query("op3_chat")
+def chat_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    # equal rows are turns of their own, so that each has a number in its request's id
+    counted = rows.unionByName(extra).groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("n"))
+    counted = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    messages = counted.select(
+        F.col("conv_id").alias("key"),
+        F.struct("role", F.md5("text").alias("digest"), "copy").alias("request_id"),
+        F.col("turn").alias("seq"),
+        F.lit("request").alias("kind"),
+        "role",
+        "text",
+    )
+    formatted = cut(format_conversations(messages))
+    turns = read_turns(formatted).groupBy("key").agg(
+        F.array_sort(F.collect_list(F.struct("turn", "role", "text", "learned"))).alias("t")
+    )
+    turns = turns.select(
+        F.col("key").alias("conv_id"),
+        F.size("t").cast("long").alias("n_turns"),
+        F.array_join(F.transform("t", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("all"),
+        F.array_join(F.col("t.learned"), "").alias("learned"),
+    )
+    sizes = formatted.select(F.col("key").alias("_key"), F.length("formatted").cast("long").alias("formatted_chars"))
+    return turns.join(sizes, F.col("conv_id").eqNullSafe(F.col("_key"))).select(
+        "conv_id",
+        "n_turns",
+        F.sha2("all", 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
 @_query("op4_lz_fingerprints")
 def fingerprints_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_neighbours(contents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
@@ -104,3 +164,59 @@ def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"),
     )
+
+
+_ROLLUP_SQL = """
+WITH counted AS (
+  SELECT doc_id, source, lang, length(coalesce(text, '')) AS letters,
+         CAST(ceil(length(coalesce(text, '')) / 4.0) AS BIGINT) AS guess,
+         len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r]+')) AS words
+  FROM documents),
+changes AS (
+  SELECT source, lang, 'words-1' AS tokenizer, 1 AS f, guess AS t FROM counted
+  UNION ALL SELECT source, lang, 'words-1', 0, words - guess FROM counted
+  UNION ALL SELECT source, lang, 'letters-1', 1, letters FROM counted
+  UNION ALL SELECT source, lang, 'words-1', -1, -words FROM counted
+            WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0))
+SELECT source, lang AS language, tokenizer, CAST(sum(f) AS BIGINT) AS n_fixtures, CAST(sum(t) AS BIGINT) AS n_tokens
+FROM changes GROUP BY ALL
+"""
+
+
+@_query("op10_token_rollups", _ROLLUP_SQL)
+def rollups_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Guesses are inserted, then revised by counts; rejected documents go; and the revision is sent twice."""
+    text = F.coalesce("text", F.lit(""))
+    counted = _table(spark, sf_dir, "documents").select(
+        "doc_id",
+        "source",
+        F.col("lang").alias("language"),
+        F.length(text).cast("long").alias("letters"),
+        F.ceil(F.length(text) / 4).cast("long").alias("guess"),
+        F.regexp_count(text, F.lit("[^ \\t\\n\\r]+")).cast("long").alias("words"),
+    )
+
+    def change(batch: int, kind: str, tokenizer: str, n_tokens: str, prev_tokens: str | None = None) -> Column:
+        before = F.col(prev_tokens) if prev_tokens else F.lit(None).cast("long")
+        return F.struct(
+            F.lit(batch).alias("batch_id"),
+            F.lit(kind).alias("kind"),
+            F.lit(tokenizer).alias("tokenizer"),
+            F.col(n_tokens).alias("n_tokens"),
+            before.alias("prev_tokens"),
+        )
+
+    def changes(of: DataFrame, *each: Column) -> DataFrame:
+        return of.select("source", "language", F.inline(F.array(*each)))
+
+    revision = change(2, "revise", "words-1", "words", "guess")
+    first = changes(counted, change(1, "insert", "words-1", "guess"), revision, change(3, "insert", "letters-1", "letters"))
+    rejected = _table(spark, sf_dir, "labels").where(F.col("quality") == 0)
+    second = changes(counted.join(rejected, "doc_id", "left_semi"), change(4, "delete", "words-1", "words"))
+    table = f"{checkpoint_root(spark)}/rollups-{uuid.uuid4().hex}"
+    commit(first, table)
+    commit(second.unionByName(changes(counted, revision)), table)
+    result = cut(totals(spark, table))
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return result
