@@ -3,7 +3,7 @@
 A content's tokens are cut into pieces no longer than a sequence.  Pieces are
 dealt into blocks by a hash, and each block places its pieces, longest first:
 a piece goes where the sum, over all gaps, of the squared number of open
-sequences with that gap becomes smallest.  What is still open in the blocks is
+sequences with that gap becomes smallest, among those with room for it.  What is still open in the blocks is
 then placed into each other in the same way, sequence by sequence, so that a
 block's last sequences don't stay half empty.
 
@@ -89,8 +89,9 @@ def cut_contents(
 def place(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
     """Sequence and offset of each piece, taken in the given order.
 
-    Of equal sums of squares the one with the smallest gap is taken, and of
-    sequences with that gap the youngest.
+    A new sequence is opened only if no open one has room: longest first, that
+    needs the fewest sequences.  Of equal sums of squares the one with the
+    smallest gap is taken, and of sequences with that gap the youngest.
     """
     # open sequences per gap; the entry of gap 0 makes a full sequence count for nothing
     number = np.zeros(capacity + 1)
@@ -98,16 +99,16 @@ def place(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
     waiting: list[list[int]] = [[] for _ in range(capacity + 1)]
     sequences, offsets, made = [], [], 0
     for length in lengths:
-        old = number[length:]
-        change = 2 * (number[: capacity + 1 - length] - old) + 2
-        change[old == 0] = np.inf
-        change[-1] = 2 * number[capacity - length] + 1  # a new sequence: no gap goes away
-        gap = int(change.argmin()) + length
-        if gap == capacity:
-            sequence, made = made, made + 1
-        else:
+        old = number[length:capacity]
+        if old.any():
+            change = number[: capacity - length] - old  # half of what the sum of squares changes by, less 1
+            change[old == 0] = np.inf
+            gap = int(change.argmin()) + length
             sequence = waiting[gap].pop()
             number[gap] -= 1
+        else:
+            gap = capacity
+            sequence, made = made, made + 1
         sequences.append(sequence)
         offsets.append(capacity - gap)
         if gap > length:
