@@ -12,6 +12,8 @@ from boxeval.llm.bpe import tokenize_contents
 from boxeval.llm.chat import format_conversations, read_turns
 from boxeval.llm.common import fixture_contents, held_out
 from boxeval.llm.fingerprints import fingerprint_neighbours
+from boxeval.llm.jaccard import near_duplicates
+from boxeval.llm.neighbours import nearest_boards
 from boxeval.llm.packing import cut_contents, pack_pieces
 from boxeval.llm.quality import fit_quality, score_quality
 from boxeval.llm.rollups import commit, totals
@@ -154,6 +156,14 @@ def byte_bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query("op7_nearest")
+def nearest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boards = _table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("board_id"), F.col("embedding").alias("confidences")
+    )
+    return nearest_boards(boards, F.col("board_id") % 20 == 0).withColumnRenamed("board_id", "vec_id")
+
+
 @_query("op8_quality")
 def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = contents(spark, sf_dir)
@@ -166,6 +176,11 @@ def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query("op9_ngram_jaccard")
+def jaccard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(contents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 _ROLLUP_SQL = """
 WITH counted AS (
   SELECT doc_id, source, lang, length(coalesce(text, '')) AS letters,
