@@ -1,7 +1,8 @@
 """Quality of fixture contents by a regularised quadratic discriminant.
 
-Each content becomes a vector of transformed statistics (logarithms of sizes,
-logits of shares).  Each class has a mean and a covariance, shrunk towards the
+Each content becomes a vector of transformed statistics (logarithms of lengths
+of words, logits of shares).  How long a content is says nothing of its
+quality and is not among them.  Each class has a mean and a covariance, shrunk towards the
 pooled one and towards its own diagonal; their Cholesky factors are computed
 once.  The score is the logistic of the difference of the two log-densities
 plus the log of the classes' odds.
@@ -30,14 +31,17 @@ POOLED, DIAGONAL = 0.1, 0.05
 #: Variance that every statistic has at least.
 LEAST_VARIANCE = 1e-3
 
+#: Different words that every content is taken to have besides its own, so that a few words are not yet a repetition.
+PLAIN = 20
+
 _LETTERS_ONLY = re.compile(r"[^\W\d_]+")
 _SYMBOLS = re.compile(r"[^\w\s]+")
 _UPPER = re.compile(r"[^\W\d_a-zß-öø-ÿ]")
 _DIGITS = re.compile(r"\d")
 
 STATISTICS = (
-    "chars", "words", "word_length", "longest_word", "letters", "upper", "digits", "symbols", "symbol_runs",
-    "longest_symbol_run", "blanks", "distinct_words", "commonest_word", "distinct_pairs", "lines", "distinct_lines", "line_length",
+    "word_length", "longest_word", "letters", "upper", "digits", "symbols", "symbol_runs", "longest_symbol_run",
+    "blanks", "distinct_words", "commonest_word", "distinct_pairs", "distinct_lines",
 )
 
 
@@ -62,8 +66,6 @@ def statistics(text: str) -> list[float]:
     upper = sum(map(str.__ne__, text, lowered)) if len(lowered) == n else len(_UPPER.findall(text))
     pairs = len(set(zip(words, words[1:], strict=False)))
     return [
-        math.log1p(n),
-        math.log1p(len(words)),
         math.log1p(sum(lengths) / count),
         math.log1p(max(lengths)),
         _logit(letters / size),
@@ -73,12 +75,10 @@ def statistics(text: str) -> list[float]:
         _logit(min(1.0, len(runs) / count)),
         math.log1p(max(map(len, runs), default=0)),
         _logit(min(1.0, (n - sum(lengths)) / size)),
-        _logit(len(seen) / count),
-        _logit(max(seen.values(), default=0) / count),
-        _logit(pairs / max(len(words) - 1, 1)),
-        math.log1p(len(lines)),
-        _logit(len(set(lines)) / max(len(lines), 1)),
-        math.log1p(sum(map(len, lines)) / max(len(lines), 1)),
+        _logit((len(seen) + PLAIN) / (len(words) + PLAIN)),
+        _logit(max(seen.values(), default=0) / (len(words) + PLAIN)),
+        _logit((pairs + PLAIN) / (max(len(words) - 1, 0) + PLAIN)),
+        _logit((len(set(lines)) + PLAIN / 10) / (len(lines) + PLAIN / 10)),
     ]
 
 
