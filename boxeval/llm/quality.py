@@ -27,7 +27,7 @@ from boxeval.llm.common import bounded_batches, training_sample
 #: Judged contents that the fit looks at, about; all if there are fewer.
 TRAINING_ROWS = 40_000
 #: Weight of the pooled covariance in that of a class, and of the diagonal in the result.
-POOLED, DIAGONAL = 0.1, 0.05
+POOLED, DIAGONAL = 0.3, 0.05
 #: Variance that every statistic has at least.
 LEAST_VARIANCE = 1e-3
 
@@ -54,8 +54,6 @@ def statistics(text: str) -> list[float]:
     n = len(text)
     words = text.split()
     lines = [line for line in text.split("\n") if line]
-    size = max(n, 1)
-    count = max(len(words), 1)
     lengths = list(map(len, words)) or [0]
     seen: dict[str, int] = {}
     for word in words:
@@ -65,16 +63,18 @@ def statistics(text: str) -> list[float]:
     lowered = text.lower()
     upper = sum(map(str.__ne__, text, lowered)) if len(lowered) == n else len(_UPPER.findall(text))
     pairs = len(set(zip(words, words[1:], strict=False)))
+    size = n + 10 * PLAIN
+    count = len(words) + PLAIN
     return [
-        math.log1p(sum(lengths) / count),
+        math.log1p((sum(lengths) + 5 * PLAIN) / count),
         math.log1p(max(lengths)),
-        _logit(letters / size),
-        _logit(upper / size),
+        _logit((letters + 8 * PLAIN) / size),
+        _logit((upper + 0.3 * PLAIN) / size),
         _logit(len(_DIGITS.findall(text)) / size),
-        _logit(sum(map(len, runs)) / size),
-        _logit(min(1.0, len(runs) / count)),
+        _logit((sum(map(len, runs)) + 0.3 * PLAIN) / size),
+        _logit(min(1.0, (len(runs) + 0.15 * PLAIN) / count)),
         math.log1p(max(map(len, runs), default=0)),
-        _logit(min(1.0, (n - sum(lengths)) / size)),
+        _logit((n - sum(lengths) + 1.7 * PLAIN) / size),
         _logit((len(seen) + PLAIN) / (len(words) + PLAIN)),
         _logit(max(seen.values(), default=0) / (len(words) + PLAIN)),
         _logit((pairs + PLAIN) / (max(len(words) - 1, 0) + PLAIN)),
