@@ -41,4 +41,4 @@ def training_sample(contents: DataFrame, verdicts: DataFrame, rows: int) -> Data
     if there > rows:
         at = F.pmod(F.xxhash64("id"), F.lit(_RESOLUTION))
         known = known.where(at < F.lit(int(_RESOLUTION * rows / there)))
-    return contents.join(F.broadcast(known), "id").select("id", "content", "verdict")
+    return contents.select("id", "content").join(F.broadcast(known), "id")

@@ -252,7 +252,9 @@ def _by_pair(rows: DataFrame, key: str, work: Callable, schema: str) -> DataFram
             if found is not None and found.num_rows:
                 yield found
 
-    dealt = rows.repartition(key, "_low", "_high").sortWithinPartitions(key, "_low", "_high")
+    # few bytes can be much work: tasks are not to be merged by size
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(tasks, key, "_low", "_high").sortWithinPartitions(key, "_low", "_high")
     return dealt.mapInArrow(runs, schema)
 
 

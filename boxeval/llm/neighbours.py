@@ -47,7 +47,11 @@ class CentroidGraph:
         self.centroids, self.shares, self.radius = centroids.astype(np.float32), shares, radius
         n = len(centroids)
         gaps = self._distances(self.centroids)
-        self.links = np.argsort(gaps, axis=1)[:, : min(LINKS + 1, n)]
+        # links go both ways, else a centroid that is near to none would not be met; rows are filled up with the last link
+        near = np.zeros((n, n), bool)
+        np.put_along_axis(near, np.argsort(gaps, axis=1)[:, : LINKS + 1], True, axis=1)
+        own = [np.flatnonzero(row) for row in near | near.T]
+        self.links = np.array([np.pad(o, (0, max(map(len, own)) - len(o)), "edge") for o in own])
         self.gaps = np.sqrt(gaps)
         self.entries = np.unique(np.linspace(0, n - 1, min(n, 16)).astype(int))
 
@@ -178,15 +182,14 @@ def nearest_boards(boards: DataFrame, is_query: Column, k: int = 20) -> DataFram
     entries = rows.withColumn("_n", F.row_number().over(copies)).where(F.col("_n") <= k + 1)
     entries = cut(entries.groupBy("confidences").agg(F.array_sort(F.collect_list("board_id")).alias("board_ids")))
     queries = rows.where(is_query)
-    asked = queries.groupBy("confidences").agg(F.min("board_id").alias("asked"))
+    asked = queries.select("confidences").distinct()
 
     length = F.sqrt(F.aggregate("confidences", F.lit(0.0), lambda s, c: s + c * c))
     about = entries.agg(F.count("*").alias("n"), F.max(length).alias("radius")).first()
     at = F.pmod(F.xxhash64("confidences"), F.lit(_RESOLUTION))
     few = entries.where(at < F.lit(min(_RESOLUTION, int(_RESOLUTION * SAMPLE_ROWS / max(about.n, 1)))))
-    sample = np.array([row.confidences for row in few.select("confidences").collect()], float)
-    if not len(sample):  # nothing, or so few that none was drawn
-        sample = np.array([row.confidences for row in entries.limit(1).collect()], float).reshape(min(about.n, 1), -1)
+    drawn = few.select("confidences").collect() or entries.select("confidences").limit(1).collect()
+    sample = np.array([row.confidences for row in drawn], float)
     lists = max(1, min(MOST_LISTS, about.n // LIST_ROWS))
     graph = fit_lists(sample[np.lexsort(sample.T)], lists, about.radius or 0.0) if len(sample) else None
     shared = spark.sparkContext.broadcast(graph)
@@ -214,22 +217,21 @@ def nearest_boards(boards: DataFrame, is_query: Column, k: int = 20) -> DataFram
                 at = [i for i, own in enumerate(looked) for x in own for _ in range(blocks[x])]
                 pairs = [(x, b) for own in looked for x in own for b in range(blocks[x])]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x for x, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64()), *(batch[c].take(pa.array(at)) for c in ("confidences", "asked"))],
-                    names=["list", "block", "confidences", "asked"],
+                    [pa.array([x for x, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64()), batch["confidences"].take(pa.array(at))],
+                    names=["list", "block", "confidences"],
                 )
 
     def look(asked: pa.Table, there: pa.Table) -> pa.Table:
         return _look(asked, there, k + 1)
 
     posted = entries.mapInArrow(post, "list bigint, block bigint, confidences array<double>, board_ids array<bigint>")
-    looking = asked.mapInArrow(ask, "list bigint, block bigint, confidences array<double>, asked bigint")
+    looking = asked.mapInArrow(ask, "list bigint, block bigint, confidences array<double>")
     found = looking.groupBy("list", "block").cogroup(posted.groupBy("list", "block")).applyInArrow(
-        look, "asked bigint, found array<struct<less:double,board_id:bigint>>"
+        look, "confidences array<double>, found array<struct<less:double,board_id:bigint>>"
     )
     # a vector in several lists is found several times, with the very same score
-    best = found.groupBy("asked").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"))
-    known = asked.join(best, "asked").select("confidences", "found")
-    answers = queries.join(known, "confidences").select(
+    best = found.groupBy("confidences").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"))
+    answers = queries.join(best, "confidences").select(
         F.col("board_id").alias("query_id"),
         F.filter("found", lambda f: f["board_id"] != F.col("board_id")).alias("found"),
     )
@@ -241,7 +243,7 @@ def nearest_boards(boards: DataFrame, is_query: Column, k: int = 20) -> DataFram
 
 def _look(asked: pa.Table, there: pa.Table, most: int) -> pa.Table:
     """The nearest entries of one block for each query, with the negative score first, so that they sort."""
-    kind = pa.schema([("asked", pa.int64()), ("found", pa.list_(pa.struct([("less", pa.float64()), ("board_id", pa.int64())])))])
+    kind = pa.schema([("confidences", pa.list_(pa.float64())), ("found", pa.list_(pa.struct([("less", pa.float64()), ("board_id", pa.int64())])))])
     if not asked.num_rows or not there.num_rows:
         return kind.empty_table()
     queries, vectors = _matrix(asked["confidences"]), _matrix(there["confidences"])
@@ -257,4 +259,4 @@ def _look(asked: pa.Table, there: pa.Table, most: int) -> pa.Table:
             exact = (query * vectors[chosen]).sum(axis=1).tolist()
             hits = sorted((-score, board) for score, i in zip(exact, chosen, strict=True) for board in ids[i])[:most]
             found.append([{"less": less, "board_id": board} for less, board in hits])
-    return pa.table([asked["asked"].combine_chunks() if asked["asked"].num_chunks else asked["asked"], pa.array(found, kind.field("found").type)], schema=kind)
+    return pa.table([asked["confidences"].cast(kind.field("confidences").type), pa.array(found, kind.field("found").type)], schema=kind)
