@@ -28,11 +28,11 @@ from boxeval.session import cut
 #: Different vectors that the centroids are fitted to, about; every vector is indexed.
 SAMPLE_ROWS = 20_000
 #: Vectors per list, and most lists: centroids and their graph are held by each task.
-LIST_ROWS, MOST_LISTS = 256, 4096
+LIST_ROWS, MOST_LISTS = 1024, 4096
 #: Vectors per block of a list, about.
 BLOCK_ROWS = 4096
 #: A vector stands in lists at most (1 + REPLICATE) times as far as the nearest; a query looks at those up to (1 + LOOK).
-REPLICATE, REPLICAS, LOOK = 0.08, 4, 0.22
+REPLICATE, REPLICAS, LOOK = 0.02, 4, 0.26
 #: Centroids that a walk keeps in view, and links of each.
 IN_VIEW, LINKS = 256, 24
 ROUNDS, BALANCE = 12, 0.05
@@ -65,12 +65,12 @@ class CentroidGraph:
         rest = np.zeros(len(vectors)) if query else np.maximum(self.radius**2 - (vectors.astype(float) ** 2).sum(1), 0)
         return np.column_stack([vectors, np.sqrt(rest).astype(np.float32)])
 
-    def walk(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def walk(self, points: np.ndarray, view: int = IN_VIEW) -> tuple[np.ndarray, np.ndarray]:
         """Centroids that the walks from all entries have met, nearest first, and their distances (infinite: not met).
 
         Each step goes on from the nearest centroid in view that no step went on from.
         """
-        n, view = len(self.centroids), min(IN_VIEW, len(self.centroids))
+        n, view = len(self.centroids), min(view, len(self.centroids))
         distance = np.full((len(points), n), np.inf, np.float32)
         squares, lengths = (self.centroids**2).sum(1), (points**2).sum(1)
         done = np.zeros((len(points), n), bool)
@@ -96,7 +96,7 @@ class CentroidGraph:
 
     def homes(self, vectors: np.ndarray) -> list[list[int]]:
         """Lists of each vector: the nearest, and at a boundary others that no chosen one is nearer to."""
-        order, distance = self.walk(self.lift(vectors))
+        order, distance = self.walk(self.lift(vectors), 8 * REPLICAS)
         chosen = []
         for lists, gap in zip(order, distance, strict=True):
             own = [int(lists[0])]
@@ -133,7 +133,9 @@ def fit_lists(sample: np.ndarray, lists: int, radius: float) -> CentroidGraph:
         total = np.zeros((len(centroids), points.shape[1]))
         np.add.at(total, nearest, points)
         full = size > 0
-        centroids[full] = total[full] / size[full, None]
+        # vectors lie on a sphere, and centroids are put there, else all of them would be near its middle
+        length = np.maximum(np.sqrt((total[full] ** 2).sum(1)), 1e-30)
+        centroids[full] = total[full] * (radius / length)[:, None]
         spread = ((points - centroids[nearest]) ** 2).sum(1).mean()
         penalty = BALANCE * spread * (size * len(centroids) / len(points) - 1)
     return CentroidGraph(centroids[full], size[full] / len(points), radius)
@@ -230,7 +232,9 @@ def nearest_boards(boards: DataFrame, is_query: Column, k: int = 20) -> DataFram
         look, "confidences array<double>, found array<struct<less:double,board_id:bigint>>"
     )
     # a vector in several lists is found several times, with the very same score
-    best = found.groupBy("confidences").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"))
+    merged = found.groupBy("confidences").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("all"))
+    new = F.filter("all", lambda f, i: ~f.eqNullSafe(F.get("all", i - 1)))
+    best = merged.select("confidences", new.alias("found"))
     answers = queries.join(best, "confidences").select(
         F.col("board_id").alias("query_id"),
         F.filter("found", lambda f: f["board_id"] != F.col("board_id")).alias("found"),
