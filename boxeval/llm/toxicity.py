@@ -22,9 +22,8 @@ from boxeval.llm.common import bounded_batches, training_sample
 
 #: Judged contents that the fit looks at, about; all if there are fewer.  One task holds their words.
 TRAINING_ROWS = 12_000
-#: Words and stems must occur in so many of those contents, and their log-odds between toxic and other contents must be
-#: so many standard deviations from 0, to have a weight.
-LEAST_CONTENTS, LEAST_DEVIATIONS = 5, 3.5
+#: Words and stems must occur in so many of those contents to have a weight.
+LEAST_CONTENTS = 4
 #: Lengths of the word starts that count as stems.
 STEMS = (3, 4, 5, 6)
 ROUNDS, RATE, DECAY, START = 120, 0.4, 1e-5, -6.0
@@ -74,14 +73,20 @@ class SentenceModel:
 
 
 def telling(toxic: Counter, other: Counter, n_toxic: int, n_other: int) -> list[str]:
-    """Words and stems that occur in the one kind of contents clearly more often than in the other."""
+    """Words and stems that occur in the one kind of contents clearly more often than in the other.
+
+    Their log-odds must be so many standard deviations from 0, more of them
+    the more toxic contents there are: few can't prove much, and among many
+    words some stand out by chance.
+    """
+    least = 1 + 0.8 * np.log10(max(n_toxic, 1))
     names = []
     for name in toxic.keys() | other.keys():
         a, b = toxic[name], other[name]
         if a + b >= LEAST_CONTENTS:
             odds = np.log((a + 0.5) / (n_toxic - a + 0.5)) - np.log((b + 0.5) / (n_other - b + 0.5))
             spread = np.sqrt(1 / (a + 0.5) + 1 / (n_toxic - a + 0.5) + 1 / (b + 0.5) + 1 / (n_other - b + 0.5))
-            if abs(odds) >= LEAST_DEVIATIONS * spread:
+            if abs(odds) >= least * spread:
                 names.append(name)
     return sorted(names)
 
@@ -103,7 +108,7 @@ def learn(texts: list[str], verdicts: np.ndarray) -> SentenceModel:
                 sizes.append(len(own))
                 owners.append(owner)
     if not words:
-        share = float(np.mean(verdicts)) if len(verdicts) else 0.5
+        share = float(np.mean(verdicts)) if len(verdicts) else 0.0
         return SentenceModel({}, float(np.log(np.expm1(-np.log1p(-min(max(share, 1e-6), 1 - 1e-6))))))
     flat, size, owner = np.concatenate(words), np.array(sizes), np.array(owners)
     del words, sizes, owners
@@ -131,8 +136,8 @@ def fit_toxicity(contents: DataFrame, verdicts: DataFrame, rows: int = TRAINING_
     """Fit on about ``rows`` of the contents (``id, content``) that ``verdicts`` (``id, verdict``) judges.
 
     The sample is bounded by ``rows``, so one task may learn from all of it; if
-    its executor is lost, another repeats it.  Without verdicts nothing has a
-    weight and every content gets 0.5.
+    its executor is lost, another repeats it.  Without verdicts nothing is known
+    to be toxic, and every content's score is about 0.
     """
     bounded_batches(contents.sparkSession)
     sample = training_sample(contents, verdicts, rows)
@@ -152,7 +157,7 @@ def fit_toxicity(contents: DataFrame, verdicts: DataFrame, rows: int = TRAINING_
 
     learned = sample.coalesce(1).mapInArrow(train, "word string, weight double").collect()
     weights = {row.word: row.weight for row in learned}
-    bias = weights.pop("", 0.0)
+    bias = weights.pop("", learn([], np.zeros(0)).bias)
     return SentenceModel(weights, bias)
 
 
