@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from boxeval.operators.keys import join_groups
 from boxeval.session import cut
 
 GROUP_LIMIT = 1_000_000
@@ -28,7 +29,7 @@ def split_hot(df: DataFrame, keys: list[str], limit: int) -> tuple[DataFrame, Da
     hot = cut(hot_groups(df, keys, limit))
     if hot.isEmpty():
         return df, None
-    return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi")
+    return join_groups(df, hot, keys, "left_anti"), join_groups(df, hot, keys, "left_semi")
 
 
 def _sorted_parts(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -69,7 +70,7 @@ def running(
         .drop("_total")
     )
     local = parts.withColumn("_local", fold("_v").over(in_part))
-    joined = local.join(carry, ["_part", *keys])
+    joined = join_groups(local, carry, ["_part", *keys])
     if how == "sum":
         total = F.col("_local") + F.coalesce("_carry", F.lit(0))
     else:
@@ -91,8 +92,9 @@ def first_flag(df: DataFrame, keys: list[str], order: list[str], name: str) -> D
     """Mark the first row of each group without sorting any group.
 
     The minimum combines before its shuffle; the join back is one that
-    adaptive execution can split when a key is skewed.
+    adaptive execution can split when a key is skewed.  Null keys are a group,
+    and nulls in ``order`` come first.
     """
     first = df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_first"))
-    same = reduce(lambda a, b: a & b, (F.col(c) == F.col(f"_first.{c}") for c in order))
-    return df.join(first, keys).withColumn(name, same).drop("_first")
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_first.{c}")) for c in order))
+    return join_groups(df, first, keys).withColumn(name, same).drop("_first")

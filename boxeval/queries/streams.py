@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxeval.bindings import requests, runs
-from boxeval.operators.distribution import nearest_rank
+from boxeval.operators.distribution import distribution
 from boxeval.queries.registry import query
 from boxeval.queries.views import REQUESTS, RUNS
 from boxeval.streaming import lifecycle as S
@@ -145,7 +145,7 @@ def latency_windows(spark: SparkSession, sf: str) -> DataFrame:
     source = replay(runs(spark, sf).select("ts", "engine", "ms"), "ts")
     counts = final_state(S.value_counts(source, ["engine"], "ms", "1 day", "1 day"), ["start", "engine", "value"])
     daily = counts.withColumn("day", F.date_format("start", "yyyy-MM-dd"))
-    return nearest_rank(daily, ["day", "engine"], "value", weight="n")
+    return distribution(daily, ["day", "engine"], "value", weight="n")
 
 
 @query("t10_late_rejected", f"{_LIFE} SELECT key, CAST(sum(rejected) AS BIGINT) AS rejected FROM life GROUP BY key HAVING sum(rejected) > 0")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from boxeval.operators import suppression as K
-from boxeval.operators.distribution import cold_warm, distribution, nearest_rank
+from boxeval.operators.distribution import cold_warm, distribution
 from boxeval.operators.ordered import first_flag, row_numbers, running
 from test_matching import brute_iou
 
@@ -116,6 +116,8 @@ def test_row_numbers_and_first_flag(spark):
     assert got == {("a", 1): 1, ("a", 2): 2, ("a", 3): 3, ("b", 9): 1}
     cold = {(r.k, r.t) for r in first_flag(df, ["k"], ["t"], "cold").where("cold").collect()}
     assert cold == {("a", 1), ("b", 9)}
+    nulls = spark.createDataFrame([(None, 2), (None, 1), (None, 3)], "k string, t int")
+    assert {(r.t, r.n) for r in row_numbers(nulls, ["k"], [F.col("t")], "n", limit=2).collect()} == {(1, 1), (2, 2), (3, 3)}
 
 
 def test_nearest_rank_percentiles(spark):
@@ -123,7 +125,8 @@ def test_nearest_rank_percentiles(spark):
     groups = {g: [round(rng.uniform(-20, 400), rng.choice([0, 2])) for _ in range(n)] for g, n in enumerate([1, 2, 19, 20, 21, 100, 333])}
     groups[7] = [0.0, 0.0, -1.5]
     df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs] + [(0, None)], "g int, v double")
-    for summary in (nearest_rank(df, ["g"], "v"), distribution(df, ["g"], "v"), distribution(df, ["g"], "v", limit=5)):
+    counted = df.groupBy("g", "v").agg(F.count("*").alias("n"))
+    for summary in (distribution(df, ["g"], "v"), distribution(counted, ["g"], "v", weight="n")):
         for r in summary.collect():
             vs = sorted(groups[r.g])
             assert (r["count"], r["min"], r["max"]) == (len(vs), vs[0], vs[-1])
@@ -131,6 +134,26 @@ def test_nearest_rank_percentiles(spark):
             assert r.p95 == vs[max(1, math.ceil(0.95 * len(vs))) - 1]
 
 
+def test_percentiles_of_odd_groups(spark):
+    inf, nan = math.inf, math.nan
+    rows = [("nulls", None), (None, 1.0), (None, 2.0), ("inf", -inf), ("inf", 3.0), ("inf", inf), ("inf", inf), ("nan", nan), ("nan", 1.0), ("tiny", 5e-324), ("tiny", -5e-324), ("tiny", 0.0)]
+    got = {r.g: (r["count"], r.min, r.p50, r.p95, r.max) for r in distribution(spark.createDataFrame(rows, "g string, v double"), ["g"], "v").collect()}
+    assert got["nulls"] == (0, None, None, None, None)
+    assert got[None] == (2, 1.0, 1.0, 2.0, 2.0)
+    assert got["inf"] == (4, -inf, 3.0, inf, inf)
+    assert got["tiny"] == (3, -5e-324, 0.0, 5e-324, 5e-324)
+    assert got["nan"][:3] == (2, 1.0, 1.0) and math.isnan(got["nan"][3]) and math.isnan(got["nan"][4])
+
+
+def test_null_keys_have_halves_and_a_first_row(spark):
+    df = spark.createDataFrame([(None, 1, 5.0), (None, 2, 7.0), ("a", 1, None)], "e string, t int, ms double")
+    cold = first_flag(df, ["e"], ["t"], "cold")
+    assert {(r.e, r.t): r.cold for r in cold.collect()} == {(None, 1): True, (None, 2): False, ("a", 1): True}
+    got = {r.e: r for r in cold_warm(cold, ["e"], "ms", "cold").collect()}
+    assert (got[None].cold_p50, got[None].warm_max, got[None].all_count) == (5.0, 7.0, 2)
+    assert (got["a"].cold_count, got["a"].all_count, got["a"].all_p95) == (0, 0, None)
+
+
 def test_cold_and_warm_halves(spark):
     df = spark.createDataFrame([("a", True, 9.0), ("a", False, 1.0), ("a", False, 2.0), ("b", True, 5.0)], "e string, cold boolean, ms double")
     got = {r.e: r for r in cold_warm(df, ["e"], "ms", "cold").collect()}
