@@ -264,7 +264,8 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B4: messages of request lifecycles, keyed by user.
 
     ``latest`` is the newest request of the key at that moment; answers with a
-    high ``k`` speak of the request before it and so arrive late.
+    high ``k`` speak of the request before it and so arrive late.  ``detail``
+    says which phase began, and whether a result has a board.
     """
     kind = (
         F.when(F.col("event_type") == "signup", F.lit("request"))
@@ -281,8 +282,11 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     about = F.when((F.col("kind") == "request") | (F.col("k") < 50), F.col("latest")).otherwise(
         F.greatest(F.col("latest") - 1, F.lit(1))
     )
+    odd = F.pmod("k", F.lit(2)) == 1
+    detail = F.when(F.col("kind") == "phase", F.when(odd, F.lit("loading-model")).otherwise(F.lit("recognizing")))
+    detail = detail.when(F.col("kind") == "result", F.when(odd, F.lit("no-board")).otherwise(F.lit("board")))
     return counted.where(F.col("latest") > 0).select(
-        "event_id", "key", "ts", F.unix_micros("ts").alias("us"), "ms", "latest", about.alias("request_id"), "kind"
+        "event_id", "key", "ts", F.unix_micros("ts").alias("us"), "ms", "latest", about.alias("request_id"), "kind", detail.alias("detail")
     )
 
 

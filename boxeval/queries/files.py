@@ -13,13 +13,6 @@ from boxeval.sources import readers as S
 from boxeval.streaming.sinks import work_folder
 
 
-@query("s6_read_contents")
-def read_contents(spark: SparkSession, sf: str) -> DataFrame:
-    files = S.read_contents(spark, sf, "*.parquet")
-    # the bytes are only read by queries that use them
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
-
-
 @query(
     "s7_sniff_contents",
     """SELECT page_id, CASE WHEN strlen(html) > 4000 THEN 'too-large' WHEN NOT starts_with(html, '<!DOCTYPE') THEN 'not-a-page' END AS code FROM pages""",

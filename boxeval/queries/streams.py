@@ -10,17 +10,12 @@ from boxeval.operators.distribution import distribution
 from boxeval.queries.registry import query
 from boxeval.queries.views import REQUESTS, RUNS
 from boxeval.streaming import lifecycle as S
-from boxeval.streaming.sinks import appended, final_state, replay, work_folder
-from boxeval.streaming.workers import use_rocksdb, worker_lifecycle
+from boxeval.session import cut
+from boxeval.streaming.sinks import final_state, remove_folder, replay, work_folder
 
-DAY_US = 86_400_000_000
 _KEY = ["key", "request_id"]
 
 
-def _messages(spark: SparkSession, sf: str) -> DataFrame:
-    return replay(requests(spark, sf), "us")
-
-
 _LIFE = f"""WITH {REQUESTS}, told AS (SELECT key, request_id AS id, kind AS what, us, event_id FROM requests
   UNION ALL SELECT key, request_id - 1, 'superseded', us, event_id FROM requests WHERE kind = 'request' AND request_id > 1),
 ends AS (SELECT key, id, what, us FROM (SELECT *, row_number() OVER (PARTITION BY key, id ORDER BY us, event_id) AS n FROM told WHERE what IN ('result', 'error', 'cancel', 'superseded')) WHERE n = 1),
@@ -30,7 +25,8 @@ life AS (SELECT c.key, c.id AS request_id, coalesce(CASE e.what WHEN 'cancel' TH
 
 
 def _life(spark: SparkSession, sf: str) -> DataFrame:
-    return final_state(S.lifecycle(_messages(spark, sf)), _KEY)
+    with replay(requests(spark, sf), "us") as messages:
+        return final_state(S.lifecycle(messages), _KEY)
 
 
 @query("t1_request_lifecycle", f"{_LIFE} SELECT key, request_id, outcome, elapsed_ms, phases, rejected FROM life")
@@ -48,67 +44,51 @@ def cancel_suppresses(spark: SparkSession, sf: str) -> DataFrame:
     return _life(spark, sf).where(F.col("outcome") == "aborted").select(*_KEY, "elapsed_ms", "rejected")
 
 
-def _workers(spark: SparkSession, sf: str) -> DataFrame:
-    """Each user drives a worker; cancels stand for changes of the shown page."""
-    use_rocksdb(spark)
-    messages = requests(spark, sf).withColumn("worker", F.col("key").cast("string"))
-    messages = messages.withColumn(
-        "kind", F.when(F.col("kind") == "cancel", F.lit("context")).otherwise(F.col("kind"))
-    )
-    # one more message per worker at the end of the input closes it, and a later
-    # one moves the watermark past it
-    ends = messages.groupBy("worker").agg(F.max("key").alias("key"))
-    last = messages.agg(F.max("us")).first()[0]
-    tail = ends.select(
-        "worker",
-        "key",
-        F.lit(0).cast("bigint").alias("request_id"),
-        F.explode(
-            F.array(
-                F.struct(F.lit("close").alias("kind"), F.lit(1).alias("days")),
-                F.struct(F.lit("idle").alias("kind"), F.lit(40).alias("days")),
-            )
-        ).alias("m"),
-    )
-    tail = tail.select(
-        "worker", "key", "request_id", "m.kind",
-        (F.lit(last) + F.col("m.days") * DAY_US).alias("us"),
-        F.lit(-1).cast("bigint").alias("event_id"),
-    ).withColumn("ts", F.timestamp_micros("us"))
-    both = messages.select(tail.columns).unionByName(tail)
-    return appended(worker_lifecycle(replay(both, "us"), 2 * DAY_US, DAY_US))
-
-
-@query("t4_expire_requests")
-def expire_requests(spark: SparkSession, sf: str) -> DataFrame:
-    timed = _workers(spark, sf).where(F.col("outcome").isin("timeout", "worker-unavailable"))
-    return timed.select("worker", *_KEY, "outcome", "elapsed_us")
+_STALE = f"""WITH {REQUESTS}, told AS (SELECT key, CASE WHEN kind = 'cancel' THEN latest ELSE request_id END AS id, kind, us, event_id FROM requests
+  UNION ALL SELECT key, request_id - 1, 'superseded', us, event_id FROM requests WHERE kind = 'request' AND request_id > 1),
+opened AS (SELECT key, id, min(us) AS opened FROM told WHERE kind = 'request' GROUP BY key, id),
+ends AS (SELECT key, id, arg_min(kind, (us, event_id)) AS kind, min(us) AS us FROM told WHERE kind IN ('result', 'error', 'cancel', 'superseded') GROUP BY key, id)
+SELECT e.key, e.id AS request_id, (e.us - o.opened) / 1000 AS elapsed_ms FROM ends e JOIN opened o ON o.key = e.key AND o.id = e.id WHERE e.kind = 'cancel'"""
 
 
-@query("t6_stale_on_context_change")
+@query("t6_stale_on_context_change", _STALE)
 def stale_on_context_change(spark: SparkSession, sf: str) -> DataFrame:
-    stale = _workers(spark, sf).where(F.col("outcome") == "cancelled")
-    return stale.select("worker", *_KEY, "elapsed_us")
+    """Cancels stand for changes of the shown page, which concern the request that is current."""
+    changes = F.when(F.col("kind") == "cancel", F.lit("context")).otherwise(F.col("kind"))
+    with replay(requests(spark, sf).withColumn("kind", changes), "us") as messages:
+        settled = final_state(S.stale_requests(messages), _KEY)
+    return settled.where(F.col("outcome") == "aborted").select(*_KEY, "elapsed_ms")
 
 
-@query("t8_cold_flag_stream")
+@query(
+    "t8_cold_flag_stream",
+    f"""WITH {REQUESTS}, ready AS (SELECT key % 10 AS worker, min((us, event_id)) AS at FROM requests WHERE kind IN ('result', 'error') GROUP BY worker)
+    SELECT q.key % 10 AS worker, q.key, q.request_id, coalesce((q.us, q.event_id) < r.at, true) AS cold
+    FROM requests q LEFT JOIN ready r ON r.worker = q.key % 10 WHERE q.kind = 'request'""",
+)
 def cold_flag_stream(spark: SparkSession, sf: str) -> DataFrame:
-    return _workers(spark, sf).select("worker", *_KEY, "outcome", "cold")
-
-
-@query("t11_close_stream")
-def close_stream(spark: SparkSession, sf: str) -> DataFrame:
-    closed = _workers(spark, sf).where(F.col("outcome") == "aborted")
-    return closed.select("worker", *_KEY, "elapsed_us")
+    """Ten workers serve the keys; one is cold until it has answered for the first time."""
+    asked = requests(spark, sf).withColumn("worker", F.pmod("key", F.lit(10)))
+    with replay(asked, "us") as messages:
+        ready = final_state(S.first_answers(messages), ["worker"])
+    opened = asked.where(F.col("kind") == "request")
+    cold = F.coalesce(F.struct("us", "event_id") < F.col("ready"), F.lit(True))
+    return opened.join(ready, "worker", "left").select("worker", *_KEY, cold.alias("cold"))
 
 
 @query(
     "t5_status_of_key",
-    f"""WITH {REQUESTS} SELECT key, CASE arg_max(kind, (us, event_id)) WHEN 'request' THEN 'capturing' WHEN 'phase' THEN 'recognising' WHEN 'result' THEN 'done'
-      WHEN 'error' THEN 'error' ELSE 'cancelled' END AS status FROM requests GROUP BY key""",
+    f"""WITH {REQUESTS}, newest AS (SELECT key, max(request_id) AS id FROM requests WHERE kind = 'request' GROUP BY key),
+    own AS (SELECT r.key, r.kind, r.detail, r.us, r.event_id FROM requests r JOIN newest n ON n.key = r.key AND n.id = r.request_id),
+    ended AS (SELECT key, arg_min({{'kind': kind, 'detail': detail}}, (us, event_id)) AS e FROM own WHERE kind IN ('result', 'error', 'cancel') GROUP BY key),
+    begun AS (SELECT key, arg_max({{'kind': kind, 'detail': detail}}, (us, event_id)) AS p FROM own WHERE kind IN ('request', 'phase') GROUP BY key)
+    SELECT k.key, CASE WHEN n.key IS NULL THEN 'idle' WHEN e.kind = 'cancel' THEN 'cancelled' WHEN e.kind = 'error' THEN 'error' WHEN e.kind = 'result' AND e.detail = 'no-board' THEN 'no-board'
+      WHEN e.kind = 'result' THEN 'done' WHEN p.kind = 'phase' THEN p.detail ELSE 'capturing' END AS status
+    FROM (SELECT DISTINCT key FROM requests) k LEFT JOIN newest n USING (key) LEFT JOIN ended USING (key) LEFT JOIN begun USING (key)""",
 )
 def status_of_key(spark: SparkSession, sf: str) -> DataFrame:
-    return final_state(S.status_of_key(_messages(spark, sf)), ["key"])
+    with replay(requests(spark, sf), "us") as messages:
+        return S.status_of_key(final_state(S.state_of_request(messages), _KEY))
 
 
 @query(
@@ -126,15 +106,14 @@ def quarantine_stream(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("ms") - 5).alias("ms"),
     )
     folder = work_folder(spark, "quarantine")
-    run = (
-        S.split_sinks(replay(raw, "us"), f"{folder}/good", f"{folder}/bad", f"{folder}/progress")
-        .trigger(availableNow=True)
-        .start()
-    )
-    run.awaitTermination()
+    with replay(raw, "us") as messages:
+        run = S.split_sinks(messages, f"{folder}/good", f"{folder}/bad", f"{folder}/progress").trigger(availableNow=True).start()
+        run.awaitTermination()
     good = spark.read.parquet(f"{folder}/good").select(F.lit("").alias("reasons"))
     bad = spark.read.parquet(f"{folder}/bad").select(F.array_join("reasons", ",").alias("reasons"))
-    return good.unionByName(bad).groupBy("reasons").agg(F.count("*").alias("n"))
+    counts = cut(good.unionByName(bad).groupBy("reasons").agg(F.count("*").alias("n")))
+    remove_folder(spark, folder)
+    return counts
 
 
 @query(
@@ -142,8 +121,8 @@ def quarantine_stream(spark: SparkSession, sf: str) -> DataFrame:
     f"""WITH {RUNS} SELECT day, engine, count(ms) AS count, min(ms) AS min, quantile_disc(ms, 0.5) AS p50, quantile_disc(ms, 0.95) AS p95, max(ms) AS max FROM runs GROUP BY day, engine""",
 )
 def latency_windows(spark: SparkSession, sf: str) -> DataFrame:
-    source = replay(runs(spark, sf).select("ts", "engine", "ms"), "ts")
-    counts = final_state(S.value_counts(source, ["engine"], "ms", "1 day", "1 day"), ["start", "engine", "value"])
+    with replay(runs(spark, sf).select("ts", "engine", "ms"), "ts") as source:
+        counts = final_state(S.value_counts(source, ["engine"], "ms", "1 day", "1 day"), ["start", "engine", "value"])
     daily = counts.withColumn("day", F.date_format("start", "yyyy-MM-dd"))
     return distribution(daily, ["day", "engine"], "value", weight="n")
 

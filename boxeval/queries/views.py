@@ -155,7 +155,8 @@ requests AS (
   SELECT event_id, key, ts, epoch_us(ts) AS us, ms, latest,
          CASE WHEN event_type = 'signup' OR k < 50 THEN latest ELSE greatest(latest - 1, 1) END AS request_id,
          CASE event_type WHEN 'signup' THEN 'request' WHEN 'view' THEN 'phase' WHEN 'purchase' THEN 'result'
-           WHEN 'error' THEN 'error' ELSE 'cancel' END AS kind
+           WHEN 'error' THEN 'error' ELSE 'cancel' END AS kind,
+         CASE event_type WHEN 'view' THEN if(k % 2 = 1, 'loading-model', 'recognizing') WHEN 'purchase' THEN if(k % 2 = 1, 'no-board', 'board') END AS detail
   FROM counted WHERE latest > 0)
 """
 

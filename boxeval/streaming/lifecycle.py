@@ -69,17 +69,67 @@ def lifecycle(messages: DataFrame, extra: list[Column] | None = None) -> DataFra
     )
 
 
-def status_of_key(messages: DataFrame) -> DataFrame:
-    """What each key shows now: the state of its newest message."""
+def expiring_lifecycle(messages: DataFrame, late: str, idle: str) -> DataFrame:
+    """The lifecycle on an endless stream: a request without messages for ``idle`` is told and forgotten.
+
+    Messages more than ``late`` behind the newest are dropped; the stream's
+    progress counts them (``numRowsDroppedByWatermark``).
+    """
+    timed = messages.withWatermark("ts", late)
+    return lifecycle(timed, [F.session_window("ts", idle).alias("w")]).drop("w")
+
+
+def state_of_request(messages: DataFrame) -> DataFrame:
+    """What each request would show: how it ended first, else its newest progress.
+
+    ``detail`` of a phase is ``loading-model`` or ``recognizing``, and of a
+    result ``no-board`` if there was none.  A request that was never opened
+    shows nothing and has a null ``opened``.
+    """
+    kind, detail = F.col("kind"), F.col("detail")
     shown = (
-        F.when(F.col("kind") == "request", F.lit("capturing"))
-        .when(F.col("kind") == "phase", F.lit("recognising"))
-        .when(F.col("kind") == "result", F.lit("done"))
-        .when(F.col("kind") == "error", F.lit("error"))
-        .otherwise(F.lit("cancelled"))
+        F.when(kind == "request", F.lit("capturing"))
+        .when(kind == "phase", F.coalesce(detail, F.lit("recognizing")))
+        .when(kind == "result", F.when(detail == "no-board", detail).otherwise(F.lit("done")))
+        .when(kind == "error", kind)
+        .when(kind == "cancel", F.lit("cancelled"))
+    )
+    at = F.struct("us", "event_id", shown.alias("status"))
+    return messages.groupBy("key", "request_id").agg(
+        F.min(F.when(kind == "request", F.col("us"))).alias("opened"),
+        F.min(F.when(kind.isin(*ANSWERS, "cancel"), at)).alias("end"),
+        F.max(F.when(kind.isin("request", "phase"), at)).alias("progress"),
     )
-    newest = F.max(F.struct("us", "event_id", shown.alias("status")))
-    return messages.groupBy("key").agg(newest.alias("n")).select("key", "n.status")
+
+
+def status_of_key(states: DataFrame) -> DataFrame:
+    """What each key shows now: the state of its current request, the last one that was opened.
+
+    Answers to earlier requests don't matter, nor what comes after a request
+    has ended.  A key that never opened a request is ``idle``.
+    """
+    status = F.when(F.col("opened").isNull(), F.lit("idle")).otherwise(F.coalesce("end.status", "progress.status"))
+    current = F.max(F.struct(F.col("opened").isNotNull().alias("open"), "request_id", status.alias("status")))
+    return states.groupBy("key").agg(current.alias("n")).select("key", "n.status")
+
+
+def stale_requests(messages: DataFrame) -> DataFrame:
+    """The lifecycle in which a page change ends the request that is current then.
+
+    ``context`` messages carry ``latest``, the key's current request at that
+    moment; such requests have the outcome ``aborted`` by the change.
+    """
+    change = F.col("kind") == "context"
+    about = F.when(change, F.col("latest")).otherwise(F.col("request_id"))
+    told = messages.withColumn("request_id", about).withColumn("kind", F.when(change, F.lit("cancel")).otherwise(F.col("kind")))
+    return lifecycle(told)
+
+
+def first_answers(messages: DataFrame) -> DataFrame:
+    """When each worker answered first; requests that were opened before are cold."""
+    at = F.struct("us", "event_id")
+    answered = F.min(F.when(F.col("kind").isin(*ANSWERS), at))
+    return messages.groupBy("worker").agg(answered.alias("ready"))
 
 
 def quarantine_rules() -> Column:
@@ -102,11 +152,12 @@ def split_sinks(stream: DataFrame, good_path: str, bad_path: str, checkpoint: st
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        checked = batch.withColumn("reasons", quarantine_rules())
+        checked = batch.withColumn("reasons", quarantine_rules()).persist()
         bad = F.size("reasons") > 0
         parts = ((checked.where(~bad).drop("reasons"), good_path), (checked.where(bad), bad_path))
         for rows, path in parts:
             rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        checked.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 

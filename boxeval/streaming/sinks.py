@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,18 +16,33 @@ def work_folder(spark, name: str) -> str:
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def replay(rows: DataFrame, order: str, steps: int = 3) -> DataFrame:
-    """A stream over ``rows`` that delivers them in ``steps`` along ``order``.
+def remove_folder(spark, path: str) -> None:
+    """Delete a work folder, in whatever store it is."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def replay(rows: DataFrame, order: str, steps: int = 3):
+    """A stream over ``rows`` that delivers them in ``steps`` along ``order``; its files go when the block ends.
 
     The file source takes older files first, so each step is written after the
-    one before it.
+    one before it, by as many tasks as the session shuffles with.  Rows whose
+    ``order`` is null come first.
     """
     spark = rows.sparkSession
     folder = work_folder(spark, "source")
-    placed = cut(rows.repartitionByRange(steps, order))
-    for step in range(steps):
-        placed.where(F.spark_partition_id() == step).write.mode("append").parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows_kept = cut(rows)
+    shares = [i / steps for i in range(1, steps)]
+    bounds = rows_kept.agg(F.percentile_approx(order, shares).alias("b")).first().b or []
+    step = sum((F.coalesce(F.col(order) > F.lit(b), F.lit(False)).cast("int") for b in bounds), F.lit(0))
+    for number in range(len(bounds) + 1):
+        rows_kept.where(step == number).repartition(tasks).write.mode("append").parquet(folder)
+    try:
+        yield spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", tasks).parquet(folder)
+    finally:
+        remove_folder(spark, folder)
 
 
 def final_state(stream: DataFrame, keys: list[str]) -> DataFrame:
@@ -36,7 +52,7 @@ def final_state(stream: DataFrame, keys: list[str]) -> DataFrame:
     that runs twice replaces itself.
     """
     spark = stream.sparkSession
-    folder = work_folder(spark, "state")
+    folder, progress = work_folder(spark, "state"), work_folder(spark, "progress")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
@@ -44,7 +60,7 @@ def final_state(stream: DataFrame, keys: list[str]) -> DataFrame:
     run = (
         stream.writeStream.outputMode("update")
         .foreachBatch(write)
-        .option("checkpointLocation", work_folder(spark, "progress"))
+        .option("checkpointLocation", progress)
         .trigger(availableNow=True)
         .start()
     )
@@ -52,23 +68,29 @@ def final_state(stream: DataFrame, keys: list[str]) -> DataFrame:
     written = spark.read.schema(f"{_ddl(stream)}, batch bigint").parquet(folder)
     rest = [c for c in stream.columns if c not in keys]
     last = F.max_by(F.struct(*rest), "batch").alias("r")
-    return written.groupBy(*keys).agg(last).select(*keys, "r.*").select(*stream.columns)
+    state = cut(written.groupBy(*keys).agg(last).select(*keys, "r.*").select(*stream.columns))
+    remove_folder(spark, folder)
+    remove_folder(spark, progress)
+    return state
 
 
 def appended(stream: DataFrame) -> DataFrame:
     """Run all available input of an append-only stream and read what it wrote."""
     spark = stream.sparkSession
-    folder = work_folder(spark, "rows")
+    folder, progress = work_folder(spark, "rows"), work_folder(spark, "progress")
     run = (
         stream.writeStream.outputMode("append")
         .format("parquet")
         .option("path", folder)
-        .option("checkpointLocation", work_folder(spark, "progress"))
+        .option("checkpointLocation", progress)
         .trigger(availableNow=True)
         .start()
     )
     run.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(folder)
+    rows = cut(spark.read.schema(stream.schema).parquet(folder))
+    remove_folder(spark, folder)
+    remove_folder(spark, progress)
+    return rows
 
 
 def _ddl(df: DataFrame) -> str:

@@ -44,10 +44,8 @@ def test_query_equals_its_sql(spark, con, name):
 def test_entry_and_registry(spark):
     assert entry.entry(spark).count() == 5
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    without = set(entry.queries()) - set(entry.oracle_sql())
-    assert without == {
-        "r9_scan_pages", "s6_read_contents", "t4_expire_requests", "t6_stale_on_context_change", "t8_cold_flag_stream", "t11_close_stream",
-    }
+    own = {name for name in set(entry.queries()) - set(entry.oracle_sql()) if not name.startswith(("op", "pipeline"))}
+    assert own == {"r9_scan_pages"}
 
 
 def test_secret_columns_never_leave_the_safe_projection(spark):

@@ -1,10 +1,7 @@
-import random
-
 from pyspark.sql import functions as F
 
 from boxeval.streaming import lifecycle as S
 from boxeval.streaming.sinks import appended, final_state, replay
-from boxeval.streaming.workers import use_rocksdb, worker_lifecycle
 
 MESSAGE = "key bigint, request_id bigint, kind string, us bigint, event_id bigint"
 SECOND = 1_000_000
@@ -40,84 +37,73 @@ def outcomes(df):
 def test_lifecycle_in_batch_and_stream(spark):
     df = spark.createDataFrame(CASES, MESSAGE)
     assert outcomes(S.lifecycle(df)) == WANT
-    assert outcomes(final_state(S.lifecycle(replay(df, "us")), ["key", "request_id"])) == WANT
+    with replay(df, "us") as stream:
+        assert outcomes(final_state(S.lifecycle(stream), ["key", "request_id"])) == WANT
 
 
 def test_sessions_let_the_state_expire(spark):
     # an idle gap closes a request's state; a far later message moves the watermark on
     late = (9, 1, "phase", 10_000 * SECOND, 99)
     df = spark.createDataFrame([*CASES, late], MESSAGE).withColumn("ts", F.timestamp_micros("us"))
-    stream = replay(df, "us").withWatermark("ts", "1 second")
-    closed = S.lifecycle(stream, [F.session_window("ts", "1 minute").alias("w")]).drop("w")
-    assert outcomes(appended(closed)) == WANT
-
-
-def test_status_is_the_newest_message(spark):
-    df = spark.createDataFrame(CASES, MESSAGE)
-    got = {r.key: r.status for r in S.status_of_key(df).collect()}
-    assert got == {1: "done", 2: "done", 3: "error", 4: "capturing", 5: "done", 6: "cancelled"}
-
-
-def brute_worker(messages, cold_us, warm_us):
-    """One worker's outcomes, message by message."""
-    waiting, ready, out = {}, False, set()
-
-    def settle(keys, outcome, us):
-        for k in list(keys):
-            opened, _, cold = waiting.pop(k)
-            out.add((*k, outcome, us - opened, cold))
-
-    def expire(now):
-        while late := sorted((v[1], k) for k, v in waiting.items() if v[1] < now):
-            deadline, first = late[0]
-            settle([first], "timeout", deadline)
-            settle([k for k, v in waiting.items() if v[0] <= deadline], "worker-unavailable", deadline)
-
-    for key, request, kind, us, _ in sorted(messages, key=lambda m: (m[3], m[4])):
-        expire(us)
-        at = (key, request)
-        if kind == "request":
-            waiting[at] = (us, us + (warm_us if ready else cold_us), not ready)
-        elif kind == "context":
-            settle([k for k in waiting if k[0] == key], "cancelled", us)
-        elif kind in ("crash", "close"):
-            settle(list(waiting), "aborted" if kind == "close" else "worker-unavailable", us)
-        elif kind in ("result", "error", "cancel") and at in waiting:
-            ready = ready or kind != "cancel"
-            settle([at], "aborted" if kind == "cancel" else kind, us)
-    return out
-
-
-def test_worker_deadlines_equal_a_direct_model(spark):
-    use_rocksdb(spark)
-    rng = random.Random(4)
-    flat, want = [], set()
-    for worker in ("w1", "w2", "w3"):
-        messages, opened = [], []
-        for n in range(60):
-            at, key = n * 7 + rng.randint(0, 5), rng.randint(1, 3)
-            kind = rng.choice(["request", "request", "result", "error", "cancel", "context", "phase"])
-            if kind == "request":
-                opened.append((key, n))
-                messages.append((key, n, kind, at * SECOND, n))
-            elif opened:
-                messages.append((*rng.choice(opened[-3:]), kind, at * SECOND, n))
-        messages.append((1, 0, rng.choice(["close", "crash"]), 430 * SECOND, 998))
-        want |= {(worker, *r) for r in brute_worker(messages, 60 * SECOND, 20 * SECOND)}
-        # a last message far ahead lets the watermark pass all others
-        flat += [(worker, *m) for m in [*messages, (1, 0, "idle", 9_000 * SECOND, 999)]]
-    df = spark.createDataFrame(flat, f"worker string, {MESSAGE}").withColumn("ts", F.timestamp_micros("us"))
-    got = appended(worker_lifecycle(replay(df, "us"), 60 * SECOND, 20 * SECOND)).collect()
-    assert len(got) == len(want)
-    assert {(r.worker, r.key, r.request_id, r.outcome, r.elapsed_us, r.cold) for r in got} == want
-    assert {"timeout", "worker-unavailable", "cancelled", "result"} <= {r.outcome for r in got}
+    with replay(df, "us") as stream:
+        assert outcomes(appended(S.expiring_lifecycle(stream, "1 second", "1 minute"))) == WANT
+
+
+def test_status_is_that_of_the_current_request(spark):
+    rows = timeline(
+        (1, 1, "request", 0), (1, 2, "request", 1), (1, 1, "result", 2),  # a late answer to the request before
+        (2, 1, "request", 0), (2, 1, "result", 3), (2, 1, "phase", 4),  # nothing counts after the end
+        (3, 1, "request", 0), (3, 1, "phase", 1), (3, 1, "phase", 2),
+        (4, 1, "request", 0), (4, 1, "cancel", 1), (4, 1, "result", 2),
+        (5, 7, "result", 1),  # never opened
+        (6, 1, "request", 0), (6, 1, "error", 1),
+        (7, 1, "request", 0), (7, 1, "result", 1),
+        (8, 1, "request", 0), (8, 1, "phase", 1),
+    )
+    details = {7: "loading-model", 8: "recognizing", 16: "no-board", 18: "loading-model"}
+    df = spark.createDataFrame([(*r, details.get(r[4])) for r in rows], f"{MESSAGE}, detail string")
+    want = {1: "capturing", 2: "done", 3: "recognizing", 4: "cancelled", 5: "idle", 6: "error", 7: "no-board", 8: "loading-model"}
+    assert {r.key: r.status for r in S.status_of_key(S.state_of_request(df)).collect()} == want
+    with replay(df, "us") as stream:
+        states = final_state(S.state_of_request(stream), ["key", "request_id"])
+    assert {r.key: r.status for r in S.status_of_key(states).collect()} == want
+
+
+def test_page_changes_make_the_current_request_stale(spark):
+    rows = timeline((1, 1, "request", 0), (1, 1, "request", 0), (1, 2, "request", 5), (1, 1, "result", 6), (1, 1, "context", 7), (1, 2, "result", 8))
+    rows += [(2, 1, "request", 0, 50), (2, 1, "result", 1 * SECOND, 51), (2, 1, "context", 2 * SECOND, 52)]
+    df = spark.createDataFrame(rows, MESSAGE).withColumn("latest", F.when(F.col("us") >= 5 * SECOND, 2).otherwise(1).cast("bigint"))
+    got = outcomes(S.stale_requests(df))
+    assert got == {(1, 1): ("superseded", 5000.0, 1), (1, 2): ("aborted", 2000.0, 1), (2, 1): ("result", 1000.0, 0)}
+
+
+def test_first_answers_of_workers(spark):
+    rows = [("a", "request", 1, 1), ("a", "error", 5, 3), ("a", "result", 5, 2), ("b", "phase", 1, 4)]
+    df = spark.createDataFrame(rows, "worker string, kind string, us bigint, event_id bigint")
+    want = {"a": (5, 2), "b": None}
+    assert {r.worker: r.ready and tuple(r.ready) for r in S.first_answers(df).collect()} == want
+    with replay(df, "us") as stream:
+        assert {r.worker: r.ready and tuple(r.ready) for r in final_state(S.first_answers(stream), ["worker"]).collect()} == want
+
+
+def test_nothing_is_left_in_the_work_folder(spark):
+    from pathlib import Path
+
+    from boxeval.session import checkpoint_root
+
+    root = Path(checkpoint_root(spark).removeprefix("file:"))
+    before = set(root.iterdir())
+    with replay(spark.createDataFrame(CASES, MESSAGE), "us") as stream:
+        final_state(S.lifecycle(stream), ["key", "request_id"])
+    assert {p for p in set(root.iterdir()) - before if p.name.startswith(("source", "state", "progress"))} == set()
 
 
 def test_malformed_messages_are_set_aside(spark, tmp_path):
     rows = [(1, 1, "request", 1.0), (None, 1, "request", 1.0), (1, 0, "bogus", -1.0), (1, None, "result", float("nan"))]
     df = spark.createDataFrame(rows, "key bigint, request_id bigint, kind string, ms double").withColumn("us", F.monotonically_increasing_id())
     good, bad = str(tmp_path / "good"), str(tmp_path / "bad")
-    S.split_sinks(replay(df, "us"), good, bad, str(tmp_path / "p")).trigger(availableNow=True).start().awaitTermination()
+    with replay(df, "us") as stream:
+        S.split_sinks(stream, good, bad, str(tmp_path / "p")).trigger(availableNow=True).start().awaitTermination()
     assert spark.read.parquet(good).count() == 1
     reasons = sorted(tuple(r.reasons) for r in spark.read.parquet(bad).collect())
     assert reasons == [("key",), ("request-id", "duration"), ("request-id", "kind", "duration")]
