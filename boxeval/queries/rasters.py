@@ -18,7 +18,8 @@ from boxeval.operators.scoring import score_batch
 from boxeval.queries.registry import query
 from boxeval.queries.views import BOXES, PIXELS, iou
 
-LABEL_LIMIT = 10_000
+#: Labels that a batch is compared with at a time, and bytes of a model that is sent to the workers.
+LABELS_AT_ONCE, MODEL_BYTES = 1024, 256_000_000
 
 
 @query(
@@ -116,9 +117,9 @@ def checker_score(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "r6_candidate_windows",
     """WITH RECURSIVE ladder AS (
-      SELECT CAST(t AS BIGINT) AS top, 24::DOUBLE AS side, 24::BIGINT AS whole FROM range(24, 257) r(t)
+      SELECT DISTINCT least(64 + 40 * label, 64 + 32 * label) AS top, 24::DOUBLE AS side, 24::BIGINT AS whole FROM embeddings
       UNION ALL SELECT top, n, CAST(least(top, floor(n + 0.5)) AS BIGINT) FROM (SELECT top, least(top, greatest(whole + 1, side * 1.1::DOUBLE))::DOUBLE AS n FROM ladder WHERE whole < top)),
-    img AS (SELECT CAST(vec_id AS BIGINT) AS img, 64 + 16 * label AS w, 64 + 12 * label AS h FROM embeddings),
+    img AS (SELECT CAST(vec_id AS BIGINT) AS img, 64 + 40 * label AS w, 64 + 32 * label AS h FROM embeddings),
     win AS (SELECT img, whole AS side, unnest(range(0, h - whole + 1, CAST(greatest(2, floor(whole / 32 + 0.5)) AS BIGINT))) AS y, w, CAST(greatest(2, floor(whole / 32 + 0.5)) AS BIGINT) AS step FROM img JOIN ladder ON top = least(w, h)),
     win2 AS (SELECT img, side, y, unnest(range(0, w - side + 1, step)) AS x FROM win)
     SELECT img, count(*) AS windows, CAST(sum(x) AS BIGINT) AS sum_x, CAST(sum(y) AS BIGINT) AS sum_y, CAST(sum(side) AS BIGINT) AS sum_side FROM win2 GROUP BY img""",
@@ -126,10 +127,10 @@ def checker_score(spark: SparkSession, sf: str) -> DataFrame:
 def candidate_windows(spark: SparkSession, sf: str) -> DataFrame:
     sizes = table(spark, sf, "embeddings").select(
         F.col("vec_id").cast("bigint").alias("img"),
-        (F.lit(64) + F.col("label") * 16).cast("bigint").alias("width"),
-        (F.lit(64) + F.col("label") * 12).cast("bigint").alias("height"),
+        (F.lit(64) + F.col("label") * 40).cast("bigint").alias("width"),
+        (F.lit(64) + F.col("label") * 32).cast("bigint").alias("height"),
     )
-    windows = R.candidate_windows(sizes, R.window_sides(spark))
+    windows = R.candidate_windows(sizes)
     return windows.groupBy("img").agg(
         F.count("*").alias("windows"), *(F.sum(c).alias("sum_" + c) for c in ("x", "y", "side"))
     )
@@ -137,13 +138,16 @@ def candidate_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "r7_edge_score",
-    f"""WITH {PIXELS}, d AS (SELECT a.img, abs(a.v - b.v) AS s FROM px a JOIN px b ON b.img = a.img AND b.y = a.y AND b.x = a.x - 1 WHERE a.y % 2 = 0
-      UNION ALL SELECT a.img, abs(a.v - b.v) FROM px a JOIN px b ON b.img = a.img AND b.x = a.x AND b.y = a.y - 1 WHERE a.x % 2 = 0)
-    SELECT img, sum(s) / count(*) AS score FROM d GROUP BY img""",
+    f"""WITH {PIXELS}, grids AS (SELECT * FROM (VALUES ('whole', 0, 0, 8.0::DOUBLE), ('part', 3, 1, 4.5::DOUBLE)) g(grid, gx, gy, side)),
+    lines AS (SELECT grid, gx, gy, side, floor(gx + l * side / 8 + 0.5) AS lx, floor(gy + l * side / 8 + 0.5) AS ly FROM grids, range(1, 8) r(l)),
+    d AS (SELECT a.img, grid, abs(a.v - b.v) AS s FROM lines JOIN px a ON a.x = lx AND a.y >= gy AND a.y < floor(gy + side) AND (a.y - gy) % 2 = 0 JOIN px b ON b.img = a.img AND b.y = a.y AND b.x = a.x - 1
+      UNION ALL SELECT a.img, grid, abs(a.v - b.v) FROM lines JOIN px a ON a.y = ly AND a.x >= gx AND a.x < floor(gx + side) AND (a.x - gx) % 2 = 0 JOIN px b ON b.img = a.img AND b.x = a.x AND b.y = a.y - 1)
+    SELECT img, grid, sum(s) / count(*) AS score FROM d GROUP BY img, grid""",
 )
 def edge_score(spark: SparkSession, sf: str) -> DataFrame:
-    grids = pixel_sizes(spark, sf).select("img", F.lit(0.0).alias("gx"), F.lit(0.0).alias("gy"), F.lit(8.0).alias("side"))
-    return R.edge_score(pixels(spark, sf), grids)
+    places = [("whole", 0.0, 0.0, 8.0), ("part", 3.0, 1.0, 4.5)]
+    grids = F.array(*(F.struct(*(F.lit(v).alias(c) for v, c in zip(p, ("grid", "gx", "gy", "side"), strict=True))) for p in places))
+    return R.edge_score(pixels(spark, sf), pixel_sizes(spark, sf).select("img", F.inline(grids)))
 
 
 @query(
@@ -161,14 +165,24 @@ def scan_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _nearest(model: dict[str, np.ndarray], batch: pd.DataFrame) -> pd.DataFrame:
+    """The label with the nearest vector, the model taken in blocks; ties go to the smaller label."""
     vectors = np.stack(batch["embedding"].to_numpy()).astype(float)
-    gaps = ((vectors[:, None, :] - model["vectors"][None, :, :]) ** 2).sum(axis=2)
-    return pd.DataFrame({"vec_id": batch["vec_id"], "label": batch["label"], "read": model["labels"][gaps.argmin(axis=1)]})
+    best, read = np.full(len(vectors), np.inf), np.zeros(len(vectors), np.int64)
+    for start in range(0, len(model["labels"]), LABELS_AT_ONCE):
+        some = slice(start, start + LABELS_AT_ONCE)
+        # what is the same for all labels is left out of the squared distance
+        gaps = model["squares"][some] - 2 * vectors @ model["vectors"][some].T
+        near = gaps.argmin(axis=1)
+        gap = gaps[np.arange(len(gaps)), near]
+        closer = gap < best
+        best[closer], read[closer] = gap[closer], model["labels"][some][near[closer]]
+    return pd.DataFrame({"vec_id": batch["vec_id"], "label": batch["label"], "read": read})
 
 
 def _build(raw: bytes) -> dict[str, np.ndarray]:
     rows = json.loads(raw)
-    return {"labels": np.array([r[0] for r in rows]), "vectors": np.array([r[1] for r in rows], dtype=float)}
+    vectors = np.array([r[1] for r in rows], dtype=float)
+    return {"labels": np.array([r[0] for r in rows]), "vectors": vectors, "squares": (vectors**2).sum(axis=1)}
 
 
 @query(
@@ -183,10 +197,11 @@ def score_batch_query(spark: SparkSession, sf: str) -> DataFrame:
         F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("bigint").alias("label"), "embedding"
     )
     proto = vectors.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("v"))
-    # the model is one vector per label; refuse a label set that is no model
-    rows = sorted((r.label, [float(x) for x in r.v]) for r in proto.limit(LABEL_LIMIT + 1).collect())
-    if len(rows) > LABEL_LIMIT:
-        raise ValueError(f"more than {LABEL_LIMIT} labels: too many for a broadcast model")
+    # the model is one vector per class; it has to fit into each worker, as any model does
+    size = proto.agg(F.sum(F.size("v") * 24)).first()[0] or 0
+    if size > MODEL_BYTES:
+        raise ValueError(f"a model of {size} bytes is too large for a worker")
+    rows = sorted((r.label, [float(x) for x in r.v]) for r in proto.collect())
     raw = json.dumps(rows).encode()
     shared = spark.sparkContext.broadcast(raw)
     pin = hashlib.sha256(raw).hexdigest()

@@ -1,4 +1,5 @@
 import hashlib
+import json
 
 import numpy as np
 import pandas as pd
@@ -54,11 +55,11 @@ def test_checker_score_needs_the_right_sign_and_every_line(spark):
 
 
 def test_window_ladder(spark):
-    assert R.side_ladder(24, 30) == [24, 26, 29, 30] and R.side_ladder(24, 20) == []
-    sizes = spark.createDataFrame([(1, 30, 26)], "img bigint, width bigint, height bigint")
-    got = {(r.side, r.y, r.x) for r in R.candidate_windows(sizes, R.window_sides(spark)).collect()}
-    assert got == {(24, y, x) for y in (0, 2) for x in (0, 2, 4, 6)} | {(26, 0, x) for x in (0, 2, 4)}
-    assert R.ladder_bound() < 200_000
+    sizes = spark.createDataFrame([(1, 30, 26), (2, 20, 90), (3, 24, 24), (4, 900, 300)], "img bigint, width bigint, height bigint")
+    got = {(r.img, r.side, r.y, r.x) for r in R.candidate_windows(sizes).where("img < 4").collect()}
+    assert got == {(1, 24, y, x) for y in (0, 2) for x in (0, 2, 4, 6)} | {(1, 26, 0, x) for x in (0, 2, 4)} | {(3, 24, 0, 0)}
+    sides = {r.side for r in R.candidate_windows(sizes, 250).where("img = 4").collect()}
+    assert sides == {250, 275, 300}
 
 
 def test_scan_finds_printed_boards_and_skips_text(spark):
@@ -71,6 +72,18 @@ def test_scan_finds_printed_boards_and_skips_text(spark):
     assert abs(best.x0 - 16) <= 4 and abs(best.y0 - 8) <= 4 and abs(best.x1 - best.x0 - 64) <= 6
 
 
+def test_scan_leaves_small_patterns_and_torn_images(spark):
+    torn, sizes = table(spark, {1: board(100, 100, 30, 30, 40), 2: board(96, 96, 16, 8, 64)})
+    assert R.scan_pages(torn.where("img = 1 or y <> 50 or x <> 50"), sizes).collect() == []
+
+
+def test_scan_of_a_large_image(spark):
+    px, sizes = table(spark, {1: board(560, 300, 60, 30, 240)})
+    found = R.scan_pages(px, sizes).collect()
+    best = min(found, key=lambda r: r["rank"])
+    assert abs(best.x0 - 60) <= 9 and abs(best.y0 - 30) <= 9 and abs(best.x1 - best.x0 - 240) <= 20
+
+
 def test_degrade_ignores_partitions(spark):
     px, _ = table(spark, {1: board(16, 16, 0, 0, 16)})
     one = R.degrade(px.repartition(1), 0.5, 8.0, 3)
@@ -80,9 +93,11 @@ def test_degrade_ignores_partitions(spark):
 
 
 def test_edge_score(spark):
-    px, sizes = table(spark, {1: board(16, 16, 0, 0, 16, 200.0, 100.0)})
-    grids = sizes.select("img", F.lit(0.0).alias("gx"), F.lit(0.0).alias("gy"), F.lit(16.0).alias("side"))
-    assert R.edge_score(px, grids).first().score == 100.0
+    px, _ = table(spark, {1: board(16, 16, 0, 0, 16, 200.0, 100.0)})
+    grids = spark.createDataFrame([(1, "all", 0.0, 0.0, 16.0), (1, "off", 1.0, 1.0, 8.0), (1, "out", 50.0, 50.0, 8.0)], "img bigint, grid string, gx double, gy double, side double")
+    # the second grid's lines meet a cell's edge at every other pixel
+    got = {r.grid: r.score for r in R.edge_score(px, grids).collect()}
+    assert got == {"all": 100.0, "off": pytest.approx(400 / 7), "out": 0.0}
 
 
 def test_model_must_match_its_pin(spark):
@@ -94,6 +109,22 @@ def test_model_must_match_its_pin(spark):
         score_batch(df, *args, "0" * 64, "n bigint").collect()
 
 
+def test_nearest_of_many_labels_in_bounded_memory():
+    import tracemalloc
+
+    from boxeval.queries.rasters import _build, _nearest
+
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(20_000, 64))
+    model = _build(json.dumps([[i, v.tolist()] for i, v in enumerate(vectors)]).encode())
+    asked = rng.integers(0, 20_000, 1000)
+    batch = pd.DataFrame({"vec_id": range(1000), "label": asked, "embedding": list(vectors[asked] + 0.01)})
+    tracemalloc.start()
+    assert (_nearest(model, batch)["read"] == asked).all()
+    assert tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
+
+
 def test_latest_correction_wins(spark):
     boards = spark.createDataFrame([(1, "." * 64, [0.9] * 64), (2, "." * 64, [0.9] * 64)], "vec_id int, cells string, confidences array<double>")
     edits = spark.createDataFrame([(1, 0, "K", 1, 1), (1, 0, "Q", 2, 2), (1, 63, "p", 1, 3)], "vec_id int, square int, value string, ts int, edit_id int")
