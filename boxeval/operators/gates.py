@@ -16,6 +16,8 @@ LIMITS = [
     ("p95_ms", "<=", 2000.0),
     ("false_positive", "<=", 0.0),
 ]
+# fixed values: the reason words below, here and in the rules
+MISCOUNTED, MISSING = "observation-count-or-identity-invalid", "missing"
 HIGHER_IS_BETTER = ["matched", "aligned", "exact", "correct_squares", "precision", "recall", "exact_rate", "square_rate"]
 LOWER_IS_BETTER = ["missed", "false_positive", "duplicate", "reliable_wrong"]
 
@@ -68,8 +70,8 @@ def _sequence_reason(sessions: int, runs: int) -> Column:
     )
 
 
-def assess_case(assessed: DataFrame, case: str, sessions: int = 3, runs: int = 2) -> DataFrame:
-    """Three verdicts per case; the last one also counts the failures of the others.
+def _per_case(assessed: DataFrame, case: str, sessions: int, runs: int, cases: DataFrame | None) -> DataFrame:
+    """Counts per case; declared ``cases`` without a row have zeros.
 
     Runs are combined per (case, session, run) before they meet their case.
     """
@@ -80,8 +82,8 @@ def assess_case(assessed: DataFrame, case: str, sessions: int = 3, runs: int = 2
         F.sum(F.size("safety")).alias("safe"),
         F.sum(F.size("qualification")).alias("qual"),
     )
-    wanted = F.lit(sessions * runs)
-    per_case = per_run.groupBy(case).agg(
+    names = ["observations", "identities", "inside", "infra", "safety_failures", "qual"]
+    counted = per_run.groupBy(case).agg(
         F.sum("n").alias("observations"),
         F.count("*").alias("identities"),
         F.count_if(_in_grid(sessions, runs)).alias("inside"),
@@ -89,8 +91,20 @@ def assess_case(assessed: DataFrame, case: str, sessions: int = 3, runs: int = 2
         F.sum("safe").alias("safety_failures"),
         F.sum("qual").alias("qual"),
     )
-    miscounted = (F.col("observations") != wanted) | (F.col("identities") != F.col("observations"))
-    infra = F.col("infra") + miscounted.cast("bigint") + wanted - F.col("inside")
+    if cases is not None:
+        counted = cases.select(case).distinct().join(counted, case, "full")
+        counted = counted.withColumns({n: F.coalesce(n, F.lit(0).cast("bigint")) for n in names})
+    wrong = (F.col("observations") != sessions * runs) | (F.col("identities") != F.col("observations"))
+    return counted.withColumn("miscounted", wrong)
+
+
+def assess_case(assessed: DataFrame, case: str, cases: DataFrame | None = None, sessions: int = 3, runs: int = 2) -> DataFrame:
+    """Three verdicts per case; the last one also counts the failures of the others.
+
+    ``cases`` declares what should have been run, also cases without any row.
+    """
+    per_case = _per_case(assessed, case, sessions, runs, cases)
+    infra = F.col("infra") + F.col("miscounted").cast("bigint") + sessions * runs - F.col("inside")
 
     def verdict(count: str) -> Column:
         return F.when(F.col(count) == 0, F.lit("PASS")).otherwise(F.lit("FAIL"))
@@ -106,22 +120,34 @@ def assess_case(assessed: DataFrame, case: str, sessions: int = 3, runs: int = 2
     )
 
 
-def case_failures(assessed: DataFrame, case: str, sessions: int = 3, runs: int = 2) -> DataFrame:
-    """Each failure of a case once, as ``session-s-run-r:reason`` with its count."""
+def _numbers(n: int) -> Column:
+    return F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
+
+
+def case_failures(assessed: DataFrame, case: str, cases: DataFrame | None = None, sessions: int = 3, runs: int = 2) -> DataFrame:
+    """Each failure of a case once with its count: what runs show, runs that are missing, and wrong numbers of runs."""
+
+    def listed(kind: str, reasons_: Column) -> Column:
+        return F.transform(reasons_, lambda r: F.struct(F.lit(kind).alias("kind"), r.alias("reason")))
+
     tagged = F.concat(
-        F.transform("infrastructure", lambda r: F.struct(F.lit("infrastructure").alias("kind"), r.alias("reason"))),
-        F.transform(
-            F.array_compact(F.array(_sequence_reason(sessions, runs))),
-            lambda r: F.struct(F.lit("infrastructure").alias("kind"), r.alias("reason")),
-        ),
-        F.transform("safety", lambda r: F.struct(F.lit("safety").alias("kind"), r.alias("reason"))),
-        F.transform("qualification", lambda r: F.struct(F.lit("qualification").alias("kind"), r.alias("reason"))),
+        *(listed(kind, F.col(kind)) for kind in ("infrastructure", "safety", "qualification")),
+        listed("infrastructure", F.array_compact(F.array(_sequence_reason(sessions, runs)))),
     )
-    label = F.format_string("session-%d-run-%d:%s", "session", "run", "f.reason")
-    rows = assessed.withColumn("f", F.explode(tagged))
-    return rows.groupBy(case, F.col("f.kind").alias("kind"), label.alias("failure")).agg(
-        F.count("*").alias("n")
+    label = F.format_string("session-%d-run-%d:%s", "session", "run", "reason")
+    shown = assessed.select(case, "session", "run", F.explode(tagged).alias("f")).select(case, "session", "run", "f.kind", "f.reason")
+
+    per_case = _per_case(assessed, case, sessions, runs, cases)
+    grid = per_case.select(case, F.explode(_numbers(sessions)).alias("session")).withColumn("run", F.explode(_numbers(runs)))
+    there = assessed.select(case, F.col("session").cast("bigint").alias("session"), F.col("run").cast("bigint").alias("run"))
+    absent = grid.join(there.distinct(), [case, "session", "run"], "left_anti")
+    absent = absent.select(case, "session", "run", F.lit("infrastructure").alias("kind"), F.lit(MISSING).alias("reason"))
+
+    rows = shown.unionByName(absent).groupBy(case, "kind", label.alias("failure")).agg(F.count("*").alias("n"))
+    wrong = per_case.where("miscounted").select(
+        case, F.lit("infrastructure").alias("kind"), F.lit(MISCOUNTED).alias("failure"), F.lit(1).cast("bigint").alias("n")
     )
+    return rows.unionByName(wrong)
 
 
 def threshold_gate(metrics: DataFrame, limits: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from boxeval.functions.boards import correct_cells, is_reliable
 from boxeval.functions.geometry import box, grid_error, in_bounds
 from boxeval.functions.numbers import reasons, safe_ratio
+from boxeval.operators.distribution import cold_warm, distribution
+from boxeval.operators.keys import join_groups
 
 GRID_ERROR_LIMIT = 0.08
 COUNTS = [
@@ -33,7 +35,11 @@ COUNTS = [
 ]
 # null for inputs that were given their box
 DETECTION = ["matched", "missed", "false_positive", "duplicate", "aligned"]
-COMPARED = [*COUNTS[:4], *DETECTION, "precision", "recall", "exact_rate", "square_rate"]
+COMPARED = [
+    "expected_boards", "predictions", "exact", "correct_squares", *DETECTION, "precision", "recall", "exact_rate", "square_rate",
+    "reliable", "unreliable", "reliable_exact", "reliable_wrong", "reliable_wrong_study", "out_of_image",
+    "correct_orientations", "orientation_rate",
+]
 
 
 def score_predictions(
@@ -141,32 +147,43 @@ def with_detection(counts: DataFrame) -> DataFrame:
 
 
 def summary_aggregates() -> list[Column]:
-    """The sums of one group; mixed groups are found by ``guard_mixed``."""
-    only_detected = [
-        F.when(~F.bool_and("oracle"), F.coalesce(F.sum(c), F.lit(0))).alias(c) for c in DETECTION
-    ]
+    """The sums of one group.
+
+    A group that holds inputs both with and without a given box is ``mixed``:
+    what it detected is not added up, as half of it was not looked for.
+    """
+    only_detected = [F.when(~F.bool_or("oracle"), F.coalesce(F.sum(c), F.lit(0))).alias(c) for c in DETECTION]
     return [
         F.count("*").alias("observations"),
         F.bool_and("oracle").alias("oracle"),
+        (F.bool_or("oracle") & ~F.bool_and("oracle")).alias("mixed"),
         F.count_if(F.col("predictions") == 0).alias("no_board"),
         *(F.sum(c).alias(c) for c in COUNTS),
+        (F.sum("predictions") - F.sum("reliable")).alias("unreliable"),
         *only_detected,
     ]
 
 
 def with_ratios(summed: DataFrame) -> DataFrame:
-    detected = ~F.col("oracle")
+    """The ratios of each group; those of detection are null where its sums are."""
     return (
-        summed.withColumn("precision", F.when(detected, safe_ratio(F.col("matched"), F.col("predictions"))))
-        .withColumn("recall", F.when(detected, safe_ratio(F.col("matched"), F.col("expected_boards"))))
+        summed.withColumn("precision", safe_ratio(F.col("matched"), F.col("predictions")))
+        .withColumn("recall", safe_ratio(F.col("matched"), F.col("expected_boards")))
         .withColumn("exact_rate", safe_ratio(F.col("exact"), F.col("expected_boards")))
         .withColumn("square_rate", safe_ratio(F.col("correct_squares"), F.col("expected_squares")))
-        .withColumn(
-            "orientation_rate", safe_ratio(F.col("correct_orientations"), F.col("identifiable"))
-        )
+        .withColumn("orientation_rate", safe_ratio(F.col("correct_orientations"), F.col("identifiable")))
     )
 
 
+def timings(obs: DataFrame, groups: list[str]) -> DataFrame:
+    """Distributions of initialisation, first-of-session, warm and all times per group, side by side.
+
+    ``obs`` has ``ms``, ``init_ms`` (null where nothing was initialised) and ``cold``.
+    """
+    begun = distribution(obs, groups, "init_ms", "init_")
+    return join_groups(cold_warm(obs, groups, "ms", "cold"), begun, groups)
+
+
 def summarise(obs: DataFrame, groups: list[str]) -> DataFrame:
     return with_ratios(obs.groupBy(*groups).agg(*summary_aggregates()))
 

@@ -317,10 +317,14 @@ def exact_copies(spark: SparkSession, sf: str) -> DataFrame:
     return H.exact_copies(documents(spark, sf), "doc_id", "text")
 
 
-_REDACT = r"regexp_replace(regexp_replace(split_part({0}, chr(10), 1), 'https?://\S+', '<redacted-url>', 'g'), '(?:file://)?/(?:[^\s:]+/)+[^\s:]+', '<redacted-path>', 'g')"
+# word by word: a link has a scheme, a drive's path a letter and colon, a rooted path two slashes
+_REDACT_SQL = r"""WITH first AS (SELECT page_id, string_split(html, chr(10))[1] AS line FROM pages),
+  links AS (SELECT page_id, regexp_replace(line, '[a-zA-Z][-+.a-zA-Z0-9]*:/{2,}[^[:space:]<>"'']+', '[link]', 'g') AS line FROM first),
+  drives AS (SELECT page_id, regexp_replace(line, '\b[a-zA-Z]:[/\\][^[:space:]<>"'':]+', '[path]', 'g') AS line FROM links)
+SELECT page_id, regexp_replace(line, '(^|[[:space:]({=,;<"''\[])/[^/[:space:]<>"'':]+/[^[:space:]<>"'':]*', '\1[path]', 'g') AS safe FROM drives"""
 
 
-@query("x1_redact", f"SELECT page_id, {_REDACT.format('html')} AS safe FROM pages")
+@query("x1_redact", _REDACT_SQL)
 def redact(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", X.redact(F.col("html")).alias("safe"))
 

@@ -234,17 +234,17 @@ assessed AS (SELECT *,
   FROM assessed0)
 """
 
-SUMMARY = """count(*) AS observations, bool_and(oracle) AS oracle, count(*) FILTER (WHERE predictions = 0) AS no_board,
+SUMMARY = """count(*) AS observations, bool_and(oracle) AS oracle, bool_or(oracle) AND NOT bool_and(oracle) AS mixed, CAST(sum(predictions - reliable) AS BIGINT) AS unreliable, count(*) FILTER (WHERE predictions = 0) AS no_board,
   CAST(sum(expected_boards) AS BIGINT) AS expected_boards, CAST(sum(predictions) AS BIGINT) AS predictions, CAST(sum(exact) AS BIGINT) AS exact,
   CAST(sum(correct_squares) AS BIGINT) AS correct_squares, CAST(sum(expected_squares) AS BIGINT) AS expected_squares, CAST(sum(reliable) AS BIGINT) AS reliable,
   CAST(sum(reliable_exact) AS BIGINT) AS reliable_exact, CAST(sum(reliable_wrong) AS BIGINT) AS reliable_wrong, CAST(sum(reliable_wrong_study) AS BIGINT) AS reliable_wrong_study,
   CAST(sum(identifiable) AS BIGINT) AS identifiable, CAST(sum(correct_orientations) AS BIGINT) AS correct_orientations, CAST(sum(ambiguous_truth) AS BIGINT) AS ambiguous_truth,
   CAST(sum(ambiguous_predictions) AS BIGINT) AS ambiguous_predictions, CAST(sum(ambiguity_acknowledged) AS BIGINT) AS ambiguity_acknowledged, CAST(sum(out_of_image) AS BIGINT) AS out_of_image,
-  CASE WHEN NOT bool_and(oracle) THEN CAST(coalesce(sum(matched), 0) AS BIGINT) END AS matched, CASE WHEN NOT bool_and(oracle) THEN CAST(coalesce(sum(missed), 0) AS BIGINT) END AS missed,
-  CASE WHEN NOT bool_and(oracle) THEN CAST(coalesce(sum(false_positive), 0) AS BIGINT) END AS false_positive, CASE WHEN NOT bool_and(oracle) THEN CAST(coalesce(sum(duplicate), 0) AS BIGINT) END AS duplicate,
-  CASE WHEN NOT bool_and(oracle) THEN CAST(coalesce(sum(aligned), 0) AS BIGINT) END AS aligned,
-  CASE WHEN NOT bool_and(oracle) THEN CAST(coalesce(sum(matched), 0) AS DOUBLE) / nullif(CAST(sum(predictions) AS DOUBLE), 0) END AS precision,
-  CASE WHEN NOT bool_and(oracle) THEN CAST(coalesce(sum(matched), 0) AS DOUBLE) / nullif(CAST(sum(expected_boards) AS DOUBLE), 0) END AS recall,
+  CASE WHEN NOT bool_or(oracle) THEN CAST(coalesce(sum(matched), 0) AS BIGINT) END AS matched, CASE WHEN NOT bool_or(oracle) THEN CAST(coalesce(sum(missed), 0) AS BIGINT) END AS missed,
+  CASE WHEN NOT bool_or(oracle) THEN CAST(coalesce(sum(false_positive), 0) AS BIGINT) END AS false_positive, CASE WHEN NOT bool_or(oracle) THEN CAST(coalesce(sum(duplicate), 0) AS BIGINT) END AS duplicate,
+  CASE WHEN NOT bool_or(oracle) THEN CAST(coalesce(sum(aligned), 0) AS BIGINT) END AS aligned,
+  CASE WHEN NOT bool_or(oracle) THEN CAST(coalesce(sum(matched), 0) AS DOUBLE) / nullif(CAST(sum(predictions) AS DOUBLE), 0) END AS precision,
+  CASE WHEN NOT bool_or(oracle) THEN CAST(coalesce(sum(matched), 0) AS DOUBLE) / nullif(CAST(sum(expected_boards) AS DOUBLE), 0) END AS recall,
   CAST(sum(exact) AS DOUBLE) / nullif(CAST(sum(expected_boards) AS DOUBLE), 0) AS exact_rate, CAST(sum(correct_squares) AS DOUBLE) / nullif(CAST(sum(expected_squares) AS DOUBLE), 0) AS square_rate,
   CAST(sum(correct_orientations) AS DOUBLE) / nullif(CAST(sum(identifiable) AS DOUBLE), 0) AS orientation_rate"""
 

@@ -103,8 +103,16 @@ def test_durations_booleans_ratios(spark):
 
 
 def test_text_rules(spark):
-    message = "open https://x.org/a?b failed at /home/me/file.txt:3\nsecret"
-    assert one(spark, X.redact(F.lit(message))) == "open <redacted-url> failed at <redacted-path>:3"
+    safe = {
+        "see https://a.b/c?d=1 now\nmore": "see [link] now",
+        "file:///etc/x/y gone": "[link] gone",
+        "at /srv/app/main.js:3": "at [path]:3",
+        "(/srv/app/) and C:\\Users\\me\\x.txt": "([path] and [path]",
+        "a/b and 1/2 and /one stay": "a/b and 1/2 and /one stay",
+        "": "",
+    }
+    for text, shown in safe.items():
+        assert one(spark, X.redact(F.lit(text))) == shown
     assert one(spark, X.origin(F.lit("http://a.b:80/c?d"))) == "http://a.b:80"
     assert one(spark, X.origin(F.lit("/c/d"))) == ""
     assert one(spark, X.is_iso_date(F.lit("2026-13-99"))) is True

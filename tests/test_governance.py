@@ -176,6 +176,37 @@ def test_case_verdicts(spark):
     }
     named = {r.failure for r in Q.case_failures(done, "case").where("case = 'late-cold'").collect()}
     assert named == {"session-2-run-1:cold-sequence-invalid"}
+    declared = spark.createDataFrame([("never",), ("good",)], "case string")
+    counts = {r.case: r.infrastructure_failures for r in Q.assess_case(done, "case", declared).collect()}
+    assert counts["never"] == 7 and counts["good"] == 0
+    listed = {}
+    for r in Q.case_failures(done, "case", declared).collect():
+        listed.setdefault(r.case, {})[r.failure] = r.n
+    assert "good" not in listed
+    count, missing = "observation-count-or-identity-invalid", "session-2-run-1:missing"
+    assert listed["missing"] == {count: 1, missing: 1}
+    assert listed["outside"] == {"session-7-run-1:observation-identity-invalid": 1, missing: 1}
+    assert listed["never"] == {count: 1, **{f"session-{s}-run-{r}:missing": 1 for s in range(3) for r in range(2)}}
+
+
+def test_only_a_wrong_reliable_reading_rises(spark):
+    same = {m: 1.0 for m in M.COMPARED}
+    rows = [("control", "s", *same.values()), ("candidate", "s", *(same | {"reliable_wrong": 2.0}).values())]
+    df = spark.createDataFrame(rows, "side string, stage string, " + ", ".join(f"{m} double" for m in same))
+    base, cand = (df.where(F.col("side") == side).drop("side") for side in ("control", "candidate"))
+    deltas = M.delta(M.compare(base, cand, ["stage"], M.COMPARED), ["stage"], M.COMPARED)
+    assert [(r.metric, r.delta) for r in Q.regression_gate(deltas).collect()] == [("reliable_wrong", 1.0)]
+
+
+def test_mixed_groups_have_no_detection_sums(spark):
+    counts = {c: 1 for c in M.COUNTS}
+    found = dict.fromkeys(M.DETECTION, 1)
+    rows = [("det", False, *counts.values(), *found.values()), ("mix", False, *counts.values(), *found.values()), ("mix", True, *counts.values(), *[None] * 5)]
+    df = spark.createDataFrame(rows, "g string, oracle boolean, " + ", ".join(f"{c} bigint" for c in (*counts, *found)))
+    got = {r.g: r for r in M.summarise(df, ["g"]).collect()}
+    assert (got["det"].mixed, got["det"].precision, got["det"].matched) == (False, 1.0, 1)
+    assert (got["mix"].mixed, got["mix"].precision, got["mix"].matched) == (True, None, None)
+    assert got["mix"].exact_rate == 1.0
 
 
 def test_comparison_deltas_and_gates(spark):

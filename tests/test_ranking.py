@@ -8,46 +8,6 @@ from pyspark.sql import functions as F
 from boxeval.operators import suppression as K
 from boxeval.operators.distribution import cold_warm, distribution
 from boxeval.operators.ordered import first_flag, row_numbers, running
-from test_matching import brute_iou
-
-
-def brute_suppress(windows, abstain=True, limit=4):
-    """Windows as (seq, box, score), any order."""
-    ordered = sorted(windows, key=lambda w: (-w[2], w[0]))
-    hidden, chosen = set(), []
-    for i, (seq, box, score) in enumerate(ordered):
-        if i in hidden or score < 1.15:
-            continue
-        unsure = False
-        for j in range(i + 1, len(ordered)):
-            _, other, low = ordered[j]
-            if brute_iou(box, other) < 0.72:
-                continue
-            side, width = box[2] - box[0], other[2] - other[0]
-            slack = max(1.5, min(side, width) / 32)
-            apart = abs(box[0] - other[0]) > slack or abs(box[1] - other[1]) > slack or abs(side - width) > slack * 2
-            unsure |= apart and (score - low) / score <= 0.035
-            hidden.add(j)
-        if not (unsure and abstain):
-            chosen.append(seq)
-        if len(chosen) >= limit:
-            break
-    return chosen
-
-
-def brute_diverse(windows, k):
-    """Keep a list in score order; newcomers arrive in seq order."""
-    kept = []
-    for seq, box, score in sorted(windows):
-        at = next((i for i, w in enumerate(kept) if brute_iou(w[1], box) >= 0.75), None)
-        if at is not None:
-            if kept[at][2] >= score:
-                continue
-            del kept[at]
-        place = next((i for i, w in enumerate(kept) if score > w[2]), len(kept))
-        kept.insert(place, (seq, box, score))
-        del kept[k:]
-    return [w[0] for w in kept]
 
 
 @pytest.fixture(scope="module")
@@ -73,21 +33,87 @@ def by_page(df):
     return found
 
 
+def overlap(a, b):
+    """Intersection over union of two corner boxes, by counting along each axis."""
+    wide = max(0.0, min(a[2], b[2]) - max(a[0], b[0]))
+    high = max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
+    areas = sum((c[2] - c[0]) * (c[3] - c[1]) for c in (a, b))
+    return wide * high / (areas - wide * high)
+
+
+def listed(spark, rows):
+    """Windows of one page from (seq, x, y, side, score)."""
+    schema = "page bigint, seq string, x0 double, y0 double, x1 double, y1 double, score double"
+    flat = [(1, seq, float(x), float(y), float(x + side), float(y + side), float(score)) for seq, x, y, side, score in rows]
+    return spark.createDataFrame(flat, schema)
+
+
 @pytest.mark.parametrize("abstain", [True, False])
-def test_suppression_by_fold_rounds_and_mix(windows, abstain):
+def test_suppression_is_the_same_by_fold_rounds_and_mix(windows, abstain):
+    _, df = windows
+    fold = by_page(K.suppress(df, abstain))
+    assert by_page(K.suppress_rounds(df, abstain)) == fold
+    assert by_page(K.suppress(df, abstain, fold_limit=15)) == fold
+    assert all(len(seqs) <= 4 for seqs in fold.values())
+
+
+def test_what_is_suppressed_has_a_better_window_that_is_not(windows):
     pages, df = windows
-    want = {p: c for p, rows in pages.items() if (c := brute_suppress(rows, abstain))}
-    assert by_page(K.suppress(df, abstain)) == want
-    assert by_page(K.suppress_rounds(df, abstain)) == want
-    assert by_page(K.suppress(df, abstain, fold_limit=15)) == want
+    kept = by_page(K.suppress(df, abstain=False, limit=1000))
+    for page, rows in pages.items():
+        found = {seq: (box, score) for seq, box, score in rows}
+        chosen = kept.get(page, [])
+        rank = {seq: (-found[seq][1], seq) for seq in found}
+        assert chosen == sorted(chosen, key=rank.get)
+        assert all(overlap(found[a][0], found[b][0]) < 0.72 for a in chosen for b in chosen if a < b)
+        for seq, (box, score) in found.items():
+            hidden = any(rank[c] < rank[seq] and overlap(found[c][0], box) >= 0.72 for c in chosen)
+            assert (seq in chosen) == (score >= 1.15 and not hidden)
+
+
+@pytest.mark.parametrize(
+    ("rows", "clear"),
+    [
+        ([("a", 0, 0, 64, 2.0), ("b", 300, 0, 64, 1.9)], ["a", "b"]),  # far apart
+        ([("a", 0, 0, 64, 2.0), ("b", 4, 0, 64, 1.99)], []),  # nearly as good, four pixels on: nobody knows which
+        ([("a", 0, 0, 64, 2.0), ("b", 4, 0, 64, 1.9)], ["a"]),  # clearly worse
+        ([("a", 0, 0, 64, 2.0), ("b", 1, 0, 64, 1.99)], ["a"]),  # the same place
+        ([("a", 0, 0, 64, 2.0), ("b", 4, 0, 64, 1.99), ("c", 300, 0, 64, 1.5)], ["c"]),
+        ([("a", 0, 0, 64, 1.14)], []),  # too weak
+        ([("a", 0, 0, 64, 1.16), ("b", 4, 0, 64, 1.13)], []),  # a weak one may still be a rival
+    ],
+)
+def test_rivals_make_a_window_unsure(spark, rows, clear):
+    for found in (K.suppress(listed(spark, rows)), K.suppress_rounds(listed(spark, rows))):
+        assert by_page(found) == ({1: clear} if clear else {})
+
+
+@pytest.mark.parametrize(
+    ("rows", "k", "kept"),
+    [
+        ([("1", 0, 0, 64, 1.0), ("2", 2, 0, 64, 2.0)], 3, ["2"]),  # a better one takes its place
+        ([("1", 0, 0, 64, 2.0), ("2", 2, 0, 64, 2.0)], 3, ["1"]),  # an equal one doesn't
+        ([("1", 0, 0, 64, 1.0), ("2", 200, 0, 64, 3.0), ("3", 400, 0, 64, 2.0)], 2, ["2", "3"]),
+        # the third is near the first, which has gone when it comes
+        ([("1", 0, 0, 64, 1.0), ("2", 200, 0, 64, 3.0), ("3", 400, 0, 64, 2.0), ("4", 2, 0, 64, 2.5)], 2, ["2", "4"]),
+        # it takes the place of one, though it is nearer to another that would have stayed
+        ([("1", 0, 0, 64, 2.0), ("2", 12, 0, 64, 1.5), ("3", 6, 0, 64, 3.0)], 3, ["3", "2"]),
+    ],
+)
+def test_a_diverse_list_by_hand(spark, rows, k, kept):
+    assert by_page(K.diverse_top_k(listed(spark, rows), k)) == {1: kept}
 
 
 @pytest.mark.parametrize("k", [2, 5, 48])
 def test_diverse_list_whole_and_in_chunks(windows, k):
     pages, df = windows
-    want = {p: brute_diverse(rows, k) for p, rows in pages.items()}
-    assert by_page(K.diverse_top_k(df, k)) == want
-    assert by_page(K.diverse_top_k(df, k, chunk=12)) == want
+    whole = by_page(K.diverse_top_k(df, k))
+    assert by_page(K.diverse_top_k(df, k, chunk=12)) == whole
+    for page, seqs in whole.items():
+        found = {seq: (box, score) for seq, box, score in pages[page]}
+        scores = [found[seq][1] for seq in seqs]
+        assert len(seqs) <= k and scores == sorted(scores, reverse=True)
+        assert scores[0] == max(score for _, score in found.values())
 
 
 def test_top_k_drops_what_is_not_finite(spark):
