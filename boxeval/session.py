@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +26,25 @@ def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
     )
 
 
+@functools.lru_cache(maxsize=4)
+def _shipped(application: str) -> str:
+    """An archive of the package; the driver serves it to all Python workers."""
+    package = Path(__file__).resolve().parent
+    archive = f"{tempfile.mkdtemp(prefix='boxeval-')}/boxeval.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    return archive
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package, wherever they were started."""
+    context = spark.sparkContext
+    archive = _shipped(context.applicationId)
+    if Path(archive).name not in {Path(f).name for f in context._python_includes}:
+        context.addPyFile(archive)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
