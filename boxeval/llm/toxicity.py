@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from boxeval.llm.common import bounded_batches, training_sample
 
 #: Judged contents that the fit looks at, about; all if there are fewer.  One task holds their words.
-TRAINING_ROWS = 12_000
+TRAINING_ROWS = 8_000
 #: Words and stems must occur in so many of those contents to have a weight.
 LEAST_CONTENTS = 4
 #: Lengths of the word starts that count as stems.
@@ -155,7 +155,8 @@ def fit_toxicity(contents: DataFrame, verdicts: DataFrame, rows: int = TRAINING_
             schema=pa.schema([("word", pa.string()), ("weight", pa.float64())]),
         )
 
-    learned = sample.coalesce(1).mapInArrow(train, "word string, weight double").collect()
+    # dealt anew rather than coalesced: many tasks read the table, one gets the sample
+    learned = sample.repartition(1).mapInArrow(train, "word string, weight double").collect()
     weights = {row.word: row.weight for row in learned}
     bias = weights.pop("", learn([], np.zeros(0)).bias)
     return SentenceModel(weights, bias)
