@@ -9,8 +9,9 @@ from boxeval.bindings import observations, table
 from boxeval.operators.metrics import summarise
 from boxeval.queries.registry import query
 from boxeval.queries.views import OBS
+from boxeval.session import cut
 from boxeval.sources import readers as S
-from boxeval.streaming.sinks import work_folder
+from boxeval.streaming.sinks import remove_folder, work_folder
 
 
 @query(
@@ -34,7 +35,9 @@ def write_report(spark: SparkSession, sf: str) -> DataFrame:
     folder = work_folder(spark, "report")
     S.write_report(rows, folder, ["suite", "engine"])
     kinds = "stage string, style string, observations bigint, exact bigint, suite string, engine string"
-    return spark.read.schema(kinds).json(folder)
+    report = cut(spark.read.schema(kinds).json(folder))
+    remove_folder(spark, folder)
+    return report
 
 
 @query(
@@ -47,6 +50,7 @@ def read_reports(spark: SparkSession, sf: str) -> DataFrame:
     run = F.struct(F.col("event_id").cast("int").alias("run"), F.col("value").alias("totalMs"))
     documents = runs.select(F.lit("events").alias("suite"), F.col("event_type").alias("engine"), F.array(run).alias("runs"))
     S.write_report(documents, folder, ["suite"])
-    # one report per line here, so the reader's multi-line mode is not used
-    read = spark.read.schema(S.REPORT).json(folder).select("engine", F.inline("runs"))
-    return read.select(F.col("run").cast("bigint").alias("run"), "engine", F.col("totalMs").alias("ms"))
+    read, _ = S.read_reports(spark, folder, lines=True)
+    rows = cut(read.select(F.col("run").cast("bigint").alias("run"), "engine", F.col("totalMs").alias("ms")))
+    remove_folder(spark, folder)
+    return rows

@@ -1,13 +1,18 @@
 """Catalogues, indexes, inventories, reports and raw contents as tables.
 
-All schemas are given, so nothing is inferred from the data; documents that do
-not parse stay visible as rows with ``_corrupt_record``.
+All schemas are given, so nothing is inferred from the data.  A given schema
+hides what it does not know, so each kind of document also has its list of
+problems: files that are no such document, and keys that nobody declared.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
+
+from boxeval.functions.text import is_iso_date
+from boxeval.operators.contracts import Rule, broken
 
 SIZE_LIMIT = 256 * 1024 * 1024
 _RECT = "struct<x:int,y:int,width:int,height:int>"
@@ -23,7 +28,7 @@ CATALOGUE = (
     "tolerance struct<rectanglePixels:int,gridErrorSquares:double>, "
     "pages array<struct<id:string,path:string,sha256:string,width:int,height:int,tags:array<string>,"
     "generator:struct<spec:string,seed:bigint,degradation:map<string,double>>,"
-    f"annotations:array<{_TRUTH}>>>, _corrupt_record string"
+    f"annotations:array<{_TRUTH}>>>, generation variant, contactSheet variant, _corrupt_record string"
 )
 INDEX = (
     "schemaVersion int, fixtures array<struct<id:string,sha256:string,path:string,contentType:string,"
@@ -44,14 +49,54 @@ REPORT = (
 )
 
 
-def _documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One JSON document per file, with the file it came from."""
-    read = spark.read.schema(schema).option("multiLine", True).json(path)
+def _documents(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """One JSON document per file, or per line, with the file it came from."""
+    read = spark.read.schema(schema).option("multiLine", not lines).json(path)
     return read.withColumn("file", F.col("_metadata.file_path"))
 
 
+def _keys(kind: DataType) -> dict[str, list[str]]:
+    """Declared keys per place of a document: its own, and those of the records in its lists."""
+    found = {"$": [f.name for f in kind.fields if f.name != "_corrupt_record"]}
+    for field in kind.fields:
+        if isinstance(field.dataType, ArrayType) and isinstance(field.dataType.elementType, StructType):
+            for place, keys in _keys(field.dataType.elementType).items():
+                found[f"$.{field.name}" + place[1:]] = keys
+    return found
+
+
+def document_problems(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """``file, problem`` for each file that is no JSON object, and each key that ``schema`` does not declare.
+
+    Keys are looked at in the document itself and in the records of its lists.
+    """
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    top = F.json_object_keys("value")
+    unknown = []
+    for place, declared in _keys(StructType.fromDDL(schema)).items():
+        steps = place.split(".")[1:]
+        if steps:
+            kind = "array<map<string,string>>"
+            for step in reversed(steps[1:]):
+                kind = f"array<struct<{step}:{kind}>>"
+            rows = F.from_json(F.get_json_object("value", f"$.{steps[0]}"), kind)
+            for step in steps[1:]:
+                rows = F.flatten(F.filter(rows.getField(step), lambda r: r.isNotNull()))
+            keys = F.flatten(F.transform(F.filter(rows, lambda r: r.isNotNull()), F.map_keys))
+        else:
+            keys = top
+        extra = F.array_except(F.coalesce(keys, F.array().cast("array<string>")), F.array(*map(F.lit, declared)))
+        unknown.append(_prefixed(extra, place))
+    problems = F.when(top.isNull(), F.array(F.lit("not-an-object"))).otherwise(F.concat(*unknown))
+    return raw.select("file", F.explode(problems).alias("problem"))
+
+
+def _prefixed(keys: Column, place: str) -> Column:
+    return F.transform(keys, lambda k: F.concat(F.lit(f"unknown-key:{place}."), k))
+
+
 def read_catalogue(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """A corpus catalogue as ``corpus``, ``pages``, ``truth`` and ``page_tags``."""
+    """A corpus catalogue as ``corpus``, ``pages``, ``truth``, ``page_tags`` and ``problems``."""
     docs = _documents(spark, path, CATALOGUE)
     pages = docs.select("corpusId", F.inline("pages"))
     flat = pages.select(
@@ -79,12 +124,13 @@ def read_catalogue(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         F.col("t.borderWidthPx").alias("border_px"),
     )
     tags = pages.select(F.col("id").alias("page"), F.posexplode("tags").alias("at", "tag"))
-    return {"corpus": docs.drop("pages"), "pages": flat, "truth": truth, "page_tags": tags}
+    return {"corpus": docs.drop("pages"), "pages": flat, "truth": truth, "page_tags": tags, "problems": document_problems(spark, path, CATALOGUE)}
 
 
-def read_fixture_index(spark: SparkSession, path: str) -> DataFrame:
-    """Fixture entries; the open ``expected`` and ``tolerance`` objects stay variants."""
-    return _documents(spark, path, INDEX).select("schemaVersion", "file", F.inline("fixtures"))
+def read_fixture_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Fixture entries, whose open ``expected`` and ``tolerance`` objects stay variants, and the documents' problems."""
+    entries = _documents(spark, path, INDEX).select("schemaVersion", "file", F.inline("fixtures"))
+    return entries, document_problems(spark, path, INDEX)
 
 
 def lookup_fixture(index: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -92,9 +138,14 @@ def lookup_fixture(index: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFra
     return index.join(ids, "id", "left_semi"), ids.join(index, "id", "left_anti")
 
 
-def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """Stored evaluation reports, one row per run, with the file as lineage."""
-    return _documents(spark, path, REPORT).select("suite", "engine", "file", F.inline("runs"))
+def read_reports(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Stored evaluation reports, one row per run with the file as lineage, and the documents that are none.
+
+    A report is a file, or a line with ``lines``.
+    """
+    documents = _documents(spark, path, REPORT, lines)
+    good = F.col("_corrupt_record").isNull() & F.col("runs").isNotNull()
+    return documents.where(good).select("suite", "engine", "file", F.inline("runs")), documents.where(~good).select("file", "_corrupt_record")
 
 
 def read_inventory(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -117,9 +168,35 @@ def read_contents(spark: SparkSession, path: str, pattern: str = "*") -> DataFra
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
 
 
-def read_evidence(spark: SparkSession, path: str) -> DataFrame:
-    """Device records, one document per file."""
-    return _documents(spark, path, EVIDENCE)
+def read_evidence(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Device records, one document per file, and what is wrong with any of them as ``file, problem``."""
+    records = _documents(spark, path, EVIDENCE)
+    found = broken(evidence_rules())
+    faults = records.select("file", F.explode(F.transform(found, lambda f: F.concat_ws(":", f["path"], f["message"]))).alias("problem"))
+    return records, document_problems(spark, path, EVIDENCE).unionByName(faults)
+
+
+def evidence_rules() -> list[Rule]:
+    """What the fields of a device record must be."""
+    # fixed values: device classes, capabilities and their states, results
+    capabilities = ("indexeddb", "opfs", "workers", "webassembly", "storage-estimate", "storage-persistence", "touch", "cross-origin-isolation")
+    states = ("supported", "unsupported", "unknown", "error")
+    named, held = F.map_keys("capabilities"), F.map_values("capabilities")
+    complete = F.array_sort(named) == F.array(*map(F.lit, sorted(capabilities)))
+    return [
+        Rule("schemaVersion", "must be 1", F.col("schemaVersion") == 1),
+        Rule("issue", "must be positive", F.col("issue") >= 1),
+        Rule("commit", "must be a hash", F.col("commit").rlike("^[0-9a-f]{7,40}$")),
+        Rule("date", "must be a day", is_iso_date(F.col("date"), real_day=True)),
+        Rule("deviceClass", "must be known", F.col("deviceClass").isin("ipad", "android", "laptop")),
+        *(Rule(c, "must not be empty", F.length(c) > 0) for c in ("os", "browser")),
+        *(Rule(c, "must be given", F.col(c).isNotNull()) for c in ("installed", "crossOriginIsolated", "notes", "evidence", "limitations")),
+        Rule("url", "must be an https origin", F.col("url").rlike("^https://[^/]+/?$")),
+        Rule("capabilities", "must be the declared ones", complete),
+        Rule("capabilities", "must have known states", F.forall(held, lambda s: s.isin(*states))),
+        Rule("widthsTried", "must have modes and widths", F.forall("widthsTried", lambda w: (F.length(w["mode"]) > 0) & (w["cssWidth"] >= 1))),
+        Rule("result", "must be known", F.col("result").isin("pass", "fail", "partial")),
+    ]
 
 
 def sniff_contents(content: Column, length: Column, magic: bytes, kind: str, limit: int = SIZE_LIMIT) -> Column:

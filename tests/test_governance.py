@@ -77,6 +77,7 @@ def test_inventory_and_exceptions(spark):
 
 def test_catalogue_becomes_tables_and_a_plan(spark):
     c = S.read_catalogue(spark, str(FIXTURES / "catalogue.json"))
+    assert c["problems"].count() == 0
     assert c["pages"].count() == 2 and c["page_tags"].count() == 3
     truth = {r.annotation_id: r for r in c["truth"].collect()}
     assert truth["left"].rendered == "8/8/8/8/8/8/8/8" and truth["cut"].rendered is None
@@ -99,7 +100,8 @@ def test_catalogue_becomes_tables_and_a_plan(spark):
 
 
 def test_index_keeps_open_objects(spark):
-    index = S.read_fixture_index(spark, str(FIXTURES / "index.json"))
+    index, problems = S.read_fixture_index(spark, str(FIXTURES / "index.json"))
+    assert problems.count() == 0
     pages = {r.id: r.n for r in index.select("id", F.variant_get("expected", "$.pages", "int").alias("n")).collect()}
     assert pages == {"one-page": 1, "scan": None}
     found, unknown = S.lookup_fixture(index, spark.createDataFrame([("scan",), ("nope",)], "id string"))
@@ -109,7 +111,8 @@ def test_index_keeps_open_objects(spark):
 
 
 def test_evidence_matrix(spark):
-    record = S.read_evidence(spark, str(FIXTURES / "evidence.json"))
+    record, problems = S.read_evidence(spark, str(FIXTURES / "evidence.json"))
+    assert {r.problem for r in problems.collect()} == {"commit:must be a hash", "deviceClass:must be known", "capabilities:must be the declared ones"}
     wide = record.select("deviceClass", *(F.col("capabilities")[c].alias(c) for c in ("wasm", "share")))
     got = {r.capability: r.required_ok for r in Q.capability_matrix(wide, "deviceClass", ["wasm", "share"], ["wasm"]).collect()}
     assert got == {"wasm": True, "share": None}
@@ -125,7 +128,36 @@ def test_contents_reports_and_sniffing(spark, tmp_path):
     assert {r.c for r in files.select(small.alias("c")).collect()} == {"too-large"}
     report = tmp_path / "report.json"
     report.write_text('{"suite": "s", "engine": "e",\n "runs": [{"run": 0, "phase": "done", "totalMs": 3.5}]}')
-    assert [(r.engine, r.totalMs, Path(r.file).name) for r in S.read_reports(spark, str(report)).collect()] == [("e", 3.5, "report.json")]
+    assert [(r.engine, r.totalMs, Path(r.file).name) for r in S.read_reports(spark, str(report))[0].collect()] == [("e", 3.5, "report.json")]
+
+
+def test_broken_and_unknown_documents_stay_visible(spark, tmp_path):
+    import json
+
+    def problems(df):
+        return {(Path(r.file).name, r.problem) for r in df.collect()}
+
+    (tmp_path / "torn.json").write_text('{"schemaVersion": 1, "fixtures": [')
+    (tmp_path / "list.json").write_text("[1]")
+    (tmp_path / "extra.json").write_text('{"schemaVersion": 1, "fixtures": [{"id": "a", "colour": "red"}, {"id": "b"}], "more": 0}')
+    entries, found = S.read_fixture_index(spark, str(tmp_path))
+    assert {r.id for r in entries.collect()} == {"a", "b"}
+    assert problems(found) == {
+        ("torn.json", "not-an-object"), ("list.json", "not-an-object"),
+        ("extra.json", "unknown-key:$.more"), ("extra.json", "unknown-key:$.fixtures.colour"),
+    }
+    catalogue = json.loads((FIXTURES / "catalogue.json").read_text())
+    catalogue["contactSheet"] = {"path": "x"}
+    catalogue["pages"][0]["annotations"][0]["mood"] = "good"
+    catalogue["pages"][1]["annotations"] = []
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "c.json").write_text(json.dumps(catalogue))
+    read = S.read_catalogue(spark, str(tmp_path / "deep"))
+    assert problems(read["problems"]) == {("c.json", "unknown-key:$.pages.annotations.mood")}
+    assert read["corpus"].select(F.variant_get("contactSheet", "$.path", "string")).first()[0] == "x"
+    runs, broken = S.read_reports(spark, str(tmp_path))
+    assert runs.count() == 0
+    assert {Path(r.file).name for r in broken.collect()} == {"torn.json", "list.json", "extra.json"}
 
 
 def raw(**changes):
