@@ -119,6 +119,38 @@ def confidence_rules(confidences: Column) -> list[Rule]:
     ]
 
 
+def measurement_rules(confidences: Column, low: Column, mean: Column) -> list[Rule]:
+    """All that must hold of one prediction's confidences."""
+    return [*confidence_rules(confidences), *aggregate_rules(confidences, low, mean)]
+
+
+def input_problems(inputs: DataFrame, truth: DataFrame, pred: DataFrame) -> DataFrame:
+    """``page, reason`` for inputs that can't be measured.
+
+    ``inputs`` has ``page, width, height, oracle``; sides are positive, ids of
+    annotations and predictions are unique on a page, and an input that was
+    given its box has one annotation and one prediction.
+    """
+
+    def counted(df: DataFrame, index: str, name: str) -> DataFrame:
+        per_id = df.groupBy("page", index).agg(F.count("*").alias("_n"))
+        return per_id.groupBy("page").agg(F.sum("_n").alias(name), F.max("_n").alias(name + "_most"))
+
+    def number(name: str) -> Column:
+        return F.coalesce(name, F.lit(0))
+
+    joined = inputs.join(counted(truth, "a", "truths"), "page", "left").join(counted(pred, "p", "preds"), "page", "left")
+    sides = F.col("width").between(1e-300, 1e300) & F.col("height").between(1e-300, 1e300)
+    alone = ~F.col("oracle") | ((number("truths") == 1) & (number("preds") == 1))
+    rules = [
+        Rule("size", "page-size", sides),
+        Rule("a", "duplicate-annotation", number("truths_most") <= 1),
+        Rule("p", "duplicate-prediction", number("preds_most") <= 1),
+        Rule("oracle", "oracle-not-one-to-one", alone),
+    ]
+    return joined.select("page", F.explode(F.transform(broken(rules), lambda f: f["message"])).alias("reason"))
+
+
 def region_rules(width: Column, height: Column, data: Column, channels: int, low: int = 8, high: int = 4096) -> list[Rule]:
     """Whole sides within limits, a sample per pixel and channel, values 0 to 255."""
     return [

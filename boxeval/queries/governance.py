@@ -188,6 +188,31 @@ def quarantine_good(spark: SparkSession, sf: str) -> DataFrame:
     return good.select("page", "p")
 
 
+@query(
+    "v8_quarantine_measurements",
+    f"""WITH {BOARDS}, told AS (SELECT vec_id, list_min(conf) AS low, list_sum(conf) / 64 AS mean,
+      CASE label WHEN 3 THEN list_prepend(1.5::DOUBLE, conf[2:]) WHEN 4 THEN conf[:63] WHEN 5 THEN list_append(conf[:63], NULL) ELSE conf END AS c FROM boards)
+    SELECT vec_id, concat_ws(',', CASE WHEN len(c) <> 64 THEN 'must hold 64 values' END, CASE WHEN len(list_filter(c, lambda v: v IS NULL OR v > 1 OR v < 0)) > 0 THEN 'must lie in [0, 1]' END,
+      CASE WHEN abs(list_min(c) - low) > 0.000001 THEN 'contradicts vector' END, CASE WHEN coalesce(abs(list_sum(c) / len(list_filter(c, lambda v: v IS NOT NULL)) - mean), 1) > 0.000001 OR len(list_filter(c, lambda v: v IS NULL)) > 0 THEN 'contradicts vector' END) AS reasons
+    FROM told WHERE reasons <> \'\'""",
+)
+def quarantine_measurements(spark: SparkSession, sf: str) -> DataFrame:
+    """Boards whose vectors have a value out of range, one too few, or none."""
+    b = boards(spark, sf).select(F.col("vec_id").cast("bigint").alias("vec_id"), "label", "confidences")
+    stored = b.withColumn("low", F.array_min("confidences")).withColumn("mean", mean_confidence(F.col("confidences")))
+    most = F.slice("confidences", 1, 63)
+    changed = (
+        F.when(F.col("label") == 3, F.concat(F.array(F.lit(1.5)), F.slice("confidences", 2, 63)))
+        .when(F.col("label") == 4, most)
+        .when(F.col("label") == 5, F.concat(most, F.array(F.lit(None).cast("double"))))
+        .otherwise(F.col("confidences"))
+    )
+    told = stored.withColumn("confidences", changed)
+    rules = V.measurement_rules(F.col("confidences"), F.col("low"), F.col("mean"))
+    _, bad = V.quarantine(told, rules)
+    return bad.select("vec_id", F.array_join("reasons", ",").alias("reasons"))
+
+
 @query(
     "v9_check_aggregates",
     f"""WITH {BOARDS} SELECT 'board' AS entity, CAST(vec_id AS VARCHAR) AS row_id, 'min_conf' AS path, 'contradicts vector' AS message FROM boards WHERE label = 3

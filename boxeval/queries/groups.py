@@ -75,6 +75,23 @@ def page_style(spark: SparkSession, sf: str) -> DataFrame:
     return styled.select("page", "style")
 
 
+@query(
+    "p4_style_key",
+    """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'flat-gray-' || CASE WHEN p_size % 2 = 0 THEN '0.5' ELSE '0.25' END
+      WHEN 1 THEN 'hatch-' || p_size || '-' || p_brand WHEN 2 THEN 'halftone-' || p_brand END AS style FROM part""",
+)
+def style_key(spark: SparkSession, sf: str) -> DataFrame:
+    kinds = F.array(*(F.lit(k) for k in ("flat", "hatch", "halftone", "unknown")))
+    style = F.struct(
+        F.element_at(kinds, (F.col("p_partkey") % 4 + 1).cast("int")).alias("kind"),
+        F.when(F.col("p_size") % 2 == 0, F.lit(0.5)).otherwise(F.lit(0.25)).alias("gray"),
+        F.col("p_size").cast("int").alias("angle"),
+        F.col("p_brand").alias("density"),
+    )
+    parts = table(spark, sf, "part").select("p_partkey", style.alias("style"))
+    return parts.select("p_partkey", P.style_key(F.col("style")).alias("style"))
+
+
 @query(
     "p5_sweep_grid",
     """SELECT source, edge, margin, 48::BIGINT AS expected FROM (SELECT DISTINCT source FROM documents),

@@ -253,3 +253,14 @@ def test_comparison_deltas_and_gates(spark):
     limits = spark.createDataFrame(Q.LIMITS, "metric string, op string, limit double")
     got = {r.metric: r.status for r in Q.threshold_gate(metrics, limits).collect()}
     assert got == {"exact_rate": "PASS", "p95_ms": "FAIL", "false_positive": "FAIL"}
+
+
+def test_inputs_that_cannot_be_measured(spark):
+    inputs = spark.createDataFrame(
+        [("fine", 10.0, 10.0, True), ("flat", 0.0, 10.0, False), ("odd", float("nan"), 1.0, False), ("twice", 9.0, 9.0, False), ("bare", 9.0, 9.0, True)],
+        "page string, width double, height double, oracle boolean",
+    )
+    truth = spark.createDataFrame([("fine", "x"), ("twice", "x"), ("twice", "x"), ("twice", "y")], "page string, a string")
+    pred = spark.createDataFrame([("fine", "p"), ("twice", "p"), ("bare", "p")], "page string, p string")
+    got = {(r.page, r.reason) for r in V.input_problems(inputs, truth, pred).collect()}
+    assert got == {("flat", "page-size"), ("odd", "page-size"), ("twice", "duplicate-annotation"), ("bare", "oracle-not-one-to-one")}
