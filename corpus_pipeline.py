@@ -7,8 +7,6 @@ places.  Rows without an id are neither rejected nor merged for that.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +16,7 @@ from boxeval.llm.quality import fit_quality, quality_score
 from boxeval.llm.queries import packed, verdicts
 from boxeval.llm.secrets import masked, secrets
 from boxeval.llm.toxicity import fit_toxicity, toxicity
-from boxeval.session import checkpoint_root
+from boxeval.streaming.sinks import remove_folder, work_folder
 
 #: Scores below (quality) or from (toxicity) which a document is rejected.
 LEAST_QUALITY, MOST_TOXIC = 0.3, 0.5
@@ -76,10 +74,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each keeps is written to the shared folder and read again."""
+    """All stages over ``documents``; what each keeps is written to the shared folder and read again.
+
+    A stage's rows are deleted once the next one has been written; those of the
+    last stay, as the result is read from there.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{checkpoint_root(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = work_folder(spark, "pipeline")
     for number, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}")
         docs = spark.read.parquet(f"{folder}/{number}")
+        if number:
+            remove_folder(spark, f"{folder}/{number - 1}")
     return docs
