@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +17,8 @@ from boxeval.llm.quality import fit_quality, score_quality
 from boxeval.llm.rollups import commit, totals
 from boxeval.llm.secrets import KINDS, scan_secrets
 from boxeval.llm.toxicity import fit_toxicity, score_toxicity
-from boxeval.session import checkpoint_root, cut
+from boxeval.session import cut
+from boxeval.streaming.sinks import remove_folder, work_folder
 
 #: What a content's tokens end with, and the texts that the vocabulary takes for one token.
 END_ID, SPECIALS = 2, {"<|endoftext|>": 50256}
@@ -228,10 +227,9 @@ def rollups_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = changes(counted, change(1, "insert", "words-1", "guess"), revision, change(3, "insert", "letters-1", "letters"))
     rejected = _table(spark, sf_dir, "labels").where(F.col("quality") == 0)
     second = changes(counted.join(rejected, "doc_id", "left_semi"), change(4, "delete", "words-1", "words"))
-    table = f"{checkpoint_root(spark)}/rollups-{uuid.uuid4().hex}"
+    table = work_folder(spark, "rollups")
     commit(first, table)
     commit(second.unionByName(changes(counted, revision)), table)
     result = cut(totals(spark, table))
-    path = spark._jvm.org.apache.hadoop.fs.Path(table)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    remove_folder(spark, table)
     return result
