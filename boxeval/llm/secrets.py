@@ -16,11 +16,12 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
-import gzip
+import io
 import lzma
 import re
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -46,17 +47,25 @@ _BASE64 = re.compile(r"(?:[A-Za-z0-9+/_-]{60,76}\r?\n)+[A-Za-z0-9+/_-]+={0,2}|[A
 _VARIANT = str.maketrans("-_", "+/", "\r\n")
 _UNPRINTABLE = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]")
 
-#: Code points that the layers of one content may have together; a content that needs more is reported as not complete.
+#: Code points that are held of inflated bytes; more are looked at in windows that overlap, and reported as not complete.
 MOST_DECODED = 64_000_000
+#: Inflated bytes of one encoded run from which no further window is made: such bytes can inflate without end.
+MOST_INFLATED = 64 * MOST_DECODED
+#: Layers of escapes below each other that are always taken; there are more if they have ``MOST_DECODED`` code points together.
+LEAST_DEPTH = 64
+_PART, _GZIP_BITS = 1 << 16, 31
+_CONTINUATION = bytes(range(0x80, 0xC0))
 
 
 class Layer:
     """A text and where each of its code points comes from: places, or one run for all."""
 
-    __slots__ = ("ends", "path", "starts", "text", "whole")
+    __slots__ = ("ends", "only", "path", "spent", "starts", "text", "whole")
 
-    def __init__(self, text: str, path: tuple[str, ...], starts=None, ends=None, whole=None) -> None:
+    def __init__(self, text: str, path: tuple[str, ...], starts=None, ends=None, whole=None, only=True) -> None:
         self.text, self.path, self.starts, self.ends, self.whole = text, path, starts, ends, whole
+        # is it all of what was decoded, or a window of it; and code points of the layers above
+        self.only, self.spent = only, 0
 
     def span(self, start: int, end: int) -> tuple[int, int]:
         """Place in the content of a part of this layer that is not empty."""
@@ -141,45 +150,144 @@ def _unicode(layer: Layer) -> Iterator[Layer]:
         yield _replaced(layer, "unicode", pieces)
 
 
-def _inflated(raw: bytes) -> Iterator[tuple[str, bytes]]:
-    """Decompressed bytes, if ``raw`` starts like a compressed format and is one."""
-    try:
-        if raw[:2] == b"\x1f\x8b":
-            yield "gzip", gzip.decompress(raw)
-        elif raw[:3] == b"BZh":
-            yield "bzip2", bz2.decompress(raw)
-        elif raw[:6] == b"\xfd7zXZ\x00":
-            yield "xz", lzma.decompress(raw)
-        elif raw[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            yield "zstd", zstandard.ZstdDecompressor().decompressobj().decompress(raw)
-        elif len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0:
-            yield "zlib", zlib.decompress(raw)
-    except Exception:  # noqa: BLE001  the libraries have errors of their own each: it was no such format
-        return
+class _Inflating:
+    """What zlib or gzip bytes inflate to, a part at a time; gzip members may follow each other, and nothing behind them counts."""
 
+    def __init__(self, source: BinaryIO, bits: int) -> None:
+        self.source, self.bits, self.tail, self.stream = source, bits, b"", zlib.decompressobj(bits)
 
-def _texts(raw: bytes, path: tuple[str, ...]) -> Iterator[tuple[str, tuple[str, ...]]]:
-    """What bytes say as text, after any number of compressions."""
-    seen = set()
-    work = [(raw, path)]
-    while work:
-        raw, path = work.pop()
-        if raw in seen:
-            continue
-        seen.add(raw)
-        inflated = list(_inflated(raw))
-        work += [(more, (*path, name)) for name, more in inflated]
-        if not inflated:
-            for coding in ("utf-8", "utf-16-le") if b"\x00" in raw else ("utf-8",):
-                try:
-                    text = raw.decode(coding)
-                except UnicodeDecodeError:
-                    continue
-                if text and not _UNPRINTABLE.search(text):
-                    yield text, path
-                    break
+    def read(self, size: int) -> bytes:
+        while True:
+            if self.stream.eof:
+                self.tail = self.stream.unused_data + self.source.read(2)
+                if self.bits != _GZIP_BITS or self.tail[:2] != b"\x1f\x8b":
+                    return b""
+                self.stream = zlib.decompressobj(self.bits)
+            data = self.tail or self.source.read(_PART)
+            out = self.stream.decompress(data, size)
+            self.tail = self.stream.unconsumed_tail
+            if out:
+                return out
+            if not data and not self.stream.eof:
+                raise EOFError
+
+
+def _zstd(source: BinaryIO) -> BinaryIO:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().stream_reader(source, read_across_frames=True)
+
+
+_OPENED = {
+    "gzip": lambda source: _Inflating(source, _GZIP_BITS),
+    "bzip2": bz2.BZ2File,
+    "xz": lzma.LZMAFile,
+    "zstd": _zstd,
+    "zlib": lambda source: _Inflating(source, zlib.MAX_WBITS),
+}
+
+
+def _format(head: bytes) -> str | None:
+    """The compressed format that bytes start like."""
+    if head[:2] == b"\x1f\x8b":
+        return "gzip"
+    if head[:3] == b"BZh":
+        return "bzip2"
+    if head[:6] == b"\xfd7zXZ\x00":
+        return "xz"
+    if head[:4] == b"\x28\xb5\x2f\xfd":
+        return "zstd"
+    if len(head) > 2 and head[0] & 15 == 8 and (head[0] << 8 | head[1]) % 31 == 0:
+        return "zlib"
+    return None
+
+
+def _parts(raw: bytes, at: int, names: tuple[str, ...]) -> Iterator[bytes]:
+    """What ``raw`` from a place on becomes by decompressions one after the other, in parts of bounded size.
+
+    Damaged or truncated bytes give an error, after the parts before the damage.
+    """
+    source = io.BytesIO(raw)
+    source.seek(at)
+    for name in names:
+        source = _OPENED[name](source)
+    while part := source.read(_PART):
+        yield part
+
+
+def _head(raw: bytes, at: int, names: tuple[str, ...]) -> bytes:
+    head = b""
+    try:
+        for part in _parts(raw, at, names):
+            head += part
+            if len(head) >= _PART:
+                break
+    except Exception:  # noqa: BLE001  the libraries have errors of their own each
+        pass
+    return head[:_PART]
+
+
+def _is_whole(raw: bytes, at: int, names: tuple[str, ...]) -> bool:
+    """Do the bytes inflate to a proper end, or at least as far as they are ever looked at?"""
+    size = 0
+    try:
+        for part in _parts(raw, at, names):
+            size += len(part)
+            if size > MOST_INFLATED:
+                break
+    except Exception:  # noqa: BLE001
+        return False
+    return True
+
+
+def _windows(parts: Iterator[bytes]) -> Iterator[tuple[bytes, bool]]:
+    """Inflated bytes in windows of up to ``MOST_DECODED`` code points that overlap, and whether the window is all there is."""
+    held, points, size, only = [], 0, 0, True
+    try:
+        for part in parts:
+            new = max(len(part.translate(None, _CONTINUATION)), len(part) // 4)
+            if held and points + new > MOST_DECODED:
+                only = False
+                window = b"".join(held)
+                yield window, False
+                if size > MOST_INFLATED:
+                    return
+                held = [window[len(window) - min(len(window), MOST_DECODED // 64) :]]
+                points = len(held[0])
+            held.append(part)
+            points, size = points + new, size + len(part)
+    except Exception:  # noqa: BLE001  what came before the damage is looked at
+        pass
+    if held:
+        yield b"".join(held), only and points <= MOST_DECODED
+
+
+def _unpacked(raw: bytes, at: int, names: tuple[str, ...]) -> Iterator[tuple[bytes, tuple[str, ...], bool]]:
+    """Windows of what the bytes become by any number of decompressions, with their formats, and whether each is all there is."""
+    head = _head(raw, at, names)
+    inner = _format(head)
+    if inner and head != _head(raw, at, (*names, inner)) and _is_whole(raw, at, (*names, inner)):
+        yield from _unpacked(raw, at, (*names, inner))
+    else:
+        for window, only in _windows(_parts(raw, at, names)):
+            yield window, names, only
+
+
+def _texts(raw: bytes, path: tuple[str, ...]) -> Iterator[tuple[str, tuple[str, ...], bool]]:
+    """What bytes say as text, after any number of compressions, and whether the text is all there is."""
+    for some, names, only in _unpacked(raw, 0, ()):
+        for coding in ("utf-8", "utf-16-le") if b"\x00" in some else ("utf-8",):
+            try:
+                # a window may begin or end within a code point
+                text = some.decode(coding, "strict" if only else "ignore")
+            except UnicodeDecodeError:
+                continue
+            if text and not _UNPRINTABLE.search(text):
+                yield text, (*path, *names), only
+                break
+        else:
+            if not only:
+                yield "", (*path, *names), False
 
 
 def _base64(layer: Layer) -> Iterator[Layer]:
@@ -190,19 +298,31 @@ def _base64(layer: Layer) -> Iterator[Layer]:
             raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
         except binascii.Error:
             continue
-        for text, path in _texts(raw, (*layer.path, "base64")):
-            yield Layer(text, path, whole=layer.span(m.start(), m.end()))
+        for text, path, only in _texts(raw, (*layer.path, "base64")):
+            yield Layer(text, path, whole=layer.span(m.start(), m.end()), only=only)
 
 
-def find_secrets(text: str) -> tuple[list[dict], bool]:
-    """Spans by start, kind and end, with the layer each was found in; were all layers looked at?"""
+def _layers(layer: Layer) -> Iterator[Layer]:
+    for decode in (_base64, _unicode, _percent):
+        yield from decode(layer)
+
+
+def read_layers(text: str) -> tuple[list[dict], list[tuple[int, int]]]:
+    """Spans by start, kind and end, with the layer each was found in, and the places whose layers were not all looked at as a whole."""
     found: dict[tuple[int, int, int], str] = {}
-    work = [Layer(text, ())]
+    unread: set[tuple[int, int]] = set()
+    # layers of a layer are made one after the other, so that only one window of each is held
+    work = [iter([Layer(text, ())])]
     seen = set()
-    spent, complete = 0, True
+    deepest = max(MOST_DECODED, LEAST_DEPTH * len(text))
     while work:
-        layer = work.pop()
-        key = (layer.text, layer.whole, None if layer.starts is None else hash((*layer.starts, *layer.ends)))
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
+        if not layer.only:
+            unread.add(layer.whole)
+        key = (hash(layer.text), len(layer.text), layer.whole, None if layer.starts is None else hash((*layer.starts, *layer.ends)))
         if key in seen:
             continue
         seen.add(key)
@@ -210,34 +330,49 @@ def find_secrets(text: str) -> tuple[list[dict], bool]:
             place = (layer.span(start, end)[0], KINDS.index(kind), layer.span(start, end)[1])
             path = ">".join(layer.path)
             found[place] = min(found.get(place, path), path)
-        for decode in (_percent, _unicode, _base64):
-            for more in decode(layer):
-                spent += len(more.text)
-                if spent > MOST_DECODED:
-                    complete = False
-                else:
-                    work.append(more)
+        layer.spent += len(layer.text)
+        if layer.spent > deepest:
+            unread.update(layer.span(m.start(), m.end()) for runs in (_PERCENT, _UNICODE, _BASE64) for m in runs.finditer(layer.text))
+        else:
+            work.append(_below(layer))
     rows = [{"kind": KINDS[k], "start": a, "end": b, "layer": path} for (a, k, b), path in sorted(found.items())]
-    return rows, complete
+    return rows, sorted(unread)
+
+
+def _below(layer: Layer) -> Iterator[Layer]:
+    for more in _layers(layer):
+        # what is inflated counts anew: a large text in plain sight takes nothing from it
+        more.spent = layer.spent if more.path[-1] in ("url", "unicode", "base64") else 0
+        yield more
+
+
+def find_secrets(text: str) -> tuple[list[dict], bool]:
+    """Spans by start, kind and end, with the layer each was found in; were all layers looked at as a whole?"""
+    rows, unread = read_layers(text)
+    return rows, not unread
 
 
 def secrets(content: Column) -> Column:
-    """``struct<spans, complete>`` of each content; a null content counts as empty."""
-    kind = pa.struct(
-        [
-            ("spans", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("layer", pa.string())]))),
-            ("complete", pa.bool_()),
-        ]
-    )
+    """``struct<spans, unread, complete>`` of each content; a null content counts as empty.
+
+    ``unread`` has a span of kind 'unread' for each place that was not read as a
+    whole: the content is ``complete`` if there is none.
+    """
+    span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("layer", pa.string())])
+    kind = pa.struct([("spans", pa.list_(span)), ("unread", pa.list_(span)), ("complete", pa.bool_())])
 
     def scanned(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            results = [find_secrets(text or "") for text in batch.to_pylist()]
-            yield pa.array([{"spans": spans, "complete": complete} for spans, complete in results], kind)
+            results = [read_layers(text or "") for text in batch.to_pylist()]
+            yield pa.array([{"spans": spans, "unread": _unread_spans(unread), "complete": not unread} for spans, unread in results], kind)
 
     scanned.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     spans = "array<struct<kind:string,start:int,end:int,layer:string>>"
-    return F.arrow_udf(scanned, f"spans {spans}, complete boolean")(content)
+    return F.arrow_udf(scanned, f"spans {spans}, unread {spans}, complete boolean")(content)
+
+
+def _unread_spans(unread: list[tuple[int, int]]) -> list[dict]:
+    return [{"kind": "unread", "start": start, "end": end, "layer": ""} for start, end in unread]
 
 
 def scan_secrets(contents: DataFrame) -> DataFrame:
@@ -245,8 +380,8 @@ def scan_secrets(contents: DataFrame) -> DataFrame:
 
     ``spans`` has kind, start and end (code points of the content, end
     exclusive) and the layer in which it was found, '' for plain sight; equal
-    spans from several layers are one.  ``complete`` is false where layers would
-    grow beyond ``MOST_DECODED``.  Repeated rows give repeated results, an empty
+    spans from several layers are one.  ``complete`` is false where a layer has
+    grown beyond ``MOST_DECODED`` and was looked at in windows.  Repeated rows give repeated results, an empty
     table an empty one; other columns are not looked at.
     """
     bounded_batches(contents.sparkSession)

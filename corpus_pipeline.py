@@ -50,9 +50,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with each secret replaced by its kind in brackets; ``n_chars`` is that of the new text."""
+    """All documents, with each secret replaced by its kind in brackets; ``n_chars`` is that of the new text.
+
+    Encoded runs that could not be read as a whole are replaced by '[unread]'.
+    """
     bounded_batches(spark)
-    clean = docs.withColumn("text", masked(F.col("text"), secrets(F.col("text"))["spans"]))
+    found = docs.withColumn("_found", secrets(F.col("text")))
+    clean = found.withColumn("text", masked(F.col("text"), F.concat("_found.spans", "_found.unread"))).drop("_found")
     return clean.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
 
 

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from boxeval.llm.queries import QUERIES
-from boxeval.llm.secrets import find_secrets, masked, scan_secrets
+from boxeval.llm.secrets import _mask, _unread_spans, find_secrets, masked, read_layers, scan_secrets
 
 SF = "/root/testdata/sf0.001"
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -65,6 +65,33 @@ def test_a_bomb_is_reported_as_not_complete(monkeypatch):
     assert find_secrets(f"token=abcdefghijkl {bomb}") == ([{"kind": "assign", "start": 0, "end": 18, "layer": ""}], False)
 
 
+def test_a_bomb_takes_nothing_from_other_layers(monkeypatch):
+    monkeypatch.setattr("boxeval.llm.secrets.MOST_DECODED", 20_000)
+    inside = b"a " * 20_000 + b"password=hunter2hunter2 " + b"a " * 20_000
+    bomb = base64.b64encode(gzip.compress(inside, mtime=0)).decode()
+    coded = base64.b64encode(b"token=abcdefghijkl").decode()
+    rows, complete = find_secrets(f"{bomb} {coded} api_key%3Dabcdefghijkl")
+    places = [(r["layer"], r["start"], r["end"]) for r in rows]
+    at = len(bomb) + 1
+    assert places == [("base64>gzip", 0, len(bomb)), ("base64", at, at + len(coded)), ("url", at + len(coded) + 1, at + len(coded) + 23)]
+    assert not complete
+
+
+def test_layers_of_a_large_text_are_all_taken(monkeypatch):
+    monkeypatch.setattr("boxeval.llm.secrets.MOST_DECODED", 1000)
+    text = "word " * 100 + "%41 \\u0041 " * 20 + "token%253Dabcdefghijkl " + base64.b64encode(b"token=abcdefghijkl").decode()
+    rows, complete = find_secrets(text)
+    assert complete and sorted(text[r["start"] : r["end"]][:8] for r in rows) == ["dG9rZW49", "token%25"]
+
+
+def test_runs_that_were_not_read_are_masked(monkeypatch):
+    bomb = base64.b64encode(gzip.compress(b"a " * 5000, mtime=0)).decode()
+    monkeypatch.setattr("boxeval.llm.secrets.MOST_DECODED", 1000)
+    rows, unread = read_layers(f"x {bomb} y")
+    assert (rows, unread) == ([], [(2, 2 + len(bomb))])
+    assert _mask(f"x {bomb} y", _unread_spans(unread)) == "x [unread] y"
+
+
 def test_rows_of_a_table(spark):
     texts = [None, "", "token=abcdefghijkl", "token=abcdefghijkl", "word " * 50_000 + "token=abcdefghijkl"]
     df = spark.createDataFrame([(i, t, "s", True) for i, t in enumerate(texts)], "id bigint, content string, spans string, complete boolean")
