@@ -13,7 +13,6 @@ Decoded layers carry on the rule that evidence and reports hold no secrets.
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
 import io
@@ -46,6 +45,10 @@ _ESCAPED = re.compile(r"\\[uUx]|&#|[！-～]")
 _BASE64 = re.compile(r"(?:[A-Za-z0-9+/_-]{60,76}\r?\n)+[A-Za-z0-9+/_-]+={0,2}|[A-Za-z0-9+/_-]{16,}={0,2}")
 _VARIANT = str.maketrans("-_", "+/", "\r\n")
 _UNPRINTABLE = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]")
+# no secret is shorter than 16 code points, encoded or not, so shorter stretches hold none
+_STRETCH = re.compile("[^\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\ud800-\udfff]{16,}")
+_WIDE = re.compile(rb"(?:[\t\n\r\x20-\x7e]\x00|[\x01-\x5e]\xff){16,}")
+_MARK = re.compile(rb"\x1f\x8b|BZh|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|[\x08\x18\x28\x38\x48\x58\x68\x78]")
 
 #: Code points that are held of inflated bytes; more are looked at in windows that overlap, and reported as not complete.
 MOST_DECODED = 64_000_000
@@ -273,33 +276,60 @@ def _unpacked(raw: bytes, at: int, names: tuple[str, ...]) -> Iterator[tuple[byt
             yield window, names, only
 
 
-def _texts(raw: bytes, path: tuple[str, ...]) -> Iterator[tuple[str, tuple[str, ...], bool]]:
-    """What bytes say as text, after any number of compressions, and whether the text is all there is."""
-    for some, names, only in _unpacked(raw, 0, ()):
-        for coding in ("utf-8", "utf-16-le") if b"\x00" in some else ("utf-8",):
-            try:
-                # a window may begin or end within a code point
-                text = some.decode(coding, "strict" if only else "ignore")
-            except UnicodeDecodeError:
-                continue
-            if text and not _UNPRINTABLE.search(text):
-                yield text, (*path, *names), only
-                break
-        else:
+def _readings(raw: bytes) -> Iterator[tuple[int, int, str]]:
+    """What bytes say as text: all of them, or else each stretch of them that is text, with its place."""
+    for coding in ("utf-8", "utf-16-le") if b"\x00" in raw else ("utf-8",):
+        try:
+            text = raw.decode(coding)
+        except UnicodeDecodeError:
+            continue
+        if text and not _UNPRINTABLE.search(text):
+            yield 0, len(raw), text
+            return
+    text = raw.decode("utf-8", "surrogateescape")
+    at = done = 0
+    for m in _STRETCH.finditer(text):
+        at += len(text[done : m.start()].encode("utf-8", "surrogateescape"))
+        size = len(m[0].encode())
+        yield at, at + size, m[0]
+        at, done = at + size, m.end()
+    for m in _WIDE.finditer(raw) if b"\x00" in raw else ():
+        yield m.start(), m.end(), m[0].decode("utf-16-le")
+
+
+def _texts(raw: bytes, path: tuple[str, ...]) -> Iterator[tuple[int, int, str, tuple[str, ...], bool]]:
+    """Place, text, path and whether it is all there is, of what bytes say as they are and after any number of compressions.
+
+    Compressed bytes may begin anywhere, as other characters may stand before an
+    encoded run without a gap.  zlib's mark is short, and so counts only with a
+    proper end.
+    """
+    for start, end, text in _readings(raw):
+        yield start, end, text, path, True
+    for m in _MARK.finditer(raw):
+        name = _format(raw[m.start() : m.start() + 8])
+        if not name or (name == "zlib" and not _is_whole(raw, m.start(), (name,))):
+            continue
+        for some, names, only in _unpacked(raw, m.start(), (name,)):
+            for _, _, text in _readings(some):
+                yield m.start(), len(raw), text, (*path, *names), only
             if not only:
-                yield "", (*path, *names), False
+                yield m.start(), len(raw), "", (*path, *names), False
 
 
 def _base64(layer: Layer) -> Iterator[Layer]:
     for m in _BASE64.finditer(layer.text):
         body = m[0].rstrip("=").translate(_VARIANT)
-        body = body[: len(body) - (len(body) % 4 == 1)]
-        try:
-            raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-        except binascii.Error:
-            continue
-        for text, path, only in _texts(raw, (*layer.path, "base64")):
-            yield Layer(text, path, whole=layer.span(m.start(), m.end()), only=only)
+        broken = len(body) < len(m[0].rstrip("="))
+        chars = [i for i, c in enumerate(m[0]) if c not in "\r\n="] if broken else range(len(body))
+        # what stands before the encoded characters in one run moves their groups of four
+        for shift in range(4):
+            some = body[shift : len(body) - ((len(body) - shift) % 4 == 1)]
+            raw = binascii.a2b_base64(some + "=" * (-len(some) % 4))
+            for start, end, text, path, only in _texts(raw, (*layer.path, "base64")):
+                first = m.start() + chars[shift + start * 4 // 3]
+                last = m.end() if end == len(raw) else m.start() + chars[shift - (-end * 4 // 3) - 1] + 1
+                yield Layer(text, path, whole=layer.span(first, last), only=only)
 
 
 def _layers(layer: Layer) -> Iterator[Layer]:

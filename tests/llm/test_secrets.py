@@ -92,6 +92,23 @@ def test_runs_that_were_not_read_are_masked(monkeypatch):
     assert _mask(f"x {bomb} y", _unread_spans(unread)) == "x [unread] y"
 
 
+def test_encoded_runs_are_found_behind_and_before_other_characters():
+    secret = b"password=abcdefghijklmnop"
+    for coded in (base64.b64encode(secret).decode(), base64.b64encode(secret).decode().rstrip("="), base64.urlsafe_b64encode(gzip.compress(secret * 9)).decode()):
+        for before in ("", "/", "x/", "https://h.io/cb/", "data_", "a-b_c/", "key"):
+            for behind in ("", "\n", "/next", "-x"):
+                text = f"see {before}{coded}{behind} end"
+                at = text.index(coded)
+                assert any(s["start"] <= at and at + len(coded) - 2 <= s["end"] <= len(text) - 4 for s in find_secrets(text)[0]), text
+    line = base64.b64encode(b"the user's password=abcdefghijklmnop is for all of it").decode().rstrip("=")
+    assert 60 <= len(line) <= 76
+    for more in ("The end", "and more", "In this", "x"):
+        (row,) = find_secrets(f"{line}\n{more} of it")[0]
+        assert (row["start"], row["layer"]) == (0, "base64") and row["end"] >= len(line) - 2
+    lines = base64.encodebytes(b"some words " * 30 + secret + b" more " * 9).decode()
+    assert {r["layer"] for r in find_secrets("ab/" + lines)[0]} == {"base64"}
+
+
 def test_rows_of_a_table(spark):
     texts = [None, "", "token=abcdefghijkl", "token=abcdefghijkl", "word " * 50_000 + "token=abcdefghijkl"]
     df = spark.createDataFrame([(i, t, "s", True) for i, t in enumerate(texts)], "id bigint, content string, spans string, complete boolean")
