@@ -29,8 +29,10 @@ from boxeval.session import cut
 SAMPLE_ROWS = 20_000
 #: Vectors per list, and most lists: centroids and their graph are held by each task.
 LIST_ROWS, MOST_LISTS = 1024, 4096
-#: Vectors per block of a list, about.
-BLOCK_ROWS = 4096
+#: Vectors per block of a list, and queries per block of those that look at it, about.
+BLOCK_ROWS, QUERY_ROWS = 4096, 4096
+#: Queries from which the driver tells how many look at each list, about.
+SAMPLE_QUERIES = 512
 #: A vector stands in lists at most (1 + REPLICATE) times as far as the nearest; a query looks at those up to (1 + LOOK).
 REPLICATE, REPLICAS, LOOK = 0.02, 4, 0.26
 #: Centroids that a walk keeps in view, and links of each.
@@ -38,6 +40,7 @@ IN_VIEW, LINKS = 256, 24
 ROUNDS, BALANCE = 12, 0.05
 _RESOLUTION = 1 << 30
 _QUERIES_AT_ONCE = 512
+_ROWS_AT_ONCE = 8192
 
 
 class CentroidGraph:
@@ -159,14 +162,29 @@ def usable(boards: DataFrame) -> DataFrame:
     return rows.where(F.size("confidences") == (common.n if common else 0))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), float)
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length, without nulls, as rows; no Python list is made of them."""
+    numbers = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in getattr(column, "chunks", [column])])
+    return numbers.astype(float, copy=False).reshape(len(column), -1)
 
 
 def _blocks(graph: CentroidGraph, rows: int) -> np.ndarray:
     return np.maximum(1, np.ceil(graph.shares * rows / BLOCK_ROWS)).astype(int)
 
 
+def _query_blocks(graph: CentroidGraph, asked: DataFrame, least: float) -> np.ndarray:
+    """Blocks for the queries of each list, by the share of a sample of them that look at it."""
+    lists, rows = len(graph.centroids), asked.count()
+    if rows <= QUERY_ROWS:
+        return np.ones(lists, int)
+    at = F.pmod(F.xxhash64("confidences", F.lit("sample")), F.lit(_RESOLUTION))
+    drawn = asked.where(at < F.lit(min(_RESOLUTION, int(_RESOLUTION * SAMPLE_QUERIES / rows)))).collect()
+    looked = graph.looked_at(np.array([row.confidences for row in drawn], float), least) if drawn else []
+    # a list that few of the sample or none look at may have some queries nevertheless
+    hits = np.bincount([x for own in looked for x in own], minlength=lists) + 3
+    return np.ceil(rows * np.minimum(1, hits / max(len(drawn), 1)) / QUERY_ROWS).astype(int)
+
+
 def nearest_boards(boards: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     """``query_id, rank, board_id, score`` of the ``k`` nearest found boards of each query.
 
@@ -184,7 +202,7 @@ def nearest_boards(boards: DataFrame, is_query: Column, k: int = 20) -> DataFram
     entries = rows.withColumn("_n", F.row_number().over(copies)).where(F.col("_n") <= k + 1)
     entries = cut(entries.groupBy("confidences").agg(F.array_sort(F.collect_list("board_id")).alias("board_ids")))
     queries = rows.where(is_query)
-    asked = queries.select("confidences").distinct()
+    asked = cut(queries.select("confidences").distinct())
 
     length = F.sqrt(F.aggregate("confidences", F.lit(0.0), lambda s, c: s + c * c))
     about = entries.agg(F.count("*").alias("n"), F.max(length).alias("radius")).first()
@@ -197,6 +215,7 @@ def nearest_boards(boards: DataFrame, is_query: Column, k: int = 20) -> DataFram
     shared = spark.sparkContext.broadcast(graph)
     blocks = _blocks(graph, about.n) if graph else np.ones(1, int)
     least = 8 * (k + 1) / max(about.n, 1)
+    parts = _query_blocks(graph, asked, least) if graph else np.ones(1, int)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,27 +227,42 @@ def nearest_boards(boards: DataFrame, is_query: Column, k: int = 20) -> DataFram
                 # a vector's first bits deal it out, whatever its place in the table
                 dealt = np.abs(vectors @ np.cos(np.arange(vectors.shape[1]) + 1.0)) * 1e6
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(own), pa.array(dealt.astype(np.int64)[at] % blocks[own]), *(batch[c].take(pa.array(at)) for c in ("confidences", "board_ids"))],
-                    names=["list", "block", "confidences", "board_ids"],
-                )
+                    [
+                        pa.array(own), pa.array(dealt.astype(np.int64)[at] % blocks[own]), pa.array(parts[own]),
+                        *(batch[c].take(pa.array(at)) for c in ("confidences", "board_ids")),
+                    ],
+                    names=["list", "block", "parts", "confidences", "board_ids"],
+                )
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                looked = shared.value.looked_at(_matrix(batch["confidences"]), least)
-                at = [i for i, own in enumerate(looked) for x in own for _ in range(blocks[x])]
-                pairs = [(x, b) for own in looked for x in own for b in range(blocks[x])]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x for x, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64()), batch["confidences"].take(pa.array(at))],
-                    names=["list", "block", "confidences"],
-                )
+            vectors = _matrix(batch["confidences"]) if batch.num_rows else ()
+            for start in range(0, len(vectors), _QUERIES_AT_ONCE):
+                looked = shared.value.looked_at(vectors[start : start + _QUERIES_AT_ONCE], least)
+                rows = np.repeat(np.arange(len(looked)) + start, [len(own) for own in looked])
+                own = np.array([x for own in looked for x in own], int)
+                dealt = batch["dealt"].to_numpy(zero_copy_only=False)
+                for i in range(0, len(own), _ROWS_AT_ONCE):
+                    some, at = own[i : i + _ROWS_AT_ONCE], rows[i : i + _ROWS_AT_ONCE]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(some), pa.array(blocks[some]), pa.array(dealt[at] % parts[some]), batch["confidences"].take(pa.array(at))],
+                        names=["list", "blocks", "part", "confidences"],
+                    )
 
     def look(asked: pa.Table, there: pa.Table) -> pa.Table:
         return _look(asked, there, k + 1)
 
-    posted = entries.mapInArrow(post, "list bigint, block bigint, confidences array<double>, board_ids array<bigint>")
-    looking = asked.mapInArrow(ask, "list bigint, block bigint, confidences array<double>")
-    found = looking.groupBy("list", "block").cogroup(posted.groupBy("list", "block")).applyInArrow(
+    def numbers(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+
+    # each block of a list meets each block of the list's queries in a group of its own
+    posted = entries.mapInArrow(post, "list bigint, block bigint, parts bigint, confidences array<double>, board_ids array<bigint>")
+    posted = posted.select("list", "block", numbers("parts").alias("part"), "confidences", "board_ids")
+    dealt_out = asked.select("confidences", F.pmod(F.xxhash64("confidences"), F.lit(_RESOLUTION)).alias("dealt"))
+    looking = dealt_out.mapInArrow(ask, "list bigint, blocks bigint, part bigint, confidences array<double>")
+    looking = looking.select("list", numbers("blocks").alias("block"), "part", "confidences")
+    met = ("list", "block", "part")
+    found = looking.groupBy(*met).cogroup(posted.groupBy(*met)).applyInArrow(
         look, "confidences array<double>, found array<struct<less:double,board_id:bigint>>"
     )
     # a vector in several lists is found several times, with the very same score

@@ -64,6 +64,22 @@ def test_recall_with_many_lists_and_blocks(spark, monkeypatch):
     assert all(s == pytest.approx(scores[q, i], abs=1e-12) for q, _, i, s in answers if (q, i) in scores)
 
 
+def test_groups_have_bounded_numbers_of_queries_and_vectors(spark, monkeypatch):
+    look = N._look
+
+    def bounded(asked, there, most):
+        assert asked.num_rows <= 80 and there.num_rows <= 160, (asked.num_rows, there.num_rows)
+        return look(asked, there, most)
+
+    rng = np.random.default_rng(3)
+    rows = [(20 * i + j, v.tolist()) for i in range(400) for j, v in enumerate(rng.normal(size=(2, 8)))]
+    whole = found(boards(spark, rows))
+    monkeypatch.setattr(N, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(N, "QUERY_ROWS", 32)
+    monkeypatch.setattr(N, "_look", bounded)
+    assert found(boards(spark, rows)) == whole
+
+
 def test_walks_meet_the_nearest_centroids():
     rng = np.random.default_rng(4)
     points = rng.normal(size=(3000, 16))
