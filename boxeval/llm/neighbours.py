@@ -287,12 +287,16 @@ def _look(asked: pa.Table, there: pa.Table, most: int) -> pa.Table:
     queries, vectors = _matrix(asked["confidences"]), _matrix(there["confidences"])
     ids = there["board_ids"].to_pylist()
     found = []
+    longest = np.sqrt((vectors**2).sum(1).max())
     for start in range(0, len(queries), _QUERIES_AT_ONCE):
         some = queries[start : start + _QUERIES_AT_ONCE]
         scores = some @ vectors.T
-        enough = min(most + 4, scores.shape[1])
-        near = np.argpartition(-scores, enough - 1, axis=1)[:, :enough]
-        for query, chosen in zip(some, near, strict=True):
+        rest = max(0, scores.shape[1] - most)
+        # all that tie with the last one are taken, as the smallest ids count; scores may be off by rounding
+        off = 4 * vectors.shape[1] * np.finfo(float).eps * longest * np.sqrt((some**2).sum(1))
+        least = np.partition(scores, rest, axis=1)[:, rest] - off
+        for query, row, last in zip(some, scores, least, strict=True):
+            chosen = np.flatnonzero(~(row < last))
             # summed in one way for a pair, wherever it is met
             exact = (query * vectors[chosen]).sum(axis=1).tolist()
             hits = sorted((-score, board) for score, i in zip(exact, chosen, strict=True) for board in ids[i])[:most]

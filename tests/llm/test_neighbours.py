@@ -64,6 +64,15 @@ def test_recall_with_many_lists_and_blocks(spark, monkeypatch):
     assert all(s == pytest.approx(scores[q, i], abs=1e-12) for q, _, i, s in answers if (q, i) in scores)
 
 
+def test_many_different_vectors_tie_at_the_cut(spark):
+    # all but a few have the same product with each query, and ids do not follow the order of the vectors
+    rng = np.random.default_rng(5)
+    ids = rng.permutation(300)
+    rows = [(int(i), [1.0, float(n % 7 == 0), float(n)]) for n, i in enumerate(ids) if i % 20]
+    rows += [(20 * i, [1.0 + i, 1.0, 0.0]) for i in range(3)]
+    assert found(boards(spark, rows)) == brute(rows, 20)
+
+
 def test_groups_have_bounded_numbers_of_queries_and_vectors(spark, monkeypatch):
     look = N._look
 
