@@ -198,6 +198,22 @@ def common_grams(sets: list[np.ndarray]) -> np.ndarray:
     return common
 
 
+def _key(words: bytes) -> bytes:
+    return hashlib.blake2b(words, digest_size=16).digest()
+
+
+def _keyed(contents: DataFrame) -> DataFrame:
+    """``node, words_key, content`` of each content with an id."""
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [_key(words_of(text or "")) for text in batch["content"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(keys, pa.binary()), batch["content"]], names=["node", "words_key", "content"])
+
+    rows = contents.where(F.col("id").isNotNull()).select(F.col("id").cast("bigint").alias("node"), "content")
+    return rows.mapInArrow(key, "node bigint, words_key binary, content string")
+
+
 def _signed(contents: DataFrame) -> DataFrame:
     """``id, words_key, n, least, bands`` of each content with an id: what it is compared by."""
 
@@ -207,7 +223,7 @@ def _signed(contents: DataFrame) -> DataFrame:
             for text in batch["content"].to_pylist():
                 words = words_of(text or "")
                 grams = shingles(words)
-                keys.append(hashlib.blake2b(words, digest_size=16).digest())
+                keys.append(_key(words))
                 sizes.append(len(grams))
                 values = min_values(grams) if len(grams) else None
                 least.append(b"" if values is None else (values & np.uint32(255)).astype(np.uint8).tobytes())
@@ -306,22 +322,15 @@ def near_duplicates(contents: DataFrame, threshold: float = THRESHOLD, tolerance
     roots = groups.select("root").distinct()
     grouped = cut(groups.unionByName(roots.select(F.col("root").alias("node"), "root")))
 
-    texts = contents.select(F.col("id").cast("bigint").alias("node"), "content")
-    compared = grouped.join(classes.select("node", "copies", "n", "least", "words_key"), "node").join(texts, "node")
+    # repeated rows bring one text, and each class of an id with several texts its own
+    texts = _keyed(contents).groupBy("node", "words_key").agg(F.first("content").alias("content"))
+    compared = grouped.join(classes.select("node", "copies", "n", "least", "words_key"), "node").join(texts, ["node", "words_key"])
     sizes = grouped.groupBy("root").agg(F.count("*").alias("_size"))
 
     def verify(rows: list[dict]) -> pa.RecordBatch | None:
-        # repeated rows bring a text twice, and rows of one id may have others
-        once, own = {}, {}
-        for r in rows:
-            place = (r["words_key"], r["_first"])
-            if place not in own:
-                words = words_of(r["content"] or "")
-                if hashlib.blake2b(words, digest_size=16).digest() == r["words_key"]:
-                    once[place], own[place] = r, shingles(words)
-        rows, sets = list(once.values()), list(own.values())
         if len(rows) < 2:
             return None
+        sets = [shingles(words_of(r["content"] or "")) for r in rows]
         i, j = _compared(rows, fewest, threshold)
         if not len(i):
             return None

@@ -144,3 +144,17 @@ def test_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     result = QUERIES["op9_ngram_jaccard"](spark, SF).collect()
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in result) == brute(rows)
+
+
+def test_repeated_rows_bring_one_text_to_a_pair_of_blocks(spark, monkeypatch):
+    by_pair, sizes = J._by_pair, {}
+
+    def counting(rows, key, work, schema):
+        sizes[key] = rows.count()
+        return by_pair(rows, key, work, schema)
+
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text)] * 500 + [(2, text + " more"), (1, "another text of the same id")]
+    monkeypatch.setattr(J, "_by_pair", counting)
+    assert set(found(frame(spark, rows))) == {(1, 1, 500), (1, 1, 0), (2, 1, 500)}
+    assert sizes["root"] == 3  # the two classes of id 1 and that of id 2
