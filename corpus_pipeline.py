@@ -2,7 +2,7 @@
 
 Every stage takes the documents that the one before has kept and returns
 documents again, with all their columns; the last returns the pieces and their
-places.  Rows without an id are neither rejected nor merged for that.
+places.  Rows without an id are not rejected for that, and merged with each other only.
 """
 
 from __future__ import annotations
@@ -41,12 +41,19 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class: the one with the smallest id; of rows with one id, one."""
-    classes = near_duplicates(_texts(docs))
-    # one row each for the ids that stay, so that joining them brings no row twice
-    stays = classes.where(F.col("id") == F.col("class_id")).select(F.col("id").alias("_stays")).distinct()
-    kept = docs.where(F.col("doc_id").isNotNull()).join(stays, F.col("doc_id") == F.col("_stays"), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    """One document of each class: the one with the smallest id; of a class's rows without an id, one as well.
+
+    Rows are told apart by all their columns, so that an id with several texts
+    has a document for each of them, and which row of a class stays is fixed.
+    Keys have 64 bits: n rows share one by chance about n^2 / 2^65 times.
+    """
+    # a null adds nothing to a hash, so nulls are told apart by their places
+    keyed = docs.withColumn("_key", F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns)))
+    classes = near_duplicates(fixture_contents(keyed, "_key", "text")).distinct()
+    ids = keyed.select(F.col("_key").alias("id"), "doc_id").distinct()
+    first = ids.join(classes, "id").groupBy("class_id", F.col("doc_id").isNull()).agg(F.min(F.struct("doc_id", "id")).alias("first"))
+    stays = first.select(F.col("first.id").alias("_key"))
+    return keyed.join(stays, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -81,6 +81,19 @@ def test_run_gives_the_last_stage(spark, steps):
     assert rows_of(C.run(spark, SF).select(columns)) == rows_of(steps["packing"][1].select(columns))
 
 
+def test_repeated_and_missing_ids(spark):
+    one, two = " ".join(f"one{i}" for i in range(60)), " ".join(f"two{i}" for i in range(60))
+    rows = [
+        (7, one, "en", "s", 1), (7, two, "en", "s", 1), (7, two, "en", "t", 1), (8, one + " more", "en", "s", 1),
+        (None, two, "en", "s", 1), (None, two + " more", "en", "s", 1), (None, "some other text", "en", "s", 1),
+    ]
+    kept = C.near_copies(spark, spark.createDataFrame(rows, DOCUMENTS), SF).collect()
+    with_id = sorted((r.doc_id, r.text) for r in kept if r.doc_id is not None)
+    assert with_id == [(7, one), (7, two)]
+    without = sorted(r.text[:4] for r in kept if r.doc_id is None)
+    assert without == ["some", "two0"]
+
+
 def test_odd_documents(spark, tmp_path):
     plain = "the quick brown fox jumps over the lazy dog and runs away"
     other = "seven other words that nobody else says"
