@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 from boxeval.llm.bpe import tokenize_contents
 from boxeval.llm.chat import format_conversations, read_turns
 from boxeval.llm.common import fixture_contents, held_out
+from boxeval.llm.divergence import source_divergences
 from boxeval.llm.fingerprints import fingerprint_neighbours
 from boxeval.llm.jaccard import near_duplicates
+from boxeval.llm.lines import drop_repeated_lines
 from boxeval.llm.neighbours import nearest_boards
 from boxeval.llm.packing import cut_contents, pack_pieces
 from boxeval.llm.quality import fit_quality, score_quality
 from boxeval.llm.rollups import commit, totals
 from boxeval.llm.secrets import KINDS, scan_secrets
 from boxeval.llm.toxicity import fit_toxicity, score_toxicity
+from boxeval.llm.whitening import confidence_levels, fit_whitening, identity_error, whiten
 from boxeval.session import cut
 from boxeval.streaming.sinks import remove_folder, work_folder
 
@@ -233,3 +236,74 @@ def rollups_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = cut(totals(spark, table))
     remove_folder(spark, table)
     return result
+
+
+@_query("op11_whitening")
+def whitening_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boards = _table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("board_id"), F.col("embedding").alias("confidences")
+    )
+    levels = confidence_levels(boards)
+    model = fit_whitening(levels)
+    rows = whiten(levels, model).select("board_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    explained = F.array(*map(F.lit, model.explained())).cast("array<double>")
+    return rows.select(
+        F.col("board_id").alias("vec_id"),
+        (F.col("at") + 1).alias("component"),
+        F.lit(model.n).cast("bigint").alias("n"),
+        F.col("deviation").cast("bigint").alias("deviation"),
+        "whitened",
+        F.get(explained, "at").alias("explained"),
+        F.lit(identity_error(levels, model)).alias("identity_error"),
+    )
+
+
+_LINES_SQL = """
+WITH rows AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (SELECT r, doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM rows),
+keys AS (SELECT *, translate(trim(line, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '),
+                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+repeated AS (SELECT key, max(doc_id) AS holder FROM keys WHERE length(key) >= 40
+             GROUP BY key HAVING count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), '')) >= 5),
+told AS (SELECT k.*, p.holder IS NOT NULL AND k.doc_id IS DISTINCT FROM p.holder AS dropped FROM keys k LEFT JOIN repeated p USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM told GROUP BY r, doc_id
+"""
+
+
+@_query("op12_line_dedup", _LINES_SQL)
+def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = drop_repeated_lines(contents(spark, sf_dir))
+    return rows.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("content", 256).alias("kept_sha256"))
+
+
+_DIVERGENCE_SQL = r"""
+WITH rows AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+used AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM rows),
+kept AS (SELECT lang, term FROM used GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+v AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM rows),
+counts AS (SELECT lang, source, term, count(*) AS n FROM used JOIN kept USING (lang, term) GROUP BY ALL),
+filled AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n FROM groups g JOIN kept k ON k.lang = g.lang
+           LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+own AS (SELECT lang, source, term, n, 1 + 1000000000 * (n + 1)::HUGEINT // (sum(n) OVER (PARTITION BY lang, source) + v) AS p FROM filled JOIN v USING (lang)),
+whole AS (SELECT lang, term, 1 + 1000000000 * (n + 1)::HUGEINT // (sum(n) OVER (PARTITION BY lang) + v) AS q
+          FROM (SELECT lang, term, sum(n) AS n FROM filled GROUP BY lang, term) JOIN v USING (lang)),
+gaps AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+         FROM own a JOIN own b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN gaps g ON g.lang = a.lang AND g.source = a.source AND g.item = b.source),
+terms AS (SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value FROM own JOIN whole USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+           UNION ALL SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM terms)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
+@_query("op13_source_divergence", _DIVERGENCE_SQL)
+def divergence_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    texts = documents.select(F.col("text").alias("content"), F.col("lang").alias("language"), "source")
+    return source_divergences(texts).withColumnRenamed("language", "lang")
