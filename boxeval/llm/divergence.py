@@ -2,22 +2,24 @@
 
 Each task folds whole contents into stripes: a term with the number of contents
 that have it and its occurrences per source.  Stripes leave the task when there
-are many of them, and are merged by language and term, twice, so that no term
-is read from all tasks by one.  Divergences come straight from merged stripes:
-a stripe says how often each source uses its term, and all others use it as
-often as a source that never does.
+are many of them, and are merged by language and term; even the most frequent
+term has one row per task then, or a few.  Divergences come straight from merged
+stripes: a stripe says how often each source uses its term, and all others use
+it as often as a source that never does.
 
 All numbers are whole and exact.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +34,6 @@ LISTED_TERMS = 200
 PARTS = 1_000_000_000
 #: A task hands on its stripes when it has this many counters, or this many bytes of terms.
 STRIPE_CELLS, STRIPE_BYTES = 400_000, 32_000_000
-#: Stripes of one term are first merged in this many parts.
-SALTS = 16
 #: A text is taken apart in runs of this many bytes, to its next gap between terms.
 _RUN = 1 << 22
 #: Entries of a matrix of terms by sources, or of sources by sources, that a task holds.
@@ -67,32 +67,40 @@ def term_counts(content: bytes) -> Counter:
     return found
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = zip(*rows, strict=True) if rows else ([] for _ in _STRIPE_ARROW)
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _STRIPE_ARROW, strict=True)], schema=_STRIPE_ARROW)
-
-
-def _batches(rows: Iterator[tuple], at_once: int = 4096) -> Iterator[pa.RecordBatch]:
-    held = []
-    for row in rows:
-        held.append(row)
-        if len(held) == at_once:
-            yield _batch(held)
-            held = []
-    if held:
-        yield _batch(held)
+def _handed_on(language: str, terms: dict, at_once: int = 8192) -> Iterator[pa.RecordBatch]:
+    items = iter(terms.items())
+    while some := list(itertools.islice(items, at_once)):
+        contents, sources, counts, ends = [], [], [], [0]
+        for _, stripe in some:
+            if type(stripe) is str:
+                contents.append(1)
+                sources.append(stripe)
+                counts.append(1)
+            else:
+                contents.append(stripe[0])
+                sources.extend(stripe[1])
+                counts.extend(stripe[1].values())
+            ends.append(len(sources))
+        yield _batch([language] * len(some), [term for term, _ in some], contents, ends, sources, counts)
+
+
+def _batch(languages, terms, contents, ends, sources, counts) -> pa.RecordBatch:
+    ends = pa.array(ends, pa.int32())
+    columns = [
+        pa.array(languages, pa.string()), pa.array(terms, pa.binary()), pa.array(contents, pa.int64()),
+        pa.ListArray.from_arrays(ends, pa.array(sources, pa.string())), pa.ListArray.from_arrays(ends, pa.array(counts, pa.int64())),
+    ]
+    return pa.RecordBatch.from_arrays(columns, schema=_STRIPE_ARROW)
 
 
 def _stripes(contents: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stripes of one task's contents; a term has one each time they are handed on."""
-    held: dict[str, dict[bytes, list]] = {}
-    cells = size = 0
-
-    def handed_on() -> Iterator[tuple]:
-        for language, terms in held.items():
-            for term, (n, counts) in terms.items():
-                yield language, term, n, list(counts), list(counts.values())
+    """Stripes of one task's contents; a term has one each time they are handed on.
 
+    A stripe is ``[contents, {source: count}]``, or just the source as long as
+    the term occurred once.
+    """
+    held: dict[str, dict[bytes, list | str]] = {}
+    cells = size = 0
     for batch in contents:
         texts = batch.column("content").cast(pa.binary())
         rows = zip(texts, batch.column("language").to_pylist(), batch.column("source").to_pylist(), strict=True)
@@ -101,8 +109,12 @@ def _stripes(contents: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for term, n in term_counts(text.as_py()).items():
                 stripe = terms.get(term)
                 if stripe is None:
-                    terms[term] = stripe = [0, {}]
+                    terms[term] = source if n == 1 else [1, {source: n}]
                     size += len(term)
+                    cells += 1
+                    continue
+                if type(stripe) is str:
+                    terms[term] = stripe = [1, {stripe: 1}]
                 stripe[0] += 1
                 before = stripe[1].get(source)
                 if before is None:
@@ -111,33 +123,59 @@ def _stripes(contents: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 else:
                     stripe[1][source] = before + n
             if cells >= STRIPE_CELLS or size >= STRIPE_BYTES:
-                yield from _batches(handed_on())
+                for name, terms in held.items():
+                    yield from _handed_on(name, terms)
                 held, cells, size = {}, 0, 0
-    yield from _batches(handed_on())
-
-
-def _merged(stripes: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One stripe per run of rows with one language and term."""
-
-    def merged() -> Iterator[tuple]:
-        key, contents, counts = None, 0, {}
+    for name, terms in held.items():
+        yield from _handed_on(name, terms)
+
+
+def _runs_merged(rows: pa.Table) -> pa.Table:
+    """Rows that follow each other with one language and term as one row."""
+    same = np.ones(max(rows.num_rows - 1, 0), bool)
+    for name in ("language", "term"):
+        column = rows.column(name).combine_chunks()
+        same &= pc.equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+    if not same.any():
+        return rows
+    starts = np.flatnonzero(np.concatenate([[True], ~same]))
+    run = np.cumsum(np.concatenate([[0], ~same]))
+    sources = rows.column("sources").combine_chunks()
+    lengths = sources.value_lengths().to_numpy()
+    coded = sources.flatten().dictionary_encode()
+    key = np.repeat(run, lengths) * len(coded.dictionary) + coded.indices.to_numpy()
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    counts = np.add.reduceat(rows.column("counts").combine_chunks().flatten().to_numpy()[order], first)
+    ends = np.searchsorted(key[first] // len(coded.dictionary), np.arange(len(starts) + 1))
+    kept = rows.select(["language", "term"]).take(pa.array(starts)).combine_chunks()
+    contents = np.add.reduceat(rows.column("contents").to_numpy(), starts)
+    names = coded.dictionary.take(pa.array(key[first] % len(coded.dictionary)))
+    columns = (c.combine_chunks() for c in kept.columns)
+    return pa.Table.from_batches([_batch(*columns, contents, ends, names, counts)])
+
+
+def _merged(least: int):
+    """One stripe per run of rows with one language and term, where it has at least so many contents."""
+
+    def enough(rows: pa.Table) -> list[pa.RecordBatch]:
+        return rows.filter(pc.greater_equal(rows.column("contents"), least)).to_batches()
+
+    def run(stripes: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = _STRIPE_ARROW.empty_table()
         for batch in stripes:
-            for language, term, n, sources, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (language, term) != key:
-                    if key is not None:
-                        yield *key, contents, list(counts), list(counts.values())
-                    key, contents, counts = (language, term), 0, {}
-                contents += n
-                for source, count in zip(sources, own, strict=True):
-                    counts[source] = counts.get(source, 0) + count
-        if key is not None:
-            yield *key, contents, list(counts), list(counts.values())
+            # a run may go on in the next batch
+            rows = _runs_merged(pa.concat_tables([last, pa.Table.from_batches([batch]).cast(_STRIPE_ARROW)]))
+            yield from enough(rows.slice(0, max(rows.num_rows - 1, 0)))
+            last = rows.slice(max(rows.num_rows - 1, 0))
+        yield from enough(last)
 
-    yield from _batches(merged())
+    return run
 
 
-def term_stripes(contents: DataFrame) -> DataFrame:
-    """``language, term, contents, sources, counts``: one stripe per language and term.
+def term_stripes(contents: DataFrame, least_contents: int = 1) -> DataFrame:
+    """``language, term, contents, sources, counts``: one stripe per language and term of at least so many contents.
 
     ``contents`` has ``content``, ``language`` and ``source``; a null is an empty
     text.  A term is as many letters (A to Z, lowered) and characters beyond
@@ -148,16 +186,9 @@ def term_stripes(contents: DataFrame) -> DataFrame:
     bounded_batches(contents.sparkSession)
     columns = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("content", "language", "source")]
     own = contents.select(*columns).mapInArrow(_stripes, _STRIPE)
-    # each task's stripes of a term go to one of the term's parts
-    salt = F.pmod(F.spark_partition_id(), F.lit(SALTS))
-    parts = own.withColumn("salt", salt).repartition("language", "term", "salt").sortWithinPartitions("language", "term")
-    return _by_term(_by_term(parts.drop("salt"), deal=False))
-
-
-def _by_term(stripes: DataFrame, deal: bool = True) -> DataFrame:
-    if deal:
-        stripes = stripes.repartition("language", "term").sortWithinPartitions("language", "term")
-    return stripes.mapInArrow(_merged, _STRIPE)
+    # the term comes first, as most stripes have the same few languages
+    dealt = own.repartition("term", "language").sortWithinPartitions("term", "language")
+    return dealt.mapInArrow(_merged(least_contents), _STRIPE)
 
 
 @dataclass(frozen=True)
@@ -294,7 +325,7 @@ def source_divergences(
     the order of UTF-8.  Sources, their sizes and the pairs of a language's
     sources are held by each task: as many as the answer has rows for one term.
     """
-    kept = cut(term_stripes(contents).where(F.col("contents") >= least_contents))
+    kept = cut(term_stripes(contents, least_contents))
     groups = contents.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("language", "source"))).distinct()
     used = kept.select("language", F.explode(F.arrays_zip("sources", "counts")).alias("u"))
     used = used.groupBy("language", F.col("u.sources").alias("source")).agg(F.sum("u.counts").alias("n"))
