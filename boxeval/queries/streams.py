@@ -9,9 +9,10 @@ from boxeval.bindings import requests, runs
 from boxeval.operators.distribution import distribution
 from boxeval.queries.registry import query
 from boxeval.queries.views import REQUESTS, RUNS
-from boxeval.streaming import lifecycle as S
 from boxeval.session import cut
-from boxeval.streaming.sinks import final_state, remove_folder, replay, work_folder
+from boxeval.streaming import lifecycle as S
+from boxeval.streaming.deadlines import settle_by_deadline
+from boxeval.streaming.sinks import appended, appended_with_progress, final_state, remove_folder, replay, work_folder
 
 _KEY = ["key", "request_id"]
 
@@ -131,3 +132,99 @@ def latency_windows(spark: SparkSession, sf: str) -> DataFrame:
 def late_rejected(spark: SparkSession, sf: str) -> DataFrame:
     summed = _life(spark, sf).groupBy("key").agg(F.sum("rejected").alias("rejected"))
     return summed.where(F.col("rejected") > 0)
+
+
+_HOUR = 3_600_000_000
+#: Test messages of a key lie hours apart: messages may be a day late, and a request without any for two days is told.
+_LATE, _IDLE = "1 day", "2 days"
+_SESSIONS = f"""WITH {REQUESTS}, told AS (SELECT key, request_id AS id, kind AS what, us, event_id FROM requests
+  UNION ALL SELECT key, request_id - 1, 'superseded', us, event_id FROM requests WHERE kind = 'request' AND request_id > 1),
+starts AS (SELECT *, us - lag(us) OVER (PARTITION BY key, id ORDER BY us, event_id) > {48 * _HOUR} AS apart FROM told),
+sessions AS (SELECT *, sum(CASE WHEN apart THEN 1 ELSE 0 END) OVER (PARTITION BY key, id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS w FROM starts),
+over AS (SELECT key, id, w, max(us) AS last FROM sessions GROUP BY key, id, w),
+ended AS (SELECT key, id, w FROM over WHERE last + {48 * _HOUR} <= (SELECT max(us) // 1000 * 1000 - {24 * _HOUR} FROM requests)),
+ends AS (SELECT key, id, w, what, us FROM (SELECT *, row_number() OVER (PARTITION BY key, id, w ORDER BY us, event_id) AS n FROM sessions WHERE what IN ('result', 'error', 'cancel', 'superseded')) WHERE n = 1),
+counts AS (SELECT key, id, w, min(us) FILTER (WHERE what = 'request') AS opened, count(*) FILTER (WHERE what IN ('result', 'error')) AS answers, count(*) FILTER (WHERE what = 'phase') AS phases FROM sessions GROUP BY key, id, w),
+life AS (SELECT c.key, c.id AS request_id, coalesce(CASE e.what WHEN 'cancel' THEN 'aborted' ELSE e.what END, 'pending') AS outcome, (e.us - c.opened) / 1000 AS elapsed_ms, phases,
+  answers - CASE WHEN e.what IN ('result', 'error') THEN 1 ELSE 0 END AS rejected FROM counts c JOIN ended USING (key, id, w) LEFT JOIN ends e USING (key, id, w) WHERE c.opened IS NOT NULL)"""
+
+
+def _sessions(spark: SparkSession, sf: str) -> DataFrame:
+    with replay(requests(spark, sf), "us") as messages:
+        return appended(S.expiring_lifecycle(messages, _LATE, _IDLE))
+
+
+@query("t1_expiring_lifecycle", f"{_SESSIONS} SELECT key, request_id, outcome, elapsed_ms, phases, rejected FROM life")
+def expiring_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
+    """As T1 on an endless stream: requests are told once, when nothing more can come for them, and leave the state."""
+    return _sessions(spark, sf)
+
+
+@query("t2_expiring_latest_wins", f"{_SESSIONS} SELECT key, request_id, elapsed_ms FROM life WHERE outcome = 'superseded'")
+def expiring_latest_wins(spark: SparkSession, sf: str) -> DataFrame:
+    return _sessions(spark, sf).where(F.col("outcome") == "superseded").select(*_KEY, "elapsed_ms")
+
+
+@query("t3_expiring_cancel_suppresses", f"{_SESSIONS} SELECT key, request_id, elapsed_ms, rejected FROM life WHERE outcome = 'aborted'")
+def expiring_cancel_suppresses(spark: SparkSession, sf: str) -> DataFrame:
+    return _sessions(spark, sf).where(F.col("outcome") == "aborted").select(*_KEY, "elapsed_ms", "rejected")
+
+
+_COLD_HOURS, _WARM_HOURS = 24, 8
+
+
+@query(
+    "t4_expire_requests",
+    f"""WITH {REQUESTS}, opened AS (SELECT key, request_id, min(us) AS opened FROM requests WHERE kind = 'request' GROUP BY key, request_id),
+    ends AS (SELECT o.key, o.request_id, o.opened, arg_min(r.kind, (r.us, r.event_id)) AS what, min(r.us) AS us FROM opened o LEFT JOIN requests r
+      ON r.key = o.key AND r.request_id = o.request_id AND r.us >= o.opened AND r.kind IN ('result', 'error', 'cancel') GROUP BY ALL),
+    first AS (SELECT key, min(us) AS warm FROM ends WHERE what <> 'cancel' AND us - opened <= {_COLD_HOURS * _HOUR} GROUP BY key),
+    due AS (SELECT e.*, coalesce(warm >= opened, true) AS cold, opened + CASE WHEN coalesce(warm >= opened, true) THEN {_COLD_HOURS * _HOUR} ELSE {_WARM_HOURS * _HOUR} END AS deadline
+      FROM ends e LEFT JOIN first USING (key)),
+    settled AS (SELECT key, request_id, cold, opened, coalesce(us <= deadline, false) AS intime, CASE WHEN coalesce(us <= deadline, false) THEN us ELSE deadline END AS done_us, what FROM due)
+    SELECT key, request_id, CASE WHEN NOT intime THEN 'timeout' WHEN what = 'cancel' THEN 'aborted' ELSE what END AS outcome, (done_us - opened) / 1000 AS elapsed_ms, cold
+    FROM settled WHERE (done_us + 999) // 1000 <= (SELECT max(us) // 1000 - {24 * _HOUR // 1000} FROM requests)""",
+)
+def expire_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Deadlines of a day until a key's first completion, and of eight hours from then on."""
+    with replay(requests(spark, sf), "us") as messages:
+        return appended(settle_by_deadline(messages, _LATE, _COLD_HOURS * 3600, _WARM_HOURS * 3600))
+
+
+_SENT = f"""WITH {REQUESTS}, bounds AS (SELECT min(us) AS low, (max(us) - min(us)) // 3 AS third FROM requests),
+own AS (SELECT event_id, kind, us, least((us - low) // third, 2) AS step FROM requests, bounds),
+sent AS (SELECT event_id, kind, us, step, 0 AS again FROM own
+  UNION ALL SELECT event_id, kind, us + CASE event_id % 3 WHEN 0 THEN {_HOUR} ELSE {72 * _HOUR} END, step + 1, 1 FROM own WHERE event_id % 3 < 2
+  UNION ALL SELECT event_id, kind, us, 3, 2 FROM own WHERE event_id % 7 = 0)"""
+
+
+@query(
+    "t10_repeated_and_late",
+    f"""{_SENT}, newest AS (SELECT step + 1 AS step, max(max(us)) OVER (ORDER BY step) // 1000 * 1000 - {24 * _HOUR} AS mark FROM sent GROUP BY step),
+    timely AS (SELECT s.*, n.mark FROM sent s LEFT JOIN newest n ON n.step = s.step LEFT JOIN newest p ON p.step = s.step - 1 WHERE p.mark IS NULL OR s.us > p.mark),
+    kept0 AS (SELECT event_id, kind, min(us) AS us, step FROM timely WHERE again = 0 GROUP BY ALL),
+    kept1 AS (SELECT t.event_id, t.kind, t.us, t.step FROM timely t LEFT JOIN kept0 k ON k.event_id = t.event_id LEFT JOIN newest n ON n.step = t.step - 1
+      WHERE t.again = 1 AND (k.event_id IS NULL OR k.us + {24 * _HOUR} <= coalesce(n.mark, 0))),
+    kept2 AS (SELECT t.event_id, t.kind, t.us, t.step FROM timely t LEFT JOIN newest n ON n.step = t.step - 1 WHERE t.again = 2
+      AND NOT EXISTS (SELECT 1 FROM (SELECT * FROM kept0 UNION ALL SELECT * FROM kept1) k WHERE k.event_id = t.event_id AND (k.step = t.step OR k.us + {24 * _HOUR} > coalesce(n.mark, 0)))),
+    kept AS (SELECT kind FROM kept0 UNION ALL SELECT kind FROM kept1 UNION ALL SELECT kind FROM kept2)
+    SELECT kind, count(*) AS n FROM kept GROUP BY kind
+    UNION ALL SELECT 'late', (SELECT count(*) FROM sent) - (SELECT count(*) FROM timely)
+    UNION ALL SELECT 'repeated', (SELECT count(*) FROM timely) - (SELECT count(*) FROM kept)""",
+)
+def repeated_and_late(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages are sent in three steps, some again an hour or three days after, and some once more at the very end."""
+    own = cut(requests(spark, sf).select("event_id", "kind", "us"))
+    low, high = own.agg(F.min("us"), F.max("us")).first()
+    third = max(((high or 0) - (low or 0)) // 3, 1)
+    own = own.withColumn("step", F.least(F.floor((F.col("us") - (low or 0)) / third), F.lit(2)))
+    again = F.when(F.col("event_id") % 3 == 0, F.lit(_HOUR)).otherwise(F.lit(72 * _HOUR))
+    sent = own.unionByName(own.where(F.col("event_id") % 3 < 2).withColumns({"us": F.col("us") + again, "step": F.col("step") + 1}))
+    sent = sent.unionByName(own.where(F.col("event_id") % 7 == 0).withColumn("step", F.lit(3).cast("bigint")))
+    sent = cut(sent.withColumn("ts", F.timestamp_micros("us")))
+    with replay(sent, "step", bounds=[0, 1, 2]) as messages:
+        kept, progress = appended_with_progress(S.delivered_once(messages, _LATE).select("kind"))
+    late = sum(p["numRowsDroppedByWatermark"] for p in progress)
+    counts = kept.groupBy("kind").agg(F.count("*").alias("n"))
+    rest = [("late", late), ("repeated", sent.count() - kept.count() - late)]
+    return counts.unionByName(spark.createDataFrame(rest, "kind string, n bigint"))

@@ -79,6 +79,17 @@ def expiring_lifecycle(messages: DataFrame, late: str, idle: str) -> DataFrame:
     return lifecycle(timed, [F.session_window("ts", idle).alias("w")]).drop("w")
 
 
+def delivered_once(messages: DataFrame, late: str) -> DataFrame:
+    """Messages without those that were sent again within ``late`` of the first, or that came later than that.
+
+    A message is known by its ``event_id`` until the watermark is ``late``
+    beyond its own time, so the state holds the ids of that stretch only.  Those
+    that are behind the watermark when they come are dropped, and counted by the
+    stream's progress (``numRowsDroppedByWatermark``).
+    """
+    return messages.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+
+
 def state_of_request(messages: DataFrame) -> DataFrame:
     """What each request would show: how it ended first, else its newest progress.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from contextlib import contextmanager
 
@@ -23,9 +24,12 @@ def remove_folder(spark, path: str) -> None:
 
 
 @contextmanager
-def replay(rows: DataFrame, order: str, steps: int = 3):
+def replay(rows: DataFrame, order: str, steps: int = 3, bounds: list | None = None):
     """A stream over ``rows`` that delivers them in ``steps`` along ``order``; its files go when the block ends.
 
+    A step ends with the rows whose ``order`` is one of the ``bounds``, which
+    are shares of the rows unless they are given.
+
     The file source takes older files first, so each step is written after the
     one before it, by as many tasks as the session shuffles with.  Rows whose
     ``order`` is null come first.
@@ -34,8 +38,9 @@ def replay(rows: DataFrame, order: str, steps: int = 3):
     folder = work_folder(spark, "source")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows_kept = cut(rows)
-    shares = [i / steps for i in range(1, steps)]
-    bounds = rows_kept.agg(F.percentile_approx(order, shares).alias("b")).first().b or []
+    if bounds is None:
+        shares = [i / steps for i in range(1, steps)]
+        bounds = rows_kept.agg(F.percentile_approx(order, shares).alias("b")).first().b or []
     step = sum((F.coalesce(F.col(order) > F.lit(b), F.lit(False)).cast("int") for b in bounds), F.lit(0))
     for number in range(len(bounds) + 1):
         rows_kept.where(step == number).repartition(tasks).write.mode("append").parquet(folder)
@@ -76,6 +81,15 @@ def final_state(stream: DataFrame, keys: list[str]) -> DataFrame:
 
 def appended(stream: DataFrame) -> DataFrame:
     """Run all available input of an append-only stream and read what it wrote."""
+    return appended_with_progress(stream)[0]
+
+
+def appended_with_progress(stream: DataFrame) -> tuple[DataFrame, list[dict]]:
+    """As :func:`appended`, with the progress of each batch's first stateful step: ``numRowsTotal``, ``numRowsDroppedByWatermark``, ...
+
+    Spark keeps the newest hundred batches
+    (``spark.sql.streaming.numRecentProgressUpdates``).
+    """
     spark = stream.sparkSession
     folder, progress = work_folder(spark, "rows"), work_folder(spark, "progress")
     run = (
@@ -90,7 +104,8 @@ def appended(stream: DataFrame) -> DataFrame:
     rows = cut(spark.read.schema(stream.schema).parquet(folder))
     remove_folder(spark, folder)
     remove_folder(spark, progress)
-    return rows
+    states = [json.loads(p.json)["stateOperators"] for p in run.recentProgress]
+    return rows, [operators[0] for operators in states if operators]
 
 
 def _ddl(df: DataFrame) -> str:

@@ -1,7 +1,8 @@
 from pyspark.sql import functions as F
 
 from boxeval.streaming import lifecycle as S
-from boxeval.streaming.sinks import appended, final_state, replay
+from boxeval.streaming.deadlines import settle_by_deadline
+from boxeval.streaming.sinks import appended, appended_with_progress, final_state, remove_folder, replay, work_folder
 
 MESSAGE = "key bigint, request_id bigint, kind string, us bigint, event_id bigint"
 SECOND = 1_000_000
@@ -107,3 +108,95 @@ def test_malformed_messages_are_set_aside(spark, tmp_path):
     assert spark.read.parquet(good).count() == 1
     reasons = sorted(tuple(r.reasons) for r in spark.read.parquet(bad).collect())
     assert reasons == [("key",), ("request-id", "duration"), ("request-id", "kind", "duration")]
+
+
+def test_expired_requests_leave_the_state(spark):
+    rows = [(k, 1, kind, (10 * k + at + 1) * SECOND, 2 * k + at) for k in range(200) for kind, at in (("request", 0), ("result", 1))]
+    df = spark.createDataFrame(rows, MESSAGE).withColumn("ts", F.timestamp_micros("us"))
+    with replay(df, "us", steps=4) as stream:
+        told, progress = appended_with_progress(S.expiring_lifecycle(stream, "1 second", "1 minute"))
+    held = [p["numRowsTotal"] for p in progress]
+    # what is held follows the newest minute of a stream of more than half an hour, not its length
+    assert max(held) > 40 and held[-1] <= 10 and told.count() >= 190
+
+
+def settled(df):
+    return {(r.key, r.request_id): (r.outcome, r.elapsed_ms, r.cold) for r in df.collect()}
+
+
+DEADLINES = timeline(
+    (1, 1, "request", 0), (1, 1, "result", 60), (1, 2, "request", 61), (1, 2, "error", 81),  # at the deadline is in time
+    (2, 1, "request", 0), (2, 1, "result", 60.5), (2, 2, "request", 70), (2, 2, "phase", 80), (2, 2, "result", 129),  # an answer too late makes no key warm
+    (3, 1, "request", 0), (3, 2, "request", 1), (3, 2, "error", 2), (3, 3, "request", 3), (3, 1, "result", 59), (3, 3, "result", 24),
+    (4, 1, "request", 0), (4, 1, "cancel", 5), (4, 1, "result", 6), (4, 2, "request", 7),
+    (5, 1, "result", 1), (5, 1, "request", 2), (5, 1, "result", 3), (5, 1, "result", 4),
+    (9, 9, "phase", 4000), (9, 1, "request", 3999),  # moves the watermark on; still open at the end
+)
+# a stream's first watermark is the epoch: what happened then would be late
+DEADLINES = [(k, r, kind, us + 1000 * SECOND, n) for k, r, kind, us, n in DEADLINES]
+OUTCOMES = {
+    (1, 1): ("result", 60_000.0, True), (1, 2): ("error", 20_000.0, False),
+    (2, 1): ("timeout", 60_000.0, True), (2, 2): ("result", 59_000.0, True),
+    (3, 1): ("result", 59_000.0, True), (3, 2): ("error", 1000.0, True), (3, 3): ("timeout", 20_000.0, False),
+    (4, 1): ("aborted", 5000.0, True), (4, 2): ("timeout", 60_000.0, True),
+    (5, 1): ("result", 1000.0, True),
+}
+
+
+def test_deadlines_before_and_after_the_first_completion(spark):
+    df = spark.createDataFrame(DEADLINES, MESSAGE).withColumn("ts", F.timestamp_micros("us"))
+    for steps in (1, 4):
+        with replay(df, "us", steps=steps) as stream:
+            rows = appended(settle_by_deadline(stream, "1 second"))
+        assert settled(rows) == OUTCOMES and rows.count() == len(OUTCOMES)
+
+
+def test_deadlines_do_not_depend_on_arrival(spark):
+    # messages come in any order as long as the watermark allows it, and all of them twice
+    rows = [(*m, 0) for m in DEADLINES if m[0] != 9] + [(*m, 1) for m in DEADLINES if m[0] != 9] + [(*m, 2) for m in DEADLINES if m[0] == 9]
+    df = spark.createDataFrame(rows, f"{MESSAGE}, turn int").withColumn("ts", F.timestamp_micros("us"))
+    mixed = df.withColumn("at", F.when(F.col("turn") == 2, 2**40).otherwise(F.pmod(F.xxhash64("event_id", "turn"), F.lit(1000))))
+    with replay(mixed, "at", steps=5) as stream:
+        rows = appended(settle_by_deadline(stream, "10 minutes"))
+    assert settled(rows) == OUTCOMES and rows.count() == len(OUTCOMES)
+
+
+def test_a_batch_that_runs_again_gives_each_outcome_once(spark):
+    from boxeval.session import checkpoint_root
+
+    folder = work_folder(spark, "again")
+    df = spark.createDataFrame(DEADLINES, MESSAGE).withColumn("ts", F.timestamp_micros("us"))
+    with replay(df, "us", steps=3) as messages:
+        stream = settle_by_deadline(messages, "1 second")
+
+        def run(write):
+            return stream.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", f"{folder}/p").trigger(availableNow=True).start()
+
+        failed = []
+
+        def breaks_off(batch, number):
+            batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+            if number == 1:
+                failed.append(number)
+                raise RuntimeError("lost after the rows were written, before the batch was committed")
+
+        try:
+            run(breaks_off).awaitTermination()
+        except Exception:
+            pass
+        assert failed
+        run(lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")).awaitTermination()
+    rows = spark.read.parquet(f"{folder}/rows")
+    assert settled(rows) == OUTCOMES and rows.count() == len(OUTCOMES)
+    assert folder.startswith(checkpoint_root(spark))
+    remove_folder(spark, folder)
+
+
+def test_repeats_within_and_outside_the_watermark(spark):
+    rows = [(1, 1, 0), (1, 30, 1), (2, 100, 1), (1, 380, 4), (2, 110, 2), (3, 400, 2), (4, 5, 3), (5, 390, 3), (3, 401, 3)]
+    df = spark.createDataFrame([(e, s * SECOND, step) for e, s, step in rows], "event_id bigint, us bigint, step int")
+    with replay(df.withColumn("ts", F.timestamp_micros("us")), "step", bounds=[0, 1, 2, 3]) as stream:
+        kept, progress = appended_with_progress(S.delivered_once(stream, "1 minute"))
+    # id 1 comes again within a minute (dropped) and later (a message of its own); id 4 is behind the watermark
+    assert sorted((r.event_id, r.us // SECOND) for r in kept.collect()) == [(1, 1), (1, 380), (2, 100), (3, 400), (5, 390)]
+    assert sum(p["numRowsDroppedByWatermark"] for p in progress) == 1
