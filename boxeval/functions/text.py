@@ -12,7 +12,8 @@ ISO_DATE = r"^\d{4}-\d{2}-\d{2}$"
 LINK_MARKER, PATH_MARKER = "[link]", "[path]"
 
 # what a link, a drive's path and a rooted path look like; a path starts a word or follows a bracket, quote or sign
-_LINK = r"[A-Za-z][A-Za-z0-9+.-]*:/{2,}[^\s<>\"']+"
+# a link begins where no letter stands before: one that does would begin it earlier
+_LINK = r"(?<![A-Za-z])[A-Za-z][A-Za-z0-9+.-]*+:/{2,}[^\s<>\"']+"
 _DRIVE = r"\b[A-Za-z]:[\\/][^\s<>\"':]+"
 _ROOTED = r"(^|[\s(\[{<=,;\"'])/[^\s/<>\"':]+/[^\s<>\"':]*"
 
@@ -20,7 +21,7 @@ _ROOTED = r"(^|[\s(\[{<=,;\"'])/[^\s/<>\"':]+/[^\s<>\"':]*"
 def redact(text: Column) -> Column:
     """The first line, with links and absolute paths (of either kind of system) replaced by markers."""
     line = F.substring_index(text, "\n", 1)
-    line = F.regexp_replace(line, _LINK, LINK_MARKER)
+    line = F.when(F.contains(line, F.lit("://")), F.regexp_replace(line, _LINK, LINK_MARKER)).otherwise(line)
     line = F.regexp_replace(line, _DRIVE, PATH_MARKER)
     return F.regexp_replace(line, _ROOTED, "$1" + PATH_MARKER)
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FAN_OUT_BITS = 12
-_LEVELS = 5
+from boxeval.session import cut
+
+#: Items of a fingerprint's node, about, and its levels at most: 256^7 nodes.
+LEAF_ITEMS, _LEVELS = 4096, 7
+HOT_GROUPS = 10_000
 
 
 def content_hash(content: Column) -> Column:
@@ -27,27 +30,47 @@ def verify_pins(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
     return e.join(a, key, "full").withColumn("status", status)
 
 
-def set_fingerprint(df: DataFrame, group: str, key: str) -> DataFrame:
-    """One digest per group over its ordered (id, hash) list.
+def set_fingerprint(df: DataFrame, group: str, key: str, leaf: int = LEAF_ITEMS) -> DataFrame:
+    """One digest per group over its (id, hash) list, with the number of its items.
+
+    The list is hashed as a tree.  An item's place is the hash of its id; items
+    whose places begin alike make a node, about ``leaf`` of them at most, and
+    256 nodes make the next.  Small groups are one node and are done after one
+    shuffle; a group 256 times as large takes one more.  A node stays small
+    whatever the size of its group, and equal lists give equal digests whatever
+    their order.
 
-    The list is hashed as a tree over id ranges: 4096 neighbouring ids make one
-    node, 4096 nodes the next.  A node is small whatever the group's size, and
-    equal lists give equal digests.  Ids are unique, non-negative integers.
+    Ids may have any type that can be cast to a text; equal ids may repeat.  A
+    null id, hash or group is none of the others.
     """
-    level = df.select(
-        group, F.col(key).cast("bigint").alias("at"),
-        F.concat_ws(":", F.col(key).cast("string"), "sha256").alias("item"),
-    )
-    for _ in range(_LEVELS):
-        node = F.shiftright("at", FAN_OUT_BITS)
-        packed = level.groupBy(group, node.alias("node")).agg(
-            F.array_sort(F.collect_list(F.struct("at", "item"))).alias("items"), F.count("*").alias("n")
+    item = F.concat_ws(":", F.coalesce(F.col("sha256"), F.lit("-")), F.col(key).cast("string"))
+    place = F.sha2(F.coalesce(F.col(key).cast("string"), F.lit("")), 256)
+    items = df.select(F.col(group).alias("_group"), place.alias("_place"), F.sha2(item, 256).alias("_item"))
+    sizes = df.groupBy(F.col(group).alias("_of")).agg(F.count("*").alias("n"))
+    # levels below the root, each of two digits
+    depth = sum((F.col("n") > F.lit(float(leaf * 256**level))).cast("int") for level in range(_LEVELS))
+    sizes = cut(sizes.withColumn("_depth", depth))
+    rows, deepest = sizes.agg(F.sum("n"), F.max("_depth")).first()
+    # a group that holds a good part of all items is not gathered for its size; there are at most HOT_GROUPS of them
+    hot = F.col("n") >= (rows or 0) / HOT_GROUPS
+    same = F.col("_group").eqNullSafe(F.col("_of"))
+    large, small = F.broadcast(sizes.where(hot)), sizes.where(~hot)
+    sized = items.join(large, same).unionByName(items.join(large, same, "left_anti").join(small, same)).drop("_of")
+    nodes = sized.select("_group", "n", F.expr("substring(_place, 1, 2 * _depth)").alias("_node"), "_place", "_item")
+    for level in range(deepest or 0, -1, -1):
+        # nodes of smaller groups wait for their level
+        at_level = F.length("_node") == 2 * level
+        waiting = nodes.where(~at_level)
+        joined = nodes.where(at_level).groupBy("_group", "n", "_node").agg(
+            F.array_sort(F.collect_list(F.struct("_place", "_item"))).alias("_items")
+        )
+        joined = joined.select(
+            "_group", "n", F.expr(f"substring(_node, 1, {max(2 * level - 2, 0)})").alias("_above"), "_node",
+            F.sha2(F.array_join("_items._item", ""), 256).alias("_item"),
         )
-        text = F.array_join(F.col("items.item"), "\n")
-        level = packed.select(group, F.col("node").alias("at"), F.sha2(text, 256).alias("item"))
-    top = level.select(group, F.col("item").alias("fingerprint"))
-    sizes = df.groupBy(group).agg(F.count("*").alias("n"))
-    return top.join(sizes, group)
+        joined = joined.select("_group", "n", F.col("_above").alias("_node"), F.col("_node").alias("_place"), "_item")
+        nodes = joined if level == 0 else joined.unionByName(waiting)
+    return nodes.select(F.col("_group").alias(group), F.col("_item").alias("fingerprint"), "n")
 
 
 def table_diff(old: DataFrame, new: DataFrame, key: str, vector: str) -> DataFrame:

@@ -297,21 +297,42 @@ def verify_pins(spark: SparkSession, sf: str) -> DataFrame:
     return H.verify_pins(expected, actual, "path")
 
 
-# five levels of the hash tree
-_TREE = "SELECT source, doc_id AS pos, doc_id || ':' || sha256(text) AS item FROM documents"
-for _ in range(5):
-    _TREE = f"SELECT source, pos // 4096 AS pos, sha256(string_agg(item, chr(10) ORDER BY pos)) AS item FROM ({_TREE}) GROUP BY source, pos // 4096"
+def _tree(rows: str, leaf: int) -> str:
+    """The fingerprint of groups with up to two levels below the root."""
+    node = f"SELECT g, n, place, item, 2 * (CAST(n > {leaf} AS INTEGER) + CAST(n > {leaf * 256} AS INTEGER)) AS digits FROM (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM ({rows}))"
+    for level in (2, 1, 0):
+        up = max(2 * level - 2, 0)
+        joined = f"SELECT g, n, left(place, {2 * level}) AS place, sha256(string_agg(item, '' ORDER BY place, item)) AS item, {up} AS digits FROM ({node}) WHERE digits = {2 * level} GROUP BY g, n, left(place, {2 * level})"
+        node = joined if level == 0 else f"{joined} UNION ALL SELECT g, n, place, item, digits FROM ({node}) WHERE digits <> {2 * level}"
+    return node
+
+
+_ITEMS = "SELECT {group} AS g, sha256({id}) AS place, sha256(sha256({content}) || ':' || {id}) AS item FROM {table}"
 
 
 @query(
     "h3_set_fingerprint",
-    f"SELECT t.source, t.item AS fingerprint, n.n FROM ({_TREE}) t JOIN (SELECT source, count(*) AS n FROM documents GROUP BY source) n ON n.source = t.source",
+    f"SELECT g AS source, item AS fingerprint, n FROM ({_tree(_ITEMS.format(group='source', id='CAST(doc_id AS VARCHAR)', content='text', table='documents'), 4096)})",
 )
 def set_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     hashed = documents(spark, sf).select("source", "doc_id", H.content_hash(F.col("text")).alias("sha256"))
     return H.set_fingerprint(hashed, "source", "doc_id")
 
 
+_PAGE_ID = "'page-' || event_id"
+
+
+@query(
+    "h3_set_fingerprint_text_ids",
+    f"SELECT g AS event_type, item AS fingerprint, n FROM ({_tree(_ITEMS.format(group='event_type', id=_PAGE_ID, content='props', table='events'), 16)})",
+)
+def set_fingerprint_text_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Small nodes, so that the tree has several levels."""
+    page = F.concat(F.lit("page-"), F.col("event_id").cast("bigint").cast("string"))
+    hashed = table(spark, sf, "events").select("event_type", page.alias("page"), H.content_hash(F.col("props")).alias("sha256"))
+    return H.set_fingerprint(hashed, "event_type", "page", leaf=16)
+
+
 @query(
     "h4_table_diff",
     """WITH e AS (SELECT CAST(vec_id AS BIGINT) AS vec_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS v FROM embeddings), p AS (SELECT label, arg_min(v, vec_id) AS w FROM e GROUP BY label),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from boxeval.bindings import predictions, requests, runs, windows
 from boxeval.operators import suppression as K
+from boxeval.functions.register import register_distribution
 from boxeval.operators.distribution import cold_warm, distribution
 from boxeval.operators.ordered import first_flag, row_numbers
 from boxeval.queries.registry import query
@@ -152,6 +153,14 @@ def distribution_query(spark: SparkSession, sf: str) -> DataFrame:
     return distribution(runs(spark, sf), ["engine", "style"], "ms")
 
 
+@query("f2_distribution", _DISTRIBUTION)
+def distribution_function(spark: SparkSession, sf: str) -> DataFrame:
+    """M9 as a table-valued SQL function."""
+    runs(spark, sf).createOrReplaceTempView("boxeval_runs")
+    register_distribution(spark, "boxeval_runs", ["engine", "style"], "ms")
+    return spark.sql("SELECT * FROM distribution()")
+
+
 @query("m9_distribution_large_groups", _DISTRIBUTION)
 def counted_distribution_query(spark: SparkSession, sf: str) -> DataFrame:
     """Over values that come with their counts."""

@@ -210,12 +210,13 @@ def score_batch_query(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("f2_register_operators", f"WITH {BOXES} SELECT page, p, {iou('p', 't')} AS iou, floor((px0 - tx0) / 2 + 0.5) AS shift, (px1 - px0) / nullif(py0 - ty0, 0) AS ratio, repeat('.', CAST(page % 8 + 1 AS INTEGER)) || 'k' || repeat('.', 7) AS cells FROM couples")
+@query("f2_register_operators", f"WITH {BOXES} SELECT page, p, {iou('p', 't')} AS iou, floor((px0 - tx0) / 2 + 0.5) AS shift, (px1 - px0) / nullif(py0 - ty0, 0) AS ratio, repeat('.', CAST(page % 8 + 1 AS INTEGER)) || 'k' || repeat('.', 7) AS cells, CASE WHEN page % 8 = 6 THEN repeat('.', 7) || 'k' || repeat('.', 56) END AS board FROM couples")
 def register(spark: SparkSession, sf: str) -> DataFrame:
     register_operators(spark)
     couples(spark, sf).createOrReplaceTempView("boxeval_couples")
     return spark.sql(
         """SELECT page, p, box_iou(px0, py0, px1, py1, tx0, ty0, tx1, ty1) AS iou, round_half_up((px0 - tx0) / 2) AS shift,
         safe_ratio(px1 - px0, py0 - ty0) AS ratio,
-        board_cells(concat(page % 8 + 1, '/k7')) AS cells FROM boxeval_couples"""
+        board_cells(concat(page % 8 + 1, '/k7')) AS cells,
+        board_cells_strict(concat(page % 8 + 1, 'k/8/8/8/8/8/8/8')) AS board FROM boxeval_couples"""
     )

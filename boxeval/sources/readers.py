@@ -65,12 +65,19 @@ def _keys(kind: DataType) -> dict[str, list[str]]:
     return found
 
 
-def document_problems(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """``file, problem`` for each file that is no JSON object, and each key that ``schema`` does not declare.
+def _texts(spark: SparkSession, path: str, lines: bool) -> DataFrame:
+    """``file, value`` of each document as text; blank lines are none."""
+    raw = spark.read.text(path, wholetext=not lines).select(F.col("_metadata.file_path").alias("file"), "value")
+    return raw.where(F.btrim("value") != "") if lines else raw
 
-    Keys are looked at in the document itself and in the records of its lists.
+
+def document_problems(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """``file, problem`` for each document that is no JSON object, and each key that ``schema`` does not declare.
+
+    A document is a file, or a line with ``lines``.  Keys are looked at in the
+    document itself and in the records of its lists.
     """
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    raw = _texts(spark, path, lines)
     top = F.json_object_keys("value")
     unknown = []
     for place, declared in _keys(StructType.fromDDL(schema)).items():
@@ -95,9 +102,14 @@ def _prefixed(keys: Column, place: str) -> Column:
     return F.transform(keys, lambda k: F.concat(F.lit(f"unknown-key:{place}."), k))
 
 
-def read_catalogue(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """A corpus catalogue as ``corpus``, ``pages``, ``truth``, ``page_tags`` and ``problems``."""
-    docs = _documents(spark, path, CATALOGUE)
+def read_catalogue(spark: SparkSession, path: str, lines: bool = False) -> dict[str, DataFrame]:
+    """A corpus catalogue as ``corpus``, ``pages``, ``truth``, ``page_tags`` and ``problems``.
+
+    A document in a file of its own is read by one task.  With ``lines`` each
+    line is a document with some of the catalogue's pages, as
+    :func:`write_catalogue` leaves it, and a file is split over many tasks.
+    """
+    docs = _documents(spark, path, CATALOGUE, lines)
     pages = docs.select("corpusId", F.inline("pages"))
     flat = pages.select(
         F.col("corpusId").alias("corpus_id"),
@@ -124,13 +136,47 @@ def read_catalogue(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         F.col("t.borderWidthPx").alias("border_px"),
     )
     tags = pages.select(F.col("id").alias("page"), F.posexplode("tags").alias("at", "tag"))
-    return {"corpus": docs.drop("pages"), "pages": flat, "truth": truth, "page_tags": tags, "problems": document_problems(spark, path, CATALOGUE)}
+    return {"corpus": docs.drop("pages"), "pages": flat, "truth": truth, "page_tags": tags, "problems": document_problems(spark, path, CATALOGUE, lines)}
+
+
+def write_catalogue(pages: DataFrame, path: str, corpus: str, head: dict[str, Column] | None = None, in_one: int = 64) -> None:
+    """Write pages as catalogue documents, one per line, of about ``in_one`` pages each.
+
+    ``pages`` has the fields of a page as the catalogue declares them, its
+    annotations in one row with it, and a column ``corpus`` with the id of the
+    corpus it is in; ``head`` are other fields of the document.  Pages are dealt
+    by a hash of their id, so no document, and no task, holds a whole corpus.
+    """
+    page = F.struct(*(c for c in pages.columns if c != corpus))
+    parts = max(1, -(-pages.count() // in_one))
+    dealt = pages.select(F.col(corpus).alias("corpusId"), F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"), page.alias("page"))
+    documents = dealt.groupBy("corpusId", "part").agg(F.collect_list("page").alias("pages"))
+    fields = {"schemaVersion": F.lit(1)} | (head or {})
+    documents.select(*(c.alias(n) for n, c in fields.items()), "corpusId", "pages").write.json(path)
+
+
+def read_fixture_index(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Fixture entries, whose open ``expected`` and ``tolerance`` objects stay variants, and the documents' problems.
+
+    A document is a file, or a line with ``lines``.
+    """
+    entries = _documents(spark, path, INDEX, lines).select("schemaVersion", "file", F.inline("fixtures"))
+    return entries, document_problems(spark, path, INDEX, lines)
 
 
-def read_fixture_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Fixture entries, whose open ``expected`` and ``tolerance`` objects stay variants, and the documents' problems."""
-    entries = _documents(spark, path, INDEX).select("schemaVersion", "file", F.inline("fixtures"))
-    return entries, document_problems(spark, path, INDEX)
+def wanted_values(index: DataFrame, wanted: Column, kind: str) -> Column:
+    """What ``expected`` holds at a path that each row names; null where nothing of that kind is there."""
+    return F.when(wanted.isNotNull(), F.try_variant_get("expected", wanted, kind))
+
+
+def expected_fields(index: DataFrame) -> DataFrame:
+    """``id, field, value`` of each field of the ``expected`` objects, whatever fields they have; values stay variants.
+
+    An ``expected`` that is no object has none.
+    """
+    objects = index.where(F.schema_of_variant("expected").startswith("OBJECT")).select("id", "expected")
+    fields = index.sparkSession.tvf.variant_explode(F.col("expected").outer())
+    return objects.lateralJoin(fields).select("id", F.col("key").alias("field"), "value")
 
 
 def lookup_fixture(index: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -163,17 +209,58 @@ def read_inventory(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return rows.select("file", "licence", F.inline("packages")), parsed.where(~good).select("file")
 
 
-def read_contents(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Files as bytes with path and length."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+def read_inventory_members(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Licence-to-packages maps, one per line, as packages, and what is wrong with members of them.
+
+    The packages are ``file, licence, name, versions``.  A member of a map or of
+    a list that is not what it should be is a row of the second table, with its
+    ``file, licence, problem`` and JSON as ``member``, and takes nothing else
+    with it: ``not-a-map`` (a line), ``not-a-list`` (of packages), ``no-name``,
+    ``no-versions`` (a list of texts).
+    """
+    lines = _texts(spark, path, True).withColumn("groups", F.from_json("value", "map<string,variant>"))
+    none = F.lit(None).cast("string")
+    torn = lines.where(F.col("groups").isNull()).select("file", none.alias("licence"), F.lit("not-a-map").alias("problem"), F.col("value").alias("member"))
+    groups = lines.select("file", F.explode("groups").alias("licence", "packages"))
+    groups = groups.withColumn("each", F.try_variant_get("packages", "$", "array<variant>"))
+    no_list = groups.where(F.col("each").isNull()).select("file", "licence", F.lit("not-a-list").alias("problem"), F.to_json("packages").alias("member"))
+    members = groups.select("file", "licence", F.explode("each").alias("p"))
+    members = members.select(
+        "file", "licence", F.to_json("p").alias("member"), _text_at("p", "$.name").alias("name"),
+        F.try_variant_get("p", "$.versions", "array<variant>").alias("v"),
+    )
+    texts = F.transform("v", lambda v: F.when(F.schema_of_variant(v) == "STRING", v.cast("string")))
+    members = members.withColumn("versions", F.when(F.forall(texts, lambda t: t.isNotNull()), texts)).drop("v")
+    problem = F.when(F.col("name").isNull(), F.lit("no-name")).when(F.col("versions").isNull(), F.lit("no-versions"))
+    bad = members.where(problem.isNotNull()).select("file", "licence", problem.alias("problem"), "member")
+    return members.where(problem.isNull()).select("file", "licence", "name", "versions"), torn.unionByName(no_list).unionByName(bad)
+
+
+def _text_at(variant: str, path: str) -> Column:
+    found = F.try_variant_get(variant, path, "variant")
+    return F.when(F.schema_of_variant(found) == "STRING", found.cast("string"))
+
+
+def read_contents(
+    spark: SparkSession, path: str, pattern: str = "*", after: str | None = None, before: str | None = None
+) -> DataFrame:
+    """Files as bytes with path and length; those changed after or before a moment (``YYYY-MM-DDTHH:mm:ss``) if asked for.
+
+    Names and times are looked at when files are listed, so what is not wanted is not read.
+    """
+    read = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
+    for name, moment in (("modifiedAfter", after), ("modifiedBefore", before)):
+        if moment is not None:
+            read = read.option(name, moment)
+    return read.load(path)
 
 
-def read_evidence(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Device records, one document per file, and what is wrong with any of them as ``file, problem``."""
-    records = _documents(spark, path, EVIDENCE)
+def read_evidence(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Device records, one per file or line, and what is wrong with any of them as ``file, problem``."""
+    records = _documents(spark, path, EVIDENCE, lines)
     found = broken(evidence_rules())
     faults = records.select("file", F.explode(F.transform(found, lambda f: F.concat_ws(":", f["path"], f["message"]))).alias("problem"))
-    return records, document_problems(spark, path, EVIDENCE).unionByName(faults)
+    return records, document_problems(spark, path, EVIDENCE, lines).unionByName(faults)
 
 
 def evidence_rules() -> list[Rule]:
