@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -33,6 +33,32 @@ _SEAM = re.compile(
     "\\S(?=[ \\t\\n\\r])"
     "|[A-Za-z0-9ぁ-ゖァ-ヺ一-龥가-힣](?=[!-/:-@\\[-`{-~、。，])"
 )
+# fixed values: what the pattern takes for blanks
+_BLANKS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Runs of this many blanks are kept from the library's regular expressions, which fail on a million.
+LONG_RUN = 10_000
+_LONG = re.compile(f"[{_BLANKS}]{{{LONG_RUN},}}")
+
+
+def encode_around_runs(
+    text: str, encode: Callable[[str], list[int]], encode_match: Callable[[bytes], list[int]], specials: tuple[str, ...] = ()
+) -> list[int]:
+    """``encode(text)``, with each long run of blanks cut out and given to ``encode_match`` as one match.
+
+    The pattern takes all blanks of a run but the last one for a match, as long
+    as something visible follows; the last one begins what comes next.  At the
+    end of the text, or where one of the ``specials`` follows, it takes them all.
+    """
+    if len(text) < LONG_RUN:
+        return encode(text)
+    ids, at = [], 0
+    for run in _LONG.finditer(text):
+        start, end = run.span()
+        stop = end if end == len(text) or text.startswith(specials, end) else end - 1
+        ids += encode(text[at:start])
+        ids += encode_match(text[start:stop].encode())
+        at = stop
+    return ids + encode(text[at:])
 
 
 class Vocabulary:
@@ -43,12 +69,14 @@ class Vocabulary:
 
         with open(ranks_path, "rb") as lines:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self.encode_part = tiktoken.Encoding(
-            "fixtures", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={}
-        ).encode_ordinary
+        self.library = tiktoken.Encoding("fixtures", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.sizes = {rank: len(token) for token, rank in self.ranks.items()}
 
+    def encode_part(self, text: str) -> list[int]:
+        """Ids of a text in one go."""
+        return encode_around_runs(text, self.library.encode_ordinary, self.library._encode_single_piece)
+
     def encode(self, text: str, leaf: int = LEAF_CHARS) -> list[int]:
         """Ids of ``text``, the same as if it were encoded in one piece."""
         return self._encode(text, 0, len(text), max(leaf, 1))
@@ -141,7 +169,10 @@ def tokenize_contents(contents: DataFrame, ranks_path: str, pattern: str) -> Dat
 
     Nothing is shuffled.  Repeated rows give repeated results, an empty table an
     empty one, null and empty contents no ids and no bytes; other columns are
-    not looked at.  ``ranks_path`` is a file that every worker can open.
+    not looked at.  A content may be as long as a row can be, and so may a run of
+    blanks, letters or anything else in it; a run without a seam is merged in n
+    log n steps, once for each halving.  ``ranks_path`` is a file that every
+    worker can open.
     """
     bounded_batches(contents.sparkSession)
     encoded = contents.select("id", encode(F.col("content"), ranks_path, pattern).alias("token_ids"))

@@ -1,12 +1,15 @@
 import base64
 import hashlib
+import re
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import boxeval.llm.bpe as B
 from boxeval.llm.bpe import tokenize_contents, vocabulary
 
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
@@ -38,6 +41,61 @@ def test_long_texts(whole, text):
     assert words.encode(text) == whole(text)
 
 
+def merged(data, ranks):
+    """Ids of one match: all pairs of the lowest rank become one token, left to right, as long as there are pairs."""
+    words = dict(map(reversed, ranks.items()))
+    ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)[np.frombuffer(data, np.uint8)]
+    while len(ids) > 1:
+        codes = ids[:-1] << 32 | ids[1:]
+        known = {int(c): ranks.get(words[int(c) >> 32] + words[int(c) & 0xFFFFFFFF]) for c in np.unique(codes)}
+        known = {c: r for c, r in known.items() if r is not None}
+        if not known:
+            break
+        code = min(known, key=known.get)
+        at = np.flatnonzero(codes == code)
+        if code >> 32 == code & 0xFFFFFFFF:
+            # of pairs that overlap every second one
+            runs = np.split(at, np.flatnonzero(np.diff(at) > 1) + 1)
+            at = np.concatenate([run[::2] for run in runs])
+        ids[at] = known[code]
+        ids = np.delete(ids, at + 1)
+    return ids.tolist()
+
+
+MATCHES = {
+    "blanks": (" " * 2_999_999, " end"), "line ends": ("\n" * 2_999_999, "\nend"), "mixed": (" \t\n\u3000" * 5000 + "\t", " end"),
+    "letters": ("x" * 3_000_000, ""), "signs": ("漢" * 1_000_000, ""), "at the end": ("\n" * 1_000_000, ""),
+}
+
+
+@pytest.mark.parametrize("name", MATCHES)
+@pytest.mark.parametrize("path", ["byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.tiktoken"])
+def test_very_long_runs_equal_an_own_merge(whole, name, path):
+    run, rest = MATCHES[name]
+    words = vocabulary(P.path(path), P.PATTERN)
+    want = merged(run.encode(), words.ranks) + (words.library.encode_ordinary(rest) if rest else [])
+    assert words.encode_part(run + rest) == want
+    # a leaf of this size makes halves that end and begin within the run
+    ids = words.encode(run + rest, 400_000)
+    assert ids == want and words.decode(ids) == (run + rest).encode()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([*PIECES, "          ", "\n" * 7, " \t", "<|end|>"]), max_size=40), st.integers(2, 6))
+def test_runs_are_cut_out_where_the_pattern_cuts(whole, pieces, long):
+    text = "".join(pieces)
+    saved = B.LONG_RUN, B._LONG
+    B.LONG_RUN, B._LONG = long, re.compile(f"[{B._BLANKS}]{{{long},}}")
+    try:
+        words = vocabulary(PATH, P.PATTERN)
+        assert words.encode_part(text) == whole(text)
+        special = tiktoken.Encoding("s", pat_str=P.PATTERN, mergeable_ranks=words.ranks, special_tokens={"<|end|>": 60_000})
+        own = B.encode_around_runs(text, lambda t: special.encode(t, allowed_special="all"), special._encode_single_piece, ("<|end|>",))
+        assert own == special.encode(text, allowed_special="all")
+    finally:
+        B.LONG_RUN, B._LONG = saved
+
+
 def test_rows_of_a_table(spark, whole):
     texts = [None, "", "Same.", "Same.", "Über den Zaun " * 900]
     df = spark.createDataFrame([(i // 2, t, "x", 1) for i, t in enumerate(texts)], "id bigint, content string, token_ids string, decoded int")
