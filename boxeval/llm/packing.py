@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boxeval.llm.bpe import encode_around_runs
 from boxeval.llm.common import bounded_batches
 from boxeval.session import cut
 
@@ -52,18 +53,25 @@ def cut_contents(
     than ``capacity`` ids are cut; all pieces but the first are ``capacity``
     long.  ``token_ids`` are little-endian unsigned 32-bit numbers.  A null
     content counts as empty: one piece that holds ``end_id``.  Repeated rows
-    give repeated pieces; other columns are not looked at.
+    give repeated pieces; other columns are not looked at.  A content may be as
+    long as a row can be, also if it is one run of blanks or letters.
     """
     bounded_batches(contents.sparkSession)
     kind = contents.schema["id"].dataType.simpleString()
     named = tuple(sorted(specials.items()))
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _tokenizer(ranks_path, pattern, named).encode
+        library = _tokenizer(ranks_path, pattern, named)
+        found = tuple(specials)
+
+        def encode(text: str) -> list[int]:
+            # a text without its long runs is encoded piece by piece; specials have no blanks
+            return encode_around_runs(text, lambda part: library.encode(part, allowed_special="all"), library._encode_single_piece, found)
+
         for batch in batches:
             at, numbers, starts, lengths, ids = [], [], [], [], []
             for row, text in enumerate(batch["content"].to_pylist()):
-                own = np.array([*encode(text or "", allowed_special="all"), end_id], "<u4")
+                own = np.array([*encode(text or ""), end_id], "<u4")
                 start, number = 0, 0
                 size = (len(own) - 1) % capacity + 1
                 while start < len(own):
@@ -117,26 +125,37 @@ def place(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
     return sequences, offsets
 
 
+def _new_name(name: str, columns: list[str]) -> str:
+    """``name``, with as many underscores before it as it takes to be none of the ``columns``."""
+    while name.lower() in {c.lower() for c in columns}:
+        name = "_" + name
+    return name
+
+
 def _place_blocks(items: DataFrame, length: str, order: list[str], capacity: int, round_: int) -> DataFrame:
     """``items`` with ``sequence_id`` and ``offset``, placed block by block."""
     rows = items.count()
     blocks = max(1, math.ceil(rows / BLOCK_ROWS))
-    dealt = items.withColumn("_block", F.pmod(F.xxhash64(*order), F.lit(blocks)))
+    # items that are alike in all their columns are dealt one by one, so that no id fills a block; the rows come
+    # from a checkpoint, whose partitions stay what they are
+    block = _new_name("block", items.columns)
+    turn = F.when(F.lit(blocks == 1), F.lit(0)).otherwise(F.monotonically_increasing_id())
+    dealt = items.withColumn(block, F.pmod(F.xxhash64(*order, turn), F.lit(blocks)))
     keys = [(length, "descending"), *((name, "ascending") for name in order)]
 
     def place_block(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by(keys)
-        block = rows["_block"][0].as_py()
+        number = rows[block][0].as_py()
         sequences, offsets = place(rows[length].to_pylist(), capacity)
-        first = (round_ << _ROUND_BITS) + (block << _BLOCK_BITS)
+        first = (round_ << _ROUND_BITS) + (number << _BLOCK_BITS)
         return (
-            rows.drop_columns(["_block"])
+            rows.drop_columns([block])
             .append_column("sequence_id", pa.array(np.array(sequences, np.int64) + first))
             .append_column("offset", pa.array(np.array(offsets, np.int64)))
         )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields)
-    return dealt.groupBy("_block").applyInArrow(place_block, f"{schema}, sequence_id bigint, offset bigint")
+    return dealt.groupBy(block).applyInArrow(place_block, f"{schema}, sequence_id bigint, offset bigint")
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -145,7 +164,8 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     Lengths are from 1 to ``capacity``.  Offsets in a sequence start at 0 and
     leave no gap.  Pieces with equal id and number are pieces of their own,
     null ids are ids like others, an empty table gives an empty one.  Columns
-    called ``sequence_id`` and ``offset`` are replaced.
+    called ``sequence_id`` and ``offset`` are replaced, others may have any name.
+    Which of equally long pieces goes where depends on how the rows are dealt.
     """
     pieces = cut(pieces.drop("sequence_id", "offset"))
     placed = cut(_place_blocks(pieces, "length", ["id", "piece"], capacity, 0))
@@ -157,6 +177,6 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     joined = placed.join(moved, placed["sequence_id"] == moved["_old"], "left")
     return joined.select(
         *(placed[c] for c in pieces.columns),
-        F.coalesce("_new", "sequence_id").alias("sequence_id"),
-        (F.col("offset") + F.coalesce("_base", F.lit(0))).alias("offset"),
+        F.coalesce(moved["_new"], placed["sequence_id"]).alias("sequence_id"),
+        (placed["offset"] + F.coalesce(moved["_base"], F.lit(0))).alias("offset"),
     )

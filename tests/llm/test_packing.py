@@ -6,6 +6,7 @@ import public_tokenizers as P
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import boxeval.llm.packing as K
@@ -94,6 +95,24 @@ def test_pieces_equal_the_library(spark, library):
     assert len(by_id[6]) == 2
 
 
+@pytest.mark.parametrize("text", [" " * 3_000_000 + "end", "\n" * 1_000_000 + "end", " " * 1_000_000 + "<|endoftext|>" + "\n" * 20_000, "x" * 3_000_000, "漢" * 1_000_000])
+def test_very_long_runs_equal_the_library(spark, library, text):
+    df = spark.createDataFrame([(1, text)], "id bigint, content string")
+    rows = sorted(K.cut_contents(df, PATH, P.PATTERN, SPECIALS, END_ID, 1 << 22).collect(), key=lambda r: r.piece)
+    assert np.frombuffer(b"".join(r.token_ids for r in rows), "<u4").tolist() == library(text)
+
+
+def test_rows_without_an_id_are_dealt_into_blocks(spark):
+    df = spark.range(120_000).select(F.lit(None).cast("string").alias("id"), F.lit(0).alias("piece"), F.lit(700).cast("bigint").alias("length"))
+    packed = K.pack_pieces(df.withColumns({"_block": F.lit("b"), "block": F.lit("c"), "_new": F.lit(1), "_old": F.lit(2), "_base": F.lit(3), "_level": F.lit(4)}))
+    assert packed.where("_block = 'b' and block = 'c' and _new = 1 and _old = 2 and _base = 3 and _level = 4").count() == 120_000
+    assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
+    # each block opens its own sequences: the numbers of the first round have the block's number in them
+    placed = K._place_blocks(K.cut(df), "length", ["id", "piece"], 1024, 0)
+    sizes = [r["count"] for r in placed.groupBy(F.shiftright("sequence_id", K._BLOCK_BITS)).count().collect()]
+    assert len(sizes) == 3 and max(sizes) < 45_000
+
+
 @pytest.mark.parametrize("block_rows", [7, 50_000])
 def test_blocks_are_packed_together(spark, monkeypatch, block_rows):
     monkeypatch.setattr(K, "BLOCK_ROWS", block_rows)
