@@ -2,7 +2,7 @@
 
 Every content starts a worklist.  A layer is scanned for secrets; each part of
 it that can be decoded (percent escapes, Unicode escapes and full-width forms,
-base64, and compressed bytes inside base64) makes another layer, until nothing
+base64, and compressed bytes inside any of these) makes another layer, until nothing
 new comes up.  A layer that was there before at the same place is not taken
 again.  Every layer knows where its code points come from, so that all spans
 are places in the content itself: exact for escapes, the whole encoded run for
@@ -19,6 +19,8 @@ import io
 import lzma
 import re
 import zlib
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from typing import BinaryIO
 
@@ -43,7 +45,17 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});|([！-～])")
 _ESCAPED = re.compile(r"\\[uUx]|&#|[！-～]")
 _BASE64 = re.compile(r"(?:[A-Za-z0-9+/_-]{60,76}\r?\n)+[A-Za-z0-9+/_-]+={0,2}|[A-Za-z0-9+/_-]{16,}={0,2}")
-_VARIANT = str.maketrans("-_", "+/", "\r\n")
+_FULL_LINE = re.compile(r"^[ \t]*([A-Za-z0-9+/_-]{4,}={0,2})[ \t]*\r?(?:\n|\Z)", re.M)
+_LINE_TAIL = re.compile(r"[A-Za-z0-9+/_-]+\r?\Z")
+_VARIANT = str.maketrans("-_", "+/", " \t\r\n")
+# bytes that are no plain text, written as escapes among characters that stand for themselves
+_BINARY_URL = re.compile("%(?:[0189A-Fa-f][0-9A-Fa-f]|7[Ff])")
+_URL_RUN = re.compile("(?:%[0-9A-Fa-f]{2}|[!-$&-~])+")
+_URL_STEP = re.compile("%([0-9A-Fa-f]{2})()()|[!-$&-~]")
+_BINARY_BACKSLASH = re.compile(r"\\(?:x|u00)(?:[0189A-Fa-f][0-9A-Fa-f]|7[Ff])")
+_BACKSLASH_RUN = re.compile(r"(?:\\x[0-9A-Fa-f]{2}|\\u00[0-9A-Fa-f]{2}|\\[abfnrtv0'\"\\/]|[ -\[\]-~])+")
+_BACKSLASH_STEP = re.compile(r"\\x([0-9A-Fa-f]{2})|\\u00([0-9A-Fa-f]{2})|\\(.)|[ -\[\]-~]")
+_SHORT = {"a": b"\x07", "b": b"\x08", "t": b"\t", "n": b"\n", "v": b"\x0b", "f": b"\x0c", "r": b"\r", "0": b"\x00"}
 _UNPRINTABLE = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]")
 # no secret is shorter than 16 code points, encoded or not, so shorter stretches hold none
 _STRETCH = re.compile("[^\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\ud800-\udfff]{16,}")
@@ -57,16 +69,22 @@ MOST_INFLATED = 64 * MOST_DECODED
 #: Layers of escapes below each other that are always taken; there are more if they have ``MOST_DECODED`` code points together.
 LEAST_DEPTH = 64
 _PART, _GZIP_BITS = 1 << 16, 31
+_ZSTD = b"\x28\xb5\x2f\xfd"
 _CONTINUATION = bytes(range(0x80, 0xC0))
 
 
 class Layer:
-    """A text and where each of its code points comes from: places, or one run for all."""
+    """A text and where its code points come from: stretches of the content, or one run for all.
 
-    __slots__ = ("ends", "only", "path", "spent", "starts", "text", "whole")
+    ``places`` are stretches of this text by their start, with what they begin
+    with in the content; of one that was decoded also the end, as all of it
+    comes from the whole run, and -1 of one that was copied.
+    """
+
+    __slots__ = ("only", "path", "places", "spent", "text", "whole")
 
-    def __init__(self, text: str, path: tuple[str, ...], starts=None, ends=None, whole=None, only=True) -> None:
-        self.text, self.path, self.starts, self.ends, self.whole = text, path, starts, ends, whole
+    def __init__(self, text: str, path: tuple[str, ...], places=None, whole=None, only=True) -> None:
+        self.text, self.path, self.places, self.whole = text, path, places, whole
         # is it all of what was decoded, or a window of it; and code points of the layers above
         self.only, self.spent = only, 0
 
@@ -74,9 +92,16 @@ class Layer:
         """Place in the content of a part of this layer that is not empty."""
         if self.whole:
             return self.whole
-        if self.starts is None:
+        if self.places is None:
             return start, end
-        return self.starts[start], self.ends[end - 1]
+        at, low, high = self.places
+        first, last = bisect_right(at, start) - 1, bisect_right(at, end - 1) - 1
+        begin = low[first] + (start - at[first] if high[first] < 0 else 0)
+        return begin, low[last] + end - at[last] if high[last] < 0 else high[last]
+
+    def key(self) -> tuple:
+        places = None if self.places is None else hash(tuple(p.tobytes() for p in self.places))
+        return hash(self.text), len(self.text), self.whole, places
 
 
 def base_matches(text: str) -> Iterator[tuple[str, int, int]]:
@@ -95,24 +120,33 @@ def base_matches(text: str) -> Iterator[tuple[str, int, int]]:
 
 def _replaced(layer: Layer, name: str, pieces: list[tuple[int, int, str]]) -> Layer:
     """The layer with some runs decoded; what a run becomes comes from all of that run."""
-    text, starts, ends, at = [], [], [], 0
+    path = (*layer.path, name)
+    text, done = [], 0
+    at, low, high = places = array("q"), array("q"), array("q")
+    size = 0
+
+    def add(place: int, begin: int, end: int) -> None:
+        at.append(place)
+        low.append(begin)
+        high.append(end)
+
     for start, end, new in [*pieces, (len(layer.text), len(layer.text), "")]:
-        text.append(layer.text[at:start])
+        text.append(layer.text[done:start])
         if layer.whole is None:
-            if layer.starts is None:
-                starts.extend(range(at, start))
-                ends.extend(range(at + 1, start + 1))
-            else:
-                starts.extend(layer.starts[at:start])
-                ends.extend(layer.ends[at:start])
-            if end > start:
-                a, b = layer.span(start, end)
-                starts.extend([a] * len(new))
-                ends.extend([b] * len(new))
+            if start > done and layer.places is None:
+                add(size, done, -1)
+            elif start > done:
+                of, begin, stop = layer.places
+                for k in range(bisect_right(of, done) - 1, bisect_left(of, start)):
+                    moved = max(done - of[k], 0)
+                    add(size + max(of[k] - done, 0), begin[k] + (moved if stop[k] < 0 else 0), stop[k])
+            size += start - done
+            if new:
+                add(size, *layer.span(start, end))
+                size += len(new)
         text.append(new)
-        at = end
-    path = (*layer.path, name)
-    return Layer("".join(text), path, whole=layer.whole) if layer.whole else Layer("".join(text), path, starts, ends)
+        done = end
+    return Layer("".join(text), path, whole=layer.whole) if layer.whole else Layer("".join(text), path, places)
 
 
 def _percent(layer: Layer) -> Iterator[Layer]:
@@ -131,6 +165,26 @@ def _percent(layer: Layer) -> Iterator[Layer]:
             pieces.append((m.start(), m.end(), decoded))
     if pieces:
         yield _replaced(layer, "url", pieces)
+    if _BINARY_URL.search(layer.text):
+        for run in _URL_RUN.finditer(layer.text):
+            if _BINARY_URL.search(run[0]):
+                yield from _escaped_bytes(layer, run, _URL_STEP, "url")
+                # forms write a blank as a plus
+                if "+" in run[0]:
+                    yield from _escaped_bytes(layer, run, _URL_STEP, "url", plus=b" ")
+
+
+def _escaped_bytes(layer: Layer, run: re.Match, step: re.Pattern, name: str, plus: bytes = b"+") -> Iterator[Layer]:
+    """Layers of compressed bytes that are written with escapes, where they can't be written plainly."""
+    raw, places = bytearray(), array("q")
+    for m in step.finditer(run[0]):
+        code = m[1] or m[2]
+        new = bytes.fromhex(code) if code else _SHORT.get(m[3], m[3].encode()) if m[3] else plus if m[0] == "+" else m[0].encode()
+        raw += new
+        places.append(m.start())
+    raw = bytes(raw)
+    for start, text, path, only in _inflated(raw, (*layer.path, name)):
+        yield Layer(text, path, whole=layer.span(run.start() + places[start], run.end()), only=only)
 
 
 def _unicode(layer: Layer) -> Iterator[Layer]:
@@ -151,6 +205,10 @@ def _unicode(layer: Layer) -> Iterator[Layer]:
                 pieces.append((m.start(), m.end(), chr(code)))
     if pieces:
         yield _replaced(layer, "unicode", pieces)
+    if _BINARY_BACKSLASH.search(layer.text):
+        for run in _BACKSLASH_RUN.finditer(layer.text):
+            if _BINARY_BACKSLASH.search(run[0]):
+                yield from _escaped_bytes(layer, run, _BACKSLASH_STEP, "unicode")
 
 
 class _Inflating:
@@ -175,17 +233,36 @@ class _Inflating:
                 raise EOFError
 
 
-def _zstd(source: BinaryIO) -> BinaryIO:
-    import zstandard
+class _Frames:
+    """What zstd frames inflate to, a part at a time; nothing behind the last frame counts."""
 
-    return zstandard.ZstdDecompressor().stream_reader(source, read_across_frames=True)
+    def __init__(self, source: BinaryIO) -> None:
+        self.source, self.held, self.frame = source, b"", None
+
+    def read(self, size: int) -> bytes:
+        import zstandard
+
+        while True:
+            data, self.held = self.held or self.source.read(_PART), b""
+            if self.frame is None or self.frame.eof:
+                data += self.source.read(4) if 0 < len(data) < 4 else b""
+                if self.frame is not None and data[:4] != _ZSTD:
+                    return b""
+                self.frame = zstandard.ZstdDecompressor().decompressobj()
+            if not data:
+                raise EOFError
+            # a few bytes may stand for many: 1,024 of them for 32 MB
+            out = self.frame.decompress(data[:1024])
+            self.held = self.frame.unused_data + data[1024:]
+            if out:
+                return out
 
 
 _OPENED = {
     "gzip": lambda source: _Inflating(source, _GZIP_BITS),
     "bzip2": bz2.BZ2File,
     "xz": lzma.LZMAFile,
-    "zstd": _zstd,
+    "zstd": _Frames,
     "zlib": lambda source: _Inflating(source, zlib.MAX_WBITS),
 }
 
@@ -198,7 +275,7 @@ def _format(head: bytes) -> str | None:
         return "bzip2"
     if head[:6] == b"\xfd7zXZ\x00":
         return "xz"
-    if head[:4] == b"\x28\xb5\x2f\xfd":
+    if head[:4] == _ZSTD:
         return "zstd"
     if len(head) > 2 and head[0] & 15 == 8 and (head[0] << 8 | head[1]) % 31 == 0:
         return "zlib"
@@ -306,29 +383,61 @@ def _texts(raw: bytes, path: tuple[str, ...]) -> Iterator[tuple[int, int, str, t
     """
     for start, end, text in _readings(raw):
         yield start, end, text, path, True
+    for start, text, names, only in _inflated(raw, path):
+        yield start, len(raw), text, names, only
+
+
+def _inflated(raw: bytes, path: tuple[str, ...]) -> Iterator[tuple[int, str, tuple[str, ...], bool]]:
+    """Start, text, path and whether it is all there is, of each compressed part of some bytes."""
     for m in _MARK.finditer(raw):
         name = _format(raw[m.start() : m.start() + 8])
         if not name or (name == "zlib" and not _is_whole(raw, m.start(), (name,))):
             continue
         for some, names, only in _unpacked(raw, m.start(), (name,)):
             for _, _, text in _readings(some):
-                yield m.start(), len(raw), text, (*path, *names), only
+                yield m.start(), text, (*path, *names), only
             if not only:
-                yield m.start(), len(raw), "", (*path, *names), False
+                yield m.start(), "", (*path, *names), False
+
+
+def _wrapped(text: str) -> Iterator[tuple[int, int]]:
+    """Places of lines of one length that hold nothing but base64 characters, one after the other.
+
+    A run at the end of the line before belongs to them, and so does a shorter
+    line behind them.  Blanks around the lines are none of it.
+    """
+    block: list[re.Match] = []
+    for line in (*_FULL_LINE.finditer(text), None):
+        if block and (line is None or text[block[-1].end() : line.start()] or len(line[1]) > len(block[0][1]) or len(block[-1][1]) < len(block[0][1])):
+            # the other pattern finds lines of the usual lengths
+            usual = block[0].start() == block[0].start(1) and 60 <= len(block[0][1]) <= 76
+            if len(block) > 1 and not usual:
+                before = _LINE_TAIL.search(text, max(0, block[0].start() - 256), max(0, block[0].start() - 1))
+                yield before.start() if before else block[0].start(1), block[-1].end(1)
+            block = []
+        if line is not None:
+            block.append(line)
+
+
+def _encoded_runs(text: str) -> Iterator[tuple[int, int]]:
+    yield from (m.span() for m in _BASE64.finditer(text))
+    if "\n" in text:
+        yield from _wrapped(text)
 
 
 def _base64(layer: Layer) -> Iterator[Layer]:
-    for m in _BASE64.finditer(layer.text):
-        body = m[0].rstrip("=").translate(_VARIANT)
-        broken = len(body) < len(m[0].rstrip("="))
-        chars = [i for i, c in enumerate(m[0]) if c not in "\r\n="] if broken else range(len(body))
+    for begin, stop in _encoded_runs(layer.text):
+        run = layer.text[begin:stop]
+        body = run.rstrip("=").translate(_VARIANT)
+        broken = len(body) < len(run.rstrip("="))
+        chars = array("q", (i for i, c in enumerate(run) if c not in " \t\r\n=")) if broken else range(len(body))
         # what stands before the encoded characters in one run moves their groups of four
         for shift in range(4):
             some = body[shift : len(body) - ((len(body) - shift) % 4 == 1)]
             raw = binascii.a2b_base64(some + "=" * (-len(some) % 4))
             for start, end, text, path, only in _texts(raw, (*layer.path, "base64")):
-                first = m.start() + chars[shift + start * 4 // 3]
-                last = m.end() if end == len(raw) else m.start() + chars[shift - (-end * 4 // 3) - 1] + 1
+                first = begin + chars[shift + start * 4 // 3]
+                last = stop if end == len(raw) else begin + chars[shift - (-end * 4 // 3) - 1] + 1
                 yield Layer(text, path, whole=layer.span(first, last), only=only)
 
 
@@ -352,7 +461,7 @@ def read_layers(text: str) -> tuple[list[dict], list[tuple[int, int]]]:
             continue
         if not layer.only:
             unread.add(layer.whole)
-        key = (hash(layer.text), len(layer.text), layer.whole, None if layer.starts is None else hash((*layer.starts, *layer.ends)))
+        key = layer.key()
         if key in seen:
             continue
         seen.add(key)

@@ -1,15 +1,24 @@
 import base64
+import bz2
 import gzip
 import hashlib
+import json
+import lzma
 import re
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
+import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import boxeval.llm.secrets as S
 from boxeval.llm.queries import QUERIES
-from boxeval.llm.secrets import _mask, _unread_spans, find_secrets, masked, read_layers, scan_secrets
+from boxeval.llm.secrets import Layer, _mask, _unread_spans, find_secrets, masked, read_layers, scan_secrets
 
 SF = "/root/testdata/sf0.001"
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -109,6 +118,94 @@ def test_encoded_runs_are_found_behind_and_before_other_characters():
     assert {r["layer"] for r in find_secrets("ab/" + lines)[0]} == {"base64"}
 
 
+SECRET = b"some text and password=hunter2hunter2 behind it, " * 3
+
+
+def urlquoted(raw, plus=False):
+    from urllib.parse import quote_from_bytes
+
+    quoted = quote_from_bytes(raw, safe="")
+    return quoted.replace("%20", "+") if plus else quoted
+
+
+@pytest.mark.parametrize("compress", [lambda b: gzip.compress(b, mtime=0), zlib.compress, bz2.compress, lzma.compress, lambda b: zstandard.ZstdCompressor().compress(b)])
+@pytest.mark.parametrize(
+    "written",
+    [urlquoted, lambda raw: urlquoted(raw, True), lambda raw: "".join(f"%{b:02x}" for b in raw), lambda raw: "".join(f"\\x{b:02x}" for b in raw), lambda raw: repr(raw)[2:-1], lambda raw: json.dumps(raw.decode("latin-1"))[1:-1]],
+)
+def test_compressed_bytes_below_escapes(compress, written):
+    run = written(compress(SECRET))
+    for before, behind in (("see ", " there"), ("q=", "&r=1 x"), ("", "")):
+        text = before + run + behind
+        rows, complete = find_secrets(text)
+        inside = [r for r in rows if ">" in r["layer"]]
+        assert complete and inside, text
+        for r in inside:
+            assert text.startswith(run, r["start"]) or r["start"] < len(before) + 4
+            assert len(before) + len(run) <= r["end"]
+        assert "hunter2" not in _mask(text, rows) and run not in _mask(text, rows)
+
+
+@pytest.mark.parametrize("width", [8, 20, 33, 59, 64, 76, 77, 120])
+@pytest.mark.parametrize("indent, end", [("", "\n"), ("  ", "\n"), ("", "\r\n")])
+def test_base64_wrapped_at_any_width(width, indent, end):
+    coded = base64.b64encode(b"x" * 30 + SECRET).decode()
+    lines = end.join(indent + coded[i : i + width] for i in range(0, len(coded), width))
+    text = f"data:\n{lines}\nthe end"
+    rows = [r for r in find_secrets(text)[0] if r["layer"] == "base64"]
+    assert rows and all(text.index(lines) <= r["start"] < r["end"] <= text.index(lines) + len(lines) for r in rows)
+    assert any(base64.b64decode(re.sub(r"\s", "", text[r["start"] : r["end"]]) + "===", validate=False) for r in rows)
+
+
+def test_places_of_escapes_are_exact():
+    text = "é" * 50 + "%41%42 \\u0041 " + "tok%65n%3D" + "abc%2564" * 4 + " end \\u0074oken=abcdefghijkl%20x"
+    found = {text[s["start"] : s["end"]] for s in find_secrets(text)[0]}
+    assert {"tok%65n%3D" + "abc%2564" * 4, "\\u0074oken=abcdefghijkl"} <= found
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["a", "%41", "%C3%A9", "\\u0041", "\\u00e9", "%25", "%5Cu0041", "é", " ", "%FF%FE", "\\x41"]), max_size=25), st.data())
+def test_stretches_are_the_places_of_each_code_point(parts, data):
+    text = "".join(parts)
+    # by lists with an entry per code point
+    layer = Layer(text, ())
+    where = [(i, i + 1) for i in range(len(text))]
+    for name in ("url", "unicode", "url"):
+        made = [m for m in (S._percent if name == "url" else S._unicode)(layer) if m.whole is None]
+        if not made:
+            continue
+        pieces = []
+        saved, S._replaced = S._replaced, lambda layer, name, p: pieces.extend(p) or saved(layer, name, p)
+        try:
+            list((S._percent if name == "url" else S._unicode)(layer))
+        finally:
+            S._replaced = saved
+        new, at = [], 0
+        for start, end, decoded in pieces:
+            new += where[at:start] + [(where[start][0], where[end - 1][1])] * len(decoded)
+            at = end
+        where, layer = new + where[at:], made[0]
+        assert len(where) == len(layer.text)
+        if where:
+            a = data.draw(st.integers(0, len(where) - 1))
+            b = data.draw(st.integers(a + 1, len(where)))
+            assert layer.span(a, b) == (where[a][0], where[b - 1][1])
+
+
+def test_a_very_long_text_needs_little_memory():
+    code = """if True:
+        import resource, sys
+        from boxeval.llm.secrets import find_secrets
+        text = "some words " * 4_500_000 + "%41 token%3Dabcdefghijkl"
+        rows, complete = find_secrets(text)
+        assert complete and rows == [{"kind": "assign", "start": len(text) - 20, "end": len(text), "layer": "url"}], rows
+        print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)
+    """
+    run = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).resolve().parents[2], timeout=300)
+    assert run.returncode == 0, run.stderr
+    assert int(run.stdout) < 1_000_000  # kilobytes
+
+
 def test_rows_of_a_table(spark):
     texts = [None, "", "token=abcdefghijkl", "token=abcdefghijkl", "word " * 50_000 + "token=abcdefghijkl"]
     df = spark.createDataFrame([(i, t, "s", True) for i, t in enumerate(texts)], "id bigint, content string, spans string, complete boolean")
