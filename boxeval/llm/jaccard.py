@@ -20,10 +20,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from boxeval.llm.common import bounded_batches
+from boxeval.llm.common import bounded_batches, join_facts
 from boxeval.llm.components import components
 from boxeval.session import cut
 
@@ -210,12 +211,21 @@ def _keyed(contents: DataFrame) -> DataFrame:
             keys = [_key(words_of(text or "")) for text in batch["content"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["node"], pa.array(keys, pa.binary()), batch["content"]], names=["node", "words_key", "content"])
 
-    rows = contents.where(F.col("id").isNotNull()).select(F.col("id").cast("bigint").alias("node"), "content")
+    rows = contents.where(F.col("id").isNotNull()).select(_number(contents).alias("node"), "content")
     return rows.mapInArrow(key, "node bigint, words_key binary, content string")
 
 
+def _is_numbered(contents: DataFrame) -> bool:
+    return isinstance(contents.schema["id"].dataType, IntegralType)
+
+
+def _number(contents: DataFrame) -> Column:
+    """Ids as numbers: themselves, or a hash of 64 bits."""
+    return F.col("id").cast("bigint") if _is_numbered(contents) else F.xxhash64("id")
+
+
 def _signed(contents: DataFrame) -> DataFrame:
-    """``id, words_key, n, least, bands`` of each content with an id: what it is compared by."""
+    """``name, id, words_key, n, least, bands`` of each content with an id: what it is compared by; ``name`` is the id as given."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,12 +239,14 @@ def _signed(contents: DataFrame) -> DataFrame:
                 least.append(b"" if values is None else (values & np.uint32(255)).astype(np.uint8).tobytes())
                 bands.append([] if values is None else band_keys(values).tolist())
             yield pa.RecordBatch.from_arrays(
-                [batch["id"], pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(least, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["id", "words_key", "n", "least", "bands"],
+                [batch["name"], batch["id"], pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(least, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                names=["name", "id", "words_key", "n", "least", "bands"],
             )
 
-    rows = contents.where(F.col("id").isNotNull()).select(F.col("id").cast("bigint").alias("id"), "content")
-    return rows.mapInArrow(sign, "id bigint, words_key binary, n bigint, least binary, bands array<bigint>")
+    name = F.col("id").cast("bigint") if _is_numbered(contents) else F.col("id")
+    rows = contents.where(F.col("id").isNotNull()).select(name.alias("name"), _number(contents).alias("id"), "content")
+    kind = rows.schema["name"].dataType.simpleString()
+    return rows.mapInArrow(sign, f"name {kind}, id bigint, words_key binary, n bigint, least binary, bands array<bigint>")
 
 
 def block_pairs(members: DataFrame, key: str, node: str, sizes: DataFrame) -> DataFrame:
@@ -284,14 +296,15 @@ def _compared(rows: list[dict], fewest: dict[int, int], threshold: float) -> tup
 
 
 def near_duplicates(contents: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """``id, class_id, n_links`` for every row of ``contents`` (``id``: bigint, ``content``).
+    """``id, class_id, n_links`` for every row of ``contents`` (``id``, ``content``).
 
     Two contents are linked if the Jaccard similarity of their sets of word
     5-grams is at least ``threshold``; words are in lower case and parted by
     white space, and fewer than five make one gram.  Contents of equal words,
     also of none, are linked.  ``n_links`` is the number of other rows that a
     row is linked to, and ``class_id`` the smallest id of all that hang
-    together by links.  Null contents count as empty.  Rows without an id take
+    together by links; if ids are not integers, that with the smallest hash, and
+    two of n ids are taken for one with a chance of n^2 / 2^65.  Null contents count as empty.  Rows without an id take
     no part: no class, no links.  Rows with one id are one document: what any
     of them is linked to, its class is linked to.
     """
@@ -299,7 +312,7 @@ def near_duplicates(contents: DataFrame, threshold: float = THRESHOLD, tolerance
     fewest = least_matches(threshold, tolerance)
     signed = cut(_signed(contents))
     classes = signed.groupBy("words_key").agg(
-        F.min("id").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("least").alias("least"), F.first("bands").alias("bands")
+        F.min("id").alias("node"), F.min_by("name", "id").alias("named"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("least").alias("least"), F.first("bands").alias("bands")
     )
     classes = cut(classes)
 
@@ -351,13 +364,25 @@ def near_duplicates(contents: DataFrame, threshold: float = THRESHOLD, tolerance
     found = cut(_by_pair(pairs, "root", verify, "words_key binary, a bigint, b bigint, links bigint"))
     final = components(found.select("a", "b"))
     links = found.groupBy("words_key").agg(F.sum("links").alias("links"))
-    known = classes.select("words_key", "node", "copies").join(links, "words_key", "left").join(final, "node", "left")
+    known = classes.select("words_key", "node", "named", "copies").join(links, "words_key", "left").join(final, "node", "left")
     known = known.select(
         "words_key",
+        "named",
+        "copies",
         F.coalesce("root", "node").alias("class_id"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
+    if not _is_numbered(contents):
+        known = cut(known)
+        sizes = known.groupBy("class_id").agg(F.count("*").alias("_size"))
+        roots = classes.select(F.col("node").alias("class_id"), F.col("named").alias("_root")).join(sizes, "class_id")
+        # an id with several texts names several classes
+        roots = roots.groupBy("class_id").agg(F.min("_root").alias("_root"), F.max("_size").alias("_size"))
+        known = join_facts(known, roots, "class_id", "_size").drop("class_id").withColumnRenamed("_root", "class_id")
+    known = cut(known.select("words_key", "class_id", "n_links", "copies"))
+    found = join_facts(signed.select(F.col("name").alias("id"), "words_key"), known, "words_key", "copies")
+    kind = signed.schema["name"].dataType
     rest = contents.where(F.col("id").isNull()).select(
-        F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("bigint").alias("class_id"), F.lit(0).cast("bigint").alias("n_links")
+        F.lit(None).cast(kind).alias("id"), F.lit(None).cast(kind).alias("class_id"), F.lit(0).cast("bigint").alias("n_links")
     )
-    return signed.select("id", "words_key").join(known, "words_key").select("id", "class_id", "n_links").unionByName(rest)
+    return found.select("id", "class_id", "n_links").unionByName(rest)

@@ -6,6 +6,7 @@ import pytest
 
 import boxeval.llm.jaccard as J
 from boxeval.llm.components import components
+from boxeval.llm.jaccard import near_duplicates
 from boxeval.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -171,3 +172,26 @@ def test_loss_at_the_threshold_is_what_readme_says():
         values[:least] = 0
     assert round(lost, 5) == 4.7e-4
     assert "4.7e-4" in (Path(__file__).parents[2] / "README.md").read_text()
+
+
+def test_text_ids_and_common_texts(spark):
+    words = [f"w{i}" for i in range(60)]
+    base = " ".join(words)
+    texts = [base] * 40 + [" ".join([*words[:-1], f"other{i}"]) for i in range(5)] + ["", None, "something else entirely here now", "something else entirely here now"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, base)]
+    numbers = near_duplicates(spark.createDataFrame(rows, "id bigint, content string")).collect()
+    named = spark.createDataFrame([(None if i is None else f"page-{i}", t, "x", 1, 2) for i, t in rows], "id string, content string, name string, node int, copies int")
+    found = near_duplicates(named).collect()
+
+    def classes(rows, number):
+        groups = defaultdict(set)
+        for r in rows:
+            if r.id is not None:
+                groups[r.class_id].add((number(r.id), r.n_links))
+        for name, members in groups.items():
+            assert number(name) in {m for m, _ in members}
+        return sorted(map(sorted, groups.values()))
+
+    assert classes(found, lambda i: int(i[5:])) == classes(numbers, int)
+    assert [(r.class_id, r.n_links) for r in found if r.id is None] == [(None, 0)]
+    assert near_duplicates(named.limit(0)).collect() == []
