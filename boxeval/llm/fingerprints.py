@@ -19,8 +19,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from boxeval.llm.common import bounded_batches
+from boxeval.llm.common import bounded_batches, join_facts
+from boxeval.operators.ordered import row_numbers
+from boxeval.session import cut
 
 BINS = 128
 EMPTY = 0xFFFF
@@ -126,8 +129,7 @@ def _part_of(fixture_id: Column, bounds: list[int]) -> Column:
 def fingerprint_neighbours(contents: DataFrame) -> DataFrame:
     """Fingerprints of every content and of its edited text, and how like they are.
 
-    Rows are taken by falling ``id`` (bigint; nulls last, rows of one id by
-    content), and the first row follows the last.  The edited text of a content
+    Rows are taken by falling ``id`` (nulls last, rows of one id by content), and the first row follows the last.  The edited text of a content
     has its last floor(n_chars / 2) code points replaced by as many first ones
     of the next row's content, or by all of it.  Returns ``id, n_chars,
     edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``.
@@ -137,6 +139,8 @@ def fingerprint_neighbours(contents: DataFrame) -> DataFrame:
     empty, repeated rows are rows of their own, an empty table gives an empty
     one, and other columns are not looked at.
     """
+    if not isinstance(contents.schema["id"].dataType, IntegralType):
+        return _by_number(contents)
     bounded_batches(contents.sparkSession)
     texts = contents.select(F.col("id").cast("bigint").alias("id"), F.coalesce("content", F.lit("")).alias("content"))
     bounds, asked = _part_bounds(texts)
@@ -169,6 +173,20 @@ def fingerprint_neighbours(contents: DataFrame) -> DataFrame:
     )
 
 
+def _by_number(contents: DataFrame) -> DataFrame:
+    """As :func:`fingerprint_neighbours`, by the places of ids among all ids where these are no integers."""
+    ids = contents.where(F.col("id").isNotNull()).groupBy("id").agg(F.count("*").alias("rows"))
+    numbers = cut(row_numbers(ids.withColumn("all", F.lit(0)), ["all"], [F.col("id")], "number").select("id", "rows", "number"))
+    named = join_facts(contents.where(F.col("id").isNotNull()).select("id", "content"), numbers, "id", "rows")
+    others = contents.where(F.col("id").isNull()).select(F.lit(None).cast("bigint").alias("number"), "content")
+    texts = named.select("number", "content").unionByName(others).withColumnRenamed("number", "id")
+    found = cut(fingerprint_neighbours(texts).withColumnRenamed("id", "number"))
+    columns = ["id", *found.columns[1:]]
+    back = join_facts(found.where(F.col("number").isNotNull()), numbers, "number", "rows").select(*columns)
+    none = F.lit(None).cast(numbers.schema["id"].dataType).alias("id")
+    return back.unionByName(found.where(F.col("number").isNull()).select(none, *found.columns[1:]))
+
+
 _RESULT = pa.schema(
     [
         ("id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 import boxeval.llm.fingerprints as L
+from boxeval.llm.fingerprints import fingerprint_neighbours
 from boxeval.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -84,3 +85,14 @@ def test_query(spark, monkeypatch):
     monkeypatch.setattr(L, "PART_ROWS", 40)
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     assert found(QUERIES["op4_lz_fingerprints"](spark, SF)) == expected(rows)
+
+
+def test_text_ids(spark):
+    texts = ["The board has eight files and eight ranks.", "", None, "x" * 300, "The board has eight files.", "same", "same"]
+    rows = [(i, t, "x", 1) for i, t in enumerate(texts)] + [(None, "nobody", "x", 1), (3, "again", "x", 1)]
+    extra = "content string, number string, rows int"
+    numbers = fingerprint_neighbours(spark.createDataFrame(rows, f"id bigint, {extra}")).collect()
+    named = [(None if i is None else f"page-{i}", *rest) for i, *rest in rows]
+    found = fingerprint_neighbours(spark.createDataFrame(named, f"id string, {extra}")).collect()
+    assert sorted((str(r[0]), *r[1:]) for r in found) == sorted(("None" if r[0] is None else f"page-{r[0]}", *r[1:]) for r in numbers)
+    assert fingerprint_neighbours(spark.createDataFrame([], f"id string, {extra}")).collect() == []
