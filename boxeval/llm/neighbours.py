@@ -188,7 +188,7 @@ def _query_blocks(graph: CentroidGraph, asked: DataFrame, least: float) -> np.nd
 def nearest_boards(boards: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     """``query_id, rank, board_id, score`` of the ``k`` nearest found boards of each query.
 
-    ``boards`` has ``board_id`` (bigint) and ``confidences`` (array); ``is_query``
+    ``boards`` has ``board_id`` (of any type that has an order) and ``confidences`` (array); ``is_query``
     is a condition on ``board_id``.  Candidates are all boards with another id.
     ``score`` is the inner product in double precision; ranks go from 1, largest
     score first, ties to smaller ids.  Rows with equal id and vector count once;
@@ -218,8 +218,8 @@ def nearest_boards(boards: DataFrame, is_query: Column, k: int = 20) -> DataFram
     parts = _query_blocks(graph, asked, least) if graph else np.ones(1, int)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for large in batches:
+            for batch in (large.slice(i, _QUERIES_AT_ONCE) for i in range(0, large.num_rows, _QUERIES_AT_ONCE)):
                 vectors = _matrix(batch["confidences"])
                 homes = shared.value.homes(vectors)
                 at = np.repeat(np.arange(len(homes)), [len(h) for h in homes])
@@ -256,14 +256,15 @@ def nearest_boards(boards: DataFrame, is_query: Column, k: int = 20) -> DataFram
         return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
 
     # each block of a list meets each block of the list's queries in a group of its own
-    posted = entries.mapInArrow(post, "list bigint, block bigint, parts bigint, confidences array<double>, board_ids array<bigint>")
+    kind = rows.schema["board_id"].dataType.simpleString()
+    posted = entries.mapInArrow(post, f"list bigint, block bigint, parts bigint, confidences array<double>, board_ids array<{kind}>")
     posted = posted.select("list", "block", numbers("parts").alias("part"), "confidences", "board_ids")
     dealt_out = asked.select("confidences", F.pmod(F.xxhash64("confidences"), F.lit(_RESOLUTION)).alias("dealt"))
     looking = dealt_out.mapInArrow(ask, "list bigint, blocks bigint, part bigint, confidences array<double>")
     looking = looking.select("list", numbers("blocks").alias("block"), "part", "confidences")
     met = ("list", "block", "part")
     found = looking.groupBy(*met).cogroup(posted.groupBy(*met)).applyInArrow(
-        look, "confidences array<double>, found array<struct<less:double,board_id:bigint>>"
+        look, f"confidences array<double>, found array<struct<less:double,board_id:{kind}>>"
     )
     # a vector in several lists is found several times, with the very same score
     merged = found.groupBy("confidences").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("all"))
@@ -281,7 +282,8 @@ def nearest_boards(boards: DataFrame, is_query: Column, k: int = 20) -> DataFram
 
 def _look(asked: pa.Table, there: pa.Table, most: int) -> pa.Table:
     """The nearest entries of one block for each query, with the negative score first, so that they sort."""
-    kind = pa.schema([("confidences", pa.list_(pa.float64())), ("found", pa.list_(pa.struct([("less", pa.float64()), ("board_id", pa.int64())])))])
+    board = there.schema.field("board_ids").type.value_type
+    kind = pa.schema([("confidences", pa.list_(pa.float64())), ("found", pa.list_(pa.struct([("less", pa.float64()), ("board_id", board)])))])
     if not asked.num_rows or not there.num_rows:
         return kind.empty_table()
     queries, vectors = _matrix(asked["confidences"]), _matrix(there["confidences"])

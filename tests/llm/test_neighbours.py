@@ -114,3 +114,34 @@ def test_query(spark):
         near = sorted((-(table[q] @ v), i) for i, v in table.items() if i != q)[:20]
         hits += len({i for _, i in near} & {i for _, i, _ in own})
     assert hits >= 0.9 * len(rows)
+
+
+def test_text_ids(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, v) for i, v in enumerate(rng.normal(size=(120, 6)).round(1).tolist())] + [(200 + i, [1.0] * 6) for i in range(30)]
+    df = spark.createDataFrame([(f"page-{i:03}", v) for i, v in rows], "board_id string, confidences array<float>")
+    stored = {int(r.board_id[5:]): r.confidences for r in df.collect()}
+    got = N.nearest_boards(df, F.substring("board_id", 6, 3).cast("int") % 20 == 0)
+    found = sorted((int(r.query_id[5:]), r["rank"], int(r.board_id[5:]), round(r.score, 9)) for r in got.collect())
+    assert found == [(q, n, i, round(s, 9)) for q, n, i, s in brute(sorted(stored.items()), 20)]
+
+
+def test_recall_with_more_lists_than_a_walk_meets(spark, monkeypatch):
+    # three hundred lists and more, most of which no query looks at
+    monkeypatch.setattr(N, "LIST_ROWS", 40)
+    rng = np.random.default_rng(12)
+    vectors = rng.normal(size=(400, 16))[rng.integers(0, 400, 14_000)] + 0.35 * rng.normal(size=(14_000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "board_id bigint, confidences array<double>")
+    looked = []
+    saved = N._query_blocks
+    monkeypatch.setattr(N, "_query_blocks", lambda graph, asked, least: looked.append((graph, least)) or saved(graph, asked, least))
+    answers = N.nearest_boards(df, F.col("board_id") % 20 == 0).collect()
+    graph, least = looked[0]
+    assert len(graph.centroids) >= 300
+    seen = [len(own) for own in graph.looked_at(vectors[::20].astype(float), least)]
+    assert np.mean(seen) < 0.8 * len(graph.centroids)
+    queries = np.arange(0, len(vectors), 20)
+    scores = vectors[queries] @ vectors.T
+    scores[np.arange(len(queries)), queries] = -np.inf
+    exact = {(int(q), int(i)) for q, row in zip(queries, np.argsort(-scores, axis=1)[:, :20], strict=True) for i in row}
+    assert len({(r.query_id, r.board_id) for r in answers} & exact) >= 0.9 * len(exact)
