@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxeval.llm.bpe import encode_around_runs
-from boxeval.llm.common import bounded_batches
+from boxeval.llm.common import bounded_batches, new_name
 from boxeval.session import cut
 
 CAPACITY = 1024
@@ -125,20 +125,13 @@ def place(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
     return sequences, offsets
 
 
-def _new_name(name: str, columns: list[str]) -> str:
-    """``name``, with as many underscores before it as it takes to be none of the ``columns``."""
-    while name.lower() in {c.lower() for c in columns}:
-        name = "_" + name
-    return name
-
-
 def _place_blocks(items: DataFrame, length: str, order: list[str], capacity: int, round_: int) -> DataFrame:
     """``items`` with ``sequence_id`` and ``offset``, placed block by block."""
     rows = items.count()
     blocks = max(1, math.ceil(rows / BLOCK_ROWS))
     # items that are alike in all their columns are dealt one by one, so that no id fills a block; the rows come
     # from a checkpoint, whose partitions stay what they are
-    block = _new_name("block", items.columns)
+    block = new_name("block", items.columns)
     turn = F.when(F.lit(blocks == 1), F.lit(0)).otherwise(F.monotonically_increasing_id())
     dealt = items.withColumn(block, F.pmod(F.xxhash64(*order, turn), F.lit(blocks)))
     keys = [(length, "descending"), *((name, "ascending") for name in order)]

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxeval.llm.common import bounded_batches, fixture_contents
+from boxeval.llm.common import bounded_batches, fixture_contents, new_name
 from boxeval.llm.jaccard import near_duplicates
 from boxeval.llm.quality import fit_quality, quality_score
 from boxeval.llm.queries import packed, verdicts
@@ -47,13 +47,14 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     has a document for each of them, and which row of a class stays is fixed.
     Keys have 64 bits: n rows share one by chance about n^2 / 2^65 times.
     """
+    key = new_name("key", docs.columns)
     # a null adds nothing to a hash, so nulls are told apart by their places
-    keyed = docs.withColumn("_key", F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns)))
-    classes = near_duplicates(fixture_contents(keyed, "_key", "text")).distinct()
-    ids = keyed.select(F.col("_key").alias("id"), "doc_id").distinct()
+    keyed = docs.withColumn(key, F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns)))
+    classes = near_duplicates(fixture_contents(keyed, key, "text")).distinct()
+    ids = keyed.select(F.col(key).alias("id"), "doc_id").distinct()
     first = ids.join(classes, "id").groupBy("class_id", F.col("doc_id").isNull()).agg(F.min(F.struct("doc_id", "id")).alias("first"))
-    stays = first.select(F.col("first.id").alias("_key"))
-    return keyed.join(stays, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    stays = first.select(F.col("first.id").alias(key))
+    return keyed.join(stays, key, "left_semi").dropDuplicates([key]).drop(key)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,8 +63,9 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Encoded runs that could not be read as a whole are replaced by '[unread]'.
     """
     bounded_batches(spark)
-    found = docs.withColumn("_found", secrets(F.col("text")))
-    clean = found.withColumn("text", masked(F.col("text"), F.concat("_found.spans", "_found.unread"))).drop("_found")
+    name = new_name("found", docs.columns)
+    found = docs.withColumn(name, secrets(F.col("text")))
+    clean = found.withColumn("text", masked(F.col("text"), F.concat(f"{name}.spans", f"{name}.unread"))).drop(name)
     return clean.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
 
 
