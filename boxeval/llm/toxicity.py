@@ -17,11 +17,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from boxeval.llm.common import bounded_batches, training_sample
 
 #: Judged contents that the fit looks at, about; all if there are fewer.  One task holds their words.
 TRAINING_ROWS = 8_000
+#: Bytes of those contents, at most; what is too much of them is left out whole.
+TRAINING_BYTES = 64_000_000
 #: Words and stems must occur in so many of those contents to have a weight.
 LEAST_CONTENTS = 4
 #: Lengths of the word starts that count as stems.
@@ -132,15 +135,37 @@ def learn(texts: list[str], verdicts: np.ndarray) -> SentenceModel:
     return SentenceModel({names[i]: float(w[i]) for i in kept}, float(b))
 
 
-def fit_toxicity(contents: DataFrame, verdicts: DataFrame, rows: int = TRAINING_ROWS) -> SentenceModel:
+def bounded_sample(sample: DataFrame, most_bytes: int) -> DataFrame:
+    """One row per id of ``id, content, verdict``, and of those as many as have ``most_bytes`` together.
+
+    Of several contents of an id the one with the smallest hash is taken; ids
+    are taken in the order of theirs.  The driver sees their sizes only.
+    """
+    one = sample.groupBy("id").agg(F.min_by("content", F.xxhash64("content")).alias("content"), F.max("verdict").alias("verdict"))
+    sizes = one.select("id", F.coalesce(F.octet_length("content"), F.lit(0)).alias("size"), F.xxhash64("id").alias("at")).collect()
+    if sum(row["size"] for row in sizes) <= most_bytes:
+        return one
+    taken, left = [], most_bytes
+    for row in sorted(sizes, key=lambda row: (row["at"], row["id"])):
+        if row["size"] <= left:
+            taken.append((row["id"],))
+            left -= row["size"]
+    ids = sample.sparkSession.createDataFrame(taken, StructType([sample.schema["id"]]))
+    return one.join(F.broadcast(ids), "id", "left_semi")
+
+
+def fit_toxicity(
+    contents: DataFrame, verdicts: DataFrame, rows: int = TRAINING_ROWS, most_bytes: int = TRAINING_BYTES
+) -> SentenceModel:
     """Fit on about ``rows`` of the contents (``id, content``) that ``verdicts`` (``id, verdict``) judges.
 
-    The sample is bounded by ``rows``, so one task may learn from all of it; if
-    its executor is lost, another repeats it.  Without verdicts nothing is known
-    to be toxic, and every content's score is about 0.
+    The sample has one row per id and is bounded by ``rows`` and ``most_bytes``,
+    whatever repeats and however long contents are, so one task may learn from
+    all of it; if its executor is lost, another repeats it.  Without verdicts
+    nothing is known to be toxic, and every content's score is about 0.
     """
     bounded_batches(contents.sparkSession)
-    sample = training_sample(contents, verdicts, rows)
+    sample = bounded_sample(training_sample(contents, verdicts, rows), most_bytes)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [
@@ -184,7 +209,8 @@ def score_toxicity(contents: DataFrame, model: SentenceModel) -> DataFrame:
     """``id, score, passages`` for every row of ``contents`` (``id``, ``content``), without a shuffle.
 
     ``passages`` are the offending sentences with their places in code points,
-    end exclusive.  Repeated rows give repeated results, an empty table an empty
+    end exclusive.  A content is judged sentence by sentence, however long it
+    is, and may be one sentence.  Repeated rows give repeated results, an empty table an empty
     one; other columns are not looked at.
     """
     bounded_batches(contents.sparkSession)

@@ -97,3 +97,28 @@ def test_noisy_or_of_sentences():
     p, q = 1 / (1 + np.exp(1)), 1 / (1 + np.exp(4))
     assert model.judge("Bad one. Fine. Bad two.")[0] == pytest.approx(1 - (1 - p) ** 2 * (1 - q))
     assert model.judge("")[0] == pytest.approx(q)
+
+
+def test_the_sample_is_bounded_whatever_repeats(spark):
+    from boxeval.llm.toxicity import bounded_sample
+
+    one = spark.range(50_000).select(F.lit(7).cast("bigint").alias("id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("content"))
+    judged = spark.createDataFrame([(7, 1), (7, 0), (8, 0)], "id bigint, verdict int")
+    rows = bounded_sample(training_sample(one, judged, 10), 1_000).collect()
+    assert [(r.id, r.verdict) for r in rows] == [(7, 1)]
+    # long contents: as many as there is room for, whole, and the same ones on each run
+    long = spark.range(100).select("id", F.when(F.col("id") > 0, F.repeat(F.lit("word "), 2_000)).alias("content"), F.lit(0).alias("verdict"))
+    kept = bounded_sample(long, 95_000).collect()
+    assert sum(len(r.content or "") for r in kept) == 90_000 and {r.id for r in kept} >= {0}
+    assert {r.id for r in bounded_sample(long.repartition(7), 95_000).collect()} == {r.id for r in kept}
+    named = spark.createDataFrame([("page-a", None, 1), ("page-a", None, 1), ("page-b", "x", 0)], "id string, content string, verdict int")
+    assert sorted(map(tuple, bounded_sample(named, 0).collect())) == [("page-a", None, 1)]
+
+
+def test_very_long_contents_are_judged(spark):
+    df = spark.createDataFrame([(1, "one two three " * 100_000), (2, "x" * 1_500_000), (3, "")], "id bigint, content string")
+    model = SentenceModel({"two": 3.0}, -2.0)
+    found = {r.id: r for r in score_toxicity(df, model).collect()}
+    assert found[1].score > 0.7 and found[1].passages[0].end == 1_400_000 and found[2].score == found[3].score
+    scored = {r.id: r.score for r in score_quality(df, fit_quality(df, spark.createDataFrame([(1, 1), (3, 0)], "id bigint, verdict int"))).collect()}
+    assert all(0 <= scored[i] <= 1 for i in (1, 2, 3))
