@@ -81,6 +81,30 @@ def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(contents(spark, sf_dir))
 
 
+def _events(text: Column) -> Column:
+    """How a turn came about, as ``step, kind, text``: what was written before is taken back by the log itself.
+
+    An assistant's answer was streamed, broken off half way, and generated
+    anew; what others say was sent half and then edited.  Without a turn there
+    is no order, so such a row is one message.
+    """
+    half, third = F.floor(F.length(text) / 2).cast("int"), F.floor(F.length(text) / 3).cast("int")
+    none = F.lit(None).cast("string")
+
+    def event(step: int, kind: str, said: Column) -> Column:
+        return F.struct(F.lit(step).alias("step"), F.lit(kind).alias("kind"), said.alias("text"))
+
+    def part(start: Column, length: Column) -> Column:
+        return F.substring(text, start, length)
+
+    streamed = F.array(
+        event(0, "request", none), event(1, "phase", part(F.lit(1), half)), event(2, "regenerate", none),
+        event(3, "phase", part(F.lit(1), third)), event(4, "phase", part(third + 1, F.length(text))),
+    )
+    edited = F.array(event(0, "request", part(F.lit(1), half)), event(1, "edit", text))
+    return F.when(F.col("turn").isNull(), F.array(event(0, "request", text))).when(F.col("role") == "assistant", streamed).otherwise(edited)
+
+
 @_query("op3_chat")
 def chat_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
@@ -92,11 +116,11 @@ def chat_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = counted.select(
         F.col("conv_id").alias("key"),
         F.struct("role", F.md5("text").alias("digest"), "copy").alias("request_id"),
-        F.col("turn").alias("seq"),
-        F.lit("request").alias("kind"),
+        F.col("turn").cast("long").alias("turn"),
         "role",
-        "text",
+        F.inline(_events(F.coalesce("text", F.lit("")))),
     )
+    messages = messages.withColumn("seq", 8 * F.col("turn") + F.col("step"))
     formatted = cut(format_conversations(messages))
     turns = read_turns(formatted).groupBy("key").agg(
         F.array_sort(F.collect_list(F.struct("turn", "role", "text", "learned"))).alias("t")
