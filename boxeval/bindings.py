@@ -506,7 +506,9 @@ def printed_boards(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     Cell brightness follows the embedding, so the boards differ in contrast.
     """
     axis = F.sequence(F.lit(0), F.lit(79))
-    images = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    images = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("bigint").alias("img"), "embedding")
+    # a row becomes 6400 pixels, so rows are dealt out while they are few; the pixels of an image stay together
+    images = images.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "img")
     px = images.withColumn("y", F.explode(axis)).withColumn("x", F.explode(axis))
     row, col = F.floor((F.col("y") - 8) / 8), F.floor((F.col("x") - 8) / 8)
     inside = row.between(0, 7) & col.between(0, 7)
@@ -514,7 +516,7 @@ def printed_boards(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     tone = F.when(F.pmod(row + col, F.lit(2)) == 0, F.lit(210.0)).otherwise(F.lit(130.0))
     v = F.when(inside, F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), tone + ink))).cast("double"))
     px = px.select(
-        F.col("vec_id").cast("bigint").alias("img"),
+        "img",
         F.col("y").cast("bigint").alias("y"),
         F.col("x").cast("bigint").alias("x"),
         v.otherwise(F.lit(238.0)).alias("v"),

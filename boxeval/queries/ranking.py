@@ -36,14 +36,16 @@ def top_k(spark: SparkSession, sf: str) -> DataFrame:
     return K.top_k(K.with_corners(windows(spark, sf)), 3)
 
 
-_DIVERSE = f"""WITH RECURSIVE {WINDOWS},
+def diverse_sql(wins: str, k: int) -> str:
+    """Twin of the diverse list over a table expression ``wins``."""
+    return f"""WITH RECURSIVE {wins},
 ranked AS (SELECT page, row_number() OVER (PARTITION BY page ORDER BY seq) AS rn,
   {{'worse': -score, 'seq': seq, 'x': x, 'y': y, 'side': side}} AS one FROM wins),
 walk AS (
   SELECT page, rn AS k, [one] AS kept FROM ranked WHERE rn = 1
   UNION ALL
   SELECT s.page, s.rn, CASE WHEN s.met IS NOT NULL AND s.met.worse <= s.one.worse THEN s.kept
-    ELSE list_sort(list_append(list_filter(s.kept, lambda e: s.met IS NULL OR e.seq <> s.met.seq), s.one))[1:4] END
+    ELSE list_sort(list_append(list_filter(s.kept, lambda e: s.met IS NULL OR e.seq <> s.met.seq), s.one))[1:{k}] END
   FROM (SELECT w.page, r.rn, r.one, w.kept, list_filter(w.kept, lambda e: {_iou('e.', 'r.one.')} >= 0.75)[1] AS met
         FROM walk w JOIN ranked r ON r.page = w.page AND r.rn = w.k + 1) s),
 final AS (SELECT page, arg_max(kept, k) AS kept FROM walk GROUP BY page),
@@ -51,18 +53,19 @@ listed AS (SELECT page, unnest(kept) AS w, generate_subscripts(kept, 1) AS rank
 SELECT page, w.seq AS seq, w.x AS x0, w.y AS y0, w.x + w.side AS x1, w.y + w.side AS y1, -w.worse AS score, CAST(rank AS INTEGER) AS rank FROM listed"""
 
 
-@query("k2_diverse_top_k", _DIVERSE)
+@query("k2_diverse_top_k", diverse_sql(WINDOWS, 4))
 def diverse_top_k(spark: SparkSession, sf: str) -> DataFrame:
     return K.diverse_top_k(K.with_corners(windows(spark, sf)), k=4)
 
 
-def _suppress_sql(abstain: bool) -> str:
+def suppress_sql(wins: str, abstain: bool) -> str:
+    """Twin of suppression over a table expression ``wins``."""
     rival = f"""WHERE NOT EXISTS (SELECT 1 FROM wins o WHERE o.page = m.page
         AND (-o.score > m.one.worse OR (-o.score = m.one.worse AND o.seq > m.one.seq)) AND {_iou('m.one.', 'o.')} >= 0.72
         AND (abs(m.one.x - o.x) > greatest(1.5, least(m.one.side, o.side) / 32) OR abs(m.one.y - o.y) > greatest(1.5, least(m.one.side, o.side) / 32)
           OR abs(m.one.side - o.side) > greatest(1.5, least(m.one.side, o.side) / 32) * 2)
         AND (-m.one.worse - o.score) / -m.one.worse <= 0.035::DOUBLE)"""
-    return f"""WITH RECURSIVE {WINDOWS},
+    return f"""WITH RECURSIVE {wins},
 ranked AS (SELECT page, row_number() OVER (PARTITION BY page ORDER BY score DESC, seq) AS rn,
   {{'worse': -score, 'seq': seq, 'x': x, 'y': y, 'side': side}} AS one FROM wins),
 walk AS (
@@ -79,17 +82,17 @@ SELECT page, one.seq AS seq, one.x AS x0, one.y AS y0, one.x + one.side AS x1, o
 FROM listed WHERE rank <= 4"""
 
 
-@query("k3_suppress", _suppress_sql(False))
+@query("k3_suppress", suppress_sql(WINDOWS, False))
 def suppress(spark: SparkSession, sf: str) -> DataFrame:
     return K.suppress(K.with_corners(windows(spark, sf)), abstain=False)
 
 
-@query("k4_abstain_ambiguous", _suppress_sql(True))
+@query("k4_abstain_ambiguous", suppress_sql(WINDOWS, True))
 def abstain_ambiguous(spark: SparkSession, sf: str) -> DataFrame:
     return K.suppress(K.with_corners(windows(spark, sf)))
 
 
-@query("k4_abstain_rounds", _suppress_sql(True))
+@query("k4_abstain_rounds", suppress_sql(WINDOWS, True))
 def abstain_rounds(spark: SparkSession, sf: str) -> DataFrame:
     return K.suppress_rounds(K.with_corners(windows(spark, sf)))
 

@@ -15,6 +15,8 @@ from boxeval.functions.geometry import Box, cell_center, is_dark
 from boxeval.functions.register import register_operators
 from boxeval.operators import raster as R
 from boxeval.operators.scoring import score_batch
+from boxeval.operators.suppression import DIVERSE_LIMIT
+from boxeval.queries.ranking import diverse_sql, suppress_sql
 from boxeval.queries.registry import query
 from boxeval.queries.views import BOXES, PIXELS, iou
 
@@ -159,7 +161,42 @@ def degrade(spark: SparkSession, sf: str) -> DataFrame:
     return R.degrade(pixels(spark, sf), 0.6, 6.5, 7)
 
 
-@query("r9_scan_pages")
+#: Scores of all windows of the printed boards: sums over patches come from corners of the summed area, one look-up each.
+_PRINTED = """
+scored_windows AS (
+  WITH axis AS (SELECT unnest(range(0, 80)) AS i),
+  inked AS (SELECT CAST(vec_id AS BIGINT) AS img, y.i AS y, x.i AS x, y.i // 8 - 1 AS r, x.i // 8 - 1 AS c, embedding FROM embeddings, axis y, axis x),
+  printed AS (SELECT img, y, x, CASE WHEN r BETWEEN 0 AND 7 AND c BETWEEN 0 AND 7
+      THEN floor(greatest(0, least(255, if((r + c) % 2 = 0, 210, 130) + CAST(embedding[r * 8 + c + 1] AS DOUBLE) * 60))) ELSE 238 END::DOUBLE AS v FROM inked),
+  along AS (SELECT img, y, x, sum(v) OVER (PARTITION BY img, y ORDER BY x) AS v FROM printed),
+  area AS (SELECT img, y + 1 AS y, x + 1 AS x, sum(v) OVER (PARTITION BY img, x ORDER BY y) AS v FROM along),
+  sides AS (SELECT DISTINCT CAST(least(80, floor(64 * pow(1.1::DOUBLE, k) + 0.5)) AS BIGINT) AS side FROM range(0, 4) t(k)),
+  starts AS (SELECT side, unnest(range(0, 80 - side + 1, CAST(greatest(2, floor(side / 32 + 0.5)) AS BIGINT))) AS place FROM sides),
+  spots AS (SELECT side, place, i AS cell, k, greatest(1.0::DOUBLE, side / 8 * 0.16::DOUBLE) AS patch,
+      CASE k WHEN 0 THEN side / 8 * (i + 0.12::DOUBLE) ELSE side / 8 * (i + 1 - 0.12::DOUBLE) - greatest(1.0::DOUBLE, side / 8 * 0.16::DOUBLE) END AS spot
+      FROM starts, range(0, 8) t(i), range(0, 2) u(k)),
+  lows AS (SELECT *, CAST(greatest(0, least(80, floor(place + spot))) AS BIGINT) AS low FROM spots),
+  spans AS (SELECT side, place, cell, k, low, CAST(least(80, greatest(low + 1, ceil(place + spot + patch))) AS BIGINT) AS high FROM lows),
+  bands AS (SELECT DISTINCT low, high FROM spans),
+  strips AS (SELECT a.img, a.x, low, high, a.v - coalesce(b.v, 0) AS v FROM bands JOIN area a ON a.y = high LEFT JOIN area b ON b.img = a.img AND b.x = a.x AND b.y = low),
+  patches AS (SELECT a.img, a.low AS y0, a.high AS y1, s.low AS x0, s.high AS x1, (a.v - coalesce(b.v, 0)) / ((a.high - a.low) * (s.high - s.low)) AS mean
+      FROM bands s JOIN strips a ON a.x = s.high LEFT JOIN strips b ON b.img = a.img AND b.low = a.low AND b.high = a.high AND b.x = s.low),
+  looks AS (SELECT v.side, v.place AS y, h.place AS x, v.cell * 8 + h.cell AS cell, v.low AS y0, v.high AS y1, h.low AS x0, h.high AS x1 FROM spans v JOIN spans h ON h.side = v.side),
+  cells AS (SELECT img, side, y, x, cell, list_sort(list(mean)) AS m FROM looks JOIN patches USING (y0, y1, x0, x1) GROUP BY ALL),
+  boards AS (SELECT img, side, y, x, list((m[2] + m[3]) / 2 ORDER BY cell) AS c FROM cells GROUP BY ALL),
+  means AS (SELECT *, list_sum(list_transform(range(0, 64), lambda i: if((i // 8 + i % 8) % 2 = 0, c[i + 1], 0))) / 32 AS l,
+      list_sum(list_transform(range(0, 64), lambda i: if((i // 8 + i % 8) % 2 = 0, 0, c[i + 1]))) / 32 AS d FROM boards),
+  judged AS (SELECT *, list_sum(list_transform(range(0, 64), lambda i: pow(c[i + 1] - if((i // 8 + i % 8) % 2 = 0, l, d), 2))) AS off,
+      len(list_filter(range(0, 8), lambda r: list_sum(list_transform(range(0, 8), lambda f: if((r + f) % 2 = 0, 1, -1) * c[r * 8 + f + 1])) / 4 >= (l - d) * 0.3::DOUBLE)) AS rows,
+      len(list_filter(range(0, 8), lambda f: list_sum(list_transform(range(0, 8), lambda r: if((r + f) % 2 = 0, 1, -1) * c[r * 8 + f + 1])) / 4 >= (l - d) * 0.3::DOUBLE)) AS files FROM means)
+  SELECT img AS page, printf('%05d%05d%05d', side, y, x) AS seq, x::DOUBLE AS x, y::DOUBLE AS y, side::DOUBLE AS side, (l - d) / (sqrt(off / 64) + 6) * ((rows + files) / 16) AS score
+  FROM judged WHERE l - d >= 14 AND rows >= 8 AND files >= 8),
+wins AS (SELECT * FROM scored_windows)
+"""
+_LISTED = f"wins AS (SELECT page, seq, x0 AS x, y0 AS y, x1 - x0 AS side, score FROM ({diverse_sql(_PRINTED, DIVERSE_LIMIT)}))"
+
+
+@query("r9_scan_pages", f"SELECT page AS img, x0, y0, x1, y1, score, rank FROM ({suppress_sql(_LISTED, True)})")
 def scan_pages(spark: SparkSession, sf: str) -> DataFrame:
     return R.scan_pages(*printed_boards(spark, sf))
 
