@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxeval.functions.geometry import Box, iou
-from boxeval.operators.matching import near_pairs
+from boxeval.operators.keys import join_groups
 from boxeval.operators.ordered import hot_groups
 from boxeval.session import cut
 
+# fixed values: overlaps, floor, ratio and limits of lists
 SUPPRESS_IOU = 0.72
 DIVERSE_IOU = 0.75
 SCORE_FLOOR = 1.15
@@ -24,6 +25,10 @@ RESULT_LIMIT = 4
 DIVERSE_LIMIT = 48
 FOLD_LIMIT = 256
 CHUNK = 100_000
+#: A page with more rows than the first is read by as many tasks as the second.
+LARGE_PAGE, DEALS = 20_000, 32
+#: Most large pages that are broadcast.
+MOST_BROADCAST = 100_000
 _EDGES = ["x0", "y0", "x1", "y1"]
 
 
@@ -51,9 +56,13 @@ def top_k(df: DataFrame, k: int) -> DataFrame:
     return ranked.where(F.col("rank") <= k)
 
 
+def _entries() -> list[Column]:
+    return [(-F.col("score")).alias("worse"), F.col("seq"), *(F.col(e) for e in _EDGES)]
+
+
 def _entry() -> Column:
     """A window that sorts best first."""
-    return F.struct((-F.col("score")).alias("worse"), "seq", *_EDGES)
+    return F.struct(*_entries())
 
 
 def _box(entry: Column) -> Box:
@@ -106,16 +115,19 @@ def suppress(
     return small.unionByName(rounds)
 
 
-def _suppress_fold(df: DataFrame, abstain: bool, limit: int, floor: float, ratio: float) -> DataFrame:
-    pages = _finite(df).groupBy("page").agg(F.sort_array(F.collect_list(_entry())).alias("todo"))
-    kind = pages.schema["todo"].dataType.simpleString()
+def _keep(floor: float) -> Column:
+    """The windows of ``todo``, best first, that reach ``floor`` and that no better one hides."""
 
     def take(done: Column, one: Column) -> Column:
         hidden = F.exists(done, lambda d: iou(_box(d), _box(one)) >= SUPPRESS_IOU)
         return F.when((-one["worse"] < floor) | hidden, done).otherwise(F.concat(done, F.array(one)))
 
-    kept = F.aggregate("todo", F.array().cast(kind), take)
-    pages = pages.withColumn("kept", kept)
+    return F.aggregate("todo", F.filter("todo", lambda _: F.lit(False)), take)
+
+
+def _suppress_fold(df: DataFrame, abstain: bool, limit: int, floor: float, ratio: float) -> DataFrame:
+    pages = _finite(df).groupBy("page").agg(F.sort_array(F.collect_list(_entry())).alias("todo"))
+    pages = pages.withColumn("kept", _keep(floor))
     if abstain:
         clear = F.filter(
             "kept", lambda k: ~F.exists(F.col("todo"), lambda o: _rival(k, o, ratio))
@@ -134,50 +146,67 @@ def suppress_rounds(
     limit: int = RESULT_LIMIT,
     floor: float = SCORE_FLOOR,
     ratio: float = AMBIGUITY_RATIO,
+    chunk: int = FOLD_LIMIT,
+    large_page: int = LARGE_PAGE,
 ) -> DataFrame:
-    """The same selection for pages of any size.
+    """The same selection for pages of any size, best windows first.
 
-    Only the best copy of a geometry can be selected, and it hides its copies,
-    so overlaps are listed once per pair of distinct windows.  A round keeps
-    every window without an undecided better neighbour.
+    A round folds the best ``chunk`` open windows of each page and compares
+    what it keeps with the page's other windows, which are dealt over tasks
+    where there are more than ``large_page``.  Windows that a kept one hides
+    are no longer open, and a page with ``limit`` results leaves, so overlaps
+    are never listed pair by pair.
     """
-    finite = _finite(df)
-    best = finite.groupBy("page", *_EDGES).agg(F.min(F.struct((-F.col("score")).alias("worse"), "seq")).alias("m"))
-    nodes = cut(best.select("page", *_EDGES, "m.worse", "m.seq").where(-F.col("worse") >= floor))
-    later = F.struct("r_worse", "r_seq") > F.struct("l_worse", "l_seq")
-    edges = cut(
-        near_pairs(nodes, nodes, "page", SUPPRESS_IOU).where(later).select("page", "l_seq", "r_seq")
-    )
-    kept, open_nodes = [], nodes
-    while not open_nodes.isEmpty():
-        waiting = edges.select("page", F.col("r_seq").alias("seq"))
-        now = cut(open_nodes.join(waiting, ["page", "seq"], "left_anti"))
-        hidden = edges.join(now.select("page", F.col("seq").alias("l_seq")), ["page", "l_seq"], "left_semi")
-        gone = now.select("page", "seq").unionByName(hidden.select("page", F.col("r_seq").alias("seq")))
-        gone = cut(gone.distinct())
-        open_nodes = cut(open_nodes.join(gone, ["page", "seq"], "left_anti"))
-        for end in ("l_seq", "r_seq"):
-            edges = edges.join(gone.withColumnRenamed("seq", end), ["page", end], "left_anti")
-        edges = cut(edges)
-        kept.append(now)
-    chosen = reduce(DataFrame.unionByName, kept) if kept else nodes
-    if abstain:
-        chosen = chosen.join(_ambiguous(chosen, finite, ratio), ["page", "seq"], "left_anti")
+    open_row = (-F.col("worse") >= floor).alias("open")
+    rows = _finite(df).withColumn("worse", -F.col("score")).select("page", "worse", "seq", *_EDGES, open_row)
+    rows = _with_deals(cut(rows), large_page)
+    best_first = Window.partitionBy("page").orderBy("worse", "seq")
+    results = []
+    while True:
+        head = rows.where("open").withColumn("at", F.row_number().over(best_first)).where(F.col("at") <= chunk)
+        lists = head.groupBy("page").agg(F.sort_array(F.collect_list(_window())).alias("todo"), F.max("deals").alias("deals"))
+        folded = cut(lists.select("page", "deals", _keep(floor).alias("kept"), F.element_at("todo", -1).alias("last")))
+        if folded.isEmpty():
+            break
+        clear = folded.select("page", F.inline("kept"))
+        if abstain:
+            clear = join_groups(clear, _unsure(rows, folded, ratio), ["page", "seq"], "left_anti")
+        results.append(cut(clear))
+        counted = reduce(DataFrame.unionByName, results).groupBy("page").agg(F.count("*").alias("n"))
+        done = counted.where(F.col("n") >= limit).select("page")
+        later = _met(rows, join_groups(folded, done, ["page"], "left_anti")).where(_after(_window(), F.col("last")))
+        hidden = F.exists("kept", lambda k: iou(_box(k), _box(_window())) >= SUPPRESS_IOU)
+        rows = cut(later.withColumn("open", F.col("open") & ~hidden).select(*rows.columns))
+    chosen = reduce(DataFrame.unionByName, results) if results else rows.where("open")
     scored = chosen.withColumn("score", -F.col("worse")).select("page", "seq", *_EDGES, "score")
     return top_k(scored, limit)
 
 
-def _ambiguous(kept: DataFrame, every: DataFrame, ratio: float) -> DataFrame:
-    """Selected windows with a rival; selected ones barely overlap each other,
-    so a window meets few of them."""
-    others = every.withColumn("worse", -F.col("score")).select("page", "seq", *_EDGES, "worse")
-    near = near_pairs(others, kept, "page", SUPPRESS_IOU)
+def _window() -> Column:
+    return F.struct("worse", "seq", *_EDGES)
+
+
+def _with_deals(rows: DataFrame, large_page: int) -> DataFrame:
+    """``deals``: over how many tasks the rows of the page are dealt."""
+    large = cut(hot_groups(rows, ["page"], large_page).withColumn("deals", F.lit(DEALS)))
+    n = large.count()
+    if n == 0:
+        return rows.withColumn("deals", F.lit(1))
+    marked = join_groups(rows, F.broadcast(large) if n <= MOST_BROADCAST else large, ["page"], "left")
+    return cut(marked.withColumn("deals", F.coalesce("deals", F.lit(1))))
+
+
+def _met(rows: DataFrame, folded: DataFrame) -> DataFrame:
+    """Rows with the list of their page; there is a copy of the list for each task that reads a large page."""
+    dealt = rows.withColumn("deal", F.pmod(F.xxhash64("seq"), F.col("deals"))).drop("deals")
+    copies = folded.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("deals").cast("bigint") - 1)))
+    return join_groups(dealt, copies, ["page", "deal"])
 
-    def side(prefix: str) -> Column:
-        return F.struct(*(F.col(prefix + c).alias(c) for c in ("worse", "seq", *_EDGES)))
 
-    found = near.where(_rival(side("r_"), side("l_"), ratio))
-    return found.select("page", F.col("r_seq").alias("seq")).distinct()
+def _unsure(rows: DataFrame, folded: DataFrame, ratio: float) -> DataFrame:
+    """Kept windows that have a rival among the page's rows."""
+    rivals = F.filter("kept", lambda k: _rival(k, _window(), ratio))
+    return _met(rows, folded).select("page", F.explode(rivals).alias("k")).select("page", "k.seq").distinct()
 
 
 def diverse_top_k(

@@ -53,10 +53,24 @@ def test_suppression_is_the_same_by_fold_rounds_and_mix(windows, abstain):
     _, df = windows
     fold = by_page(K.suppress(df, abstain))
     assert by_page(K.suppress_rounds(df, abstain)) == fold
+    assert by_page(K.suppress_rounds(df, abstain, chunk=3, large_page=9)) == fold
     assert by_page(K.suppress(df, abstain, fold_limit=15)) == fold
     assert all(len(seqs) <= 4 for seqs in fold.values())
 
 
+def test_a_chain_of_overlaps_needs_no_pairs(spark):
+    # each window hides the next one only; then a thousand copies of a better one, and a page without a name
+    chain = [(1, f"{n:05d}", 10.0 * n, 0.0, 10.0 * n + 64, 64.0, 9.0 - n / 1000) for n in range(2000)]
+    copies = [(1, f"c{n:04d}", 0.0, 500.0, 64.0, 564.0, 20.0) for n in range(1000)]
+    unnamed = [(None, "a", 0.0, 0.0, 64.0, 64.0, 2.0), (None, "b", 0.0, 0.0, 64.0, 64.0, 2.0)]
+    schema = "page bigint, seq string, x0 double, y0 double, x1 double, y1 double, score double"
+    df = spark.createDataFrame(chain + copies + unnamed, schema)
+    for chunk, large in ((2, 5000), (256, 100)):
+        found = K.suppress_rounds(df, abstain=False, chunk=chunk, large_page=large)
+        assert by_page(found) == {1: ["c0000", "00000", "00002", "00004"], None: ["a"]}
+    assert K.suppress_rounds(df.where("false")).isEmpty()
+
+
 def test_what_is_suppressed_has_a_better_window_that_is_not(windows):
     pages, df = windows
     kept = by_page(K.suppress(df, abstain=False, limit=1000))
