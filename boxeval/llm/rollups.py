@@ -6,6 +6,10 @@ changes becomes signed sums by source, language and tokenizer version, and is
 committed as one partition of the rollup table.  Committing a batch again
 replaces that partition: however often a batch is sent, it counts once.
 Totals are the sums over all batches.
+
+``compact`` adds the batches so far to stored totals and closes them, so that
+a read meets the batches since then only.  Closed batches are in a ledger, and
+one that is sent again changes nothing.
 """
 
 from __future__ import annotations
@@ -13,8 +17,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boxeval.streaming.sinks import remove_folder
+
 GROUP = ("source", "language", "tokenizer")
 SCHEMA = "source string, language string, tokenizer string, n_fixtures bigint, n_tokens bigint, batch_id bigint"
+#: Below the table: one folder for each compaction.  Readers of partitions pass over names like this.
+_STORED = "_stored"
 
 
 def signed_sums(changes: DataFrame) -> DataFrame:
@@ -40,9 +48,11 @@ def commit(changes: DataFrame, table: str) -> None:
 
     Each batch has to be whole.  A commit that broke off is mended by sending
     it again.  Changes without a batch id can't be sent twice and are refused.
+    Batches that ``compact`` has closed are passed over.
     """
     known = F.when(F.col("batch_id").isNull(), F.raise_error(F.lit("a change has no batch_id"))).otherwise(F.col("batch_id"))
     sums = signed_sums(changes).withColumn("batch_id", known.cast("long"))
+    sums = _open(sums, table)
     # a batch is a few rows: one file each
     sums.select(*GROUP, "n_fixtures", "n_tokens", "batch_id").repartition("batch_id").write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
@@ -54,5 +64,60 @@ def totals(spark: SparkSession, table: str) -> DataFrame:
 
     Groups whose fixtures have all been deleted stay, with zeros.
     """
-    rows = spark.read.schema(SCHEMA).parquet(table)
+    rows = _open(spark.read.schema(SCHEMA).parquet(table), table).drop("batch_id")
+    last = _last_stored(spark, table)
+    return _summed(rows.unionByName(spark.read.parquet(f"{last}/totals")) if last else rows)
+
+
+def compact(spark: SparkSession, table: str) -> None:
+    """Add all committed batches to the stored totals, close them and delete their partitions.
+
+    The ledger of closed batches is written before the totals, which are made
+    from the batches in it, and a mark after them: what broke off before that
+    mark does not count and is written again by the next call, and what broke
+    off after it is cleared away then.  Batches may be committed meanwhile, but
+    none that has been committed before; and nothing may read meanwhile.
+    """
+    rows, last = spark.read.schema(SCHEMA).parquet(table), _last_stored(spark, table)
+    number = int(last.rsplit("/", 1)[1]) + 1 if last else 1
+    folder = f"{table}/{_STORED}/{number}"
+    seen = rows.select("batch_id").distinct()
+    ledger = seen.unionByName(spark.read.parquet(f"{last}/closed")).distinct() if last else seen
+    ledger.write.mode("overwrite").parquet(f"{folder}/closed")
+    closing = _open(rows.join(spark.read.parquet(f"{folder}/closed"), "batch_id", "left_semi"), table).drop("batch_id")
+    stored = closing.unionByName(spark.read.parquet(f"{last}/totals")) if last else closing
+    _summed(stored).write.mode("overwrite").parquet(f"{folder}/totals")
+    files, mark = _files(spark, f"{folder}/whole")
+    files.create(mark, True).close()
+    for batch in seen.join(spark.read.parquet(f"{folder}/closed"), "batch_id", "left_semi").toLocalIterator():
+        remove_folder(spark, f"{table}/batch_id={batch.batch_id}")
+    for older in _stored_numbers(spark, table):
+        if older < number:
+            remove_folder(spark, f"{table}/{_STORED}/{older}")
+
+
+def _summed(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*GROUP).agg(F.sum("n_fixtures").alias("n_fixtures"), F.sum("n_tokens").alias("n_tokens"))
+
+
+def _open(rows: DataFrame, table: str) -> DataFrame:
+    """Rows of batches that are not closed."""
+    last = _last_stored(rows.sparkSession, table)
+    return rows.join(rows.sparkSession.read.parquet(f"{last}/closed"), "batch_id", "left_anti") if last else rows
+
+
+def _last_stored(spark: SparkSession, table: str) -> str | None:
+    """The folder of the last compaction that came to its end."""
+    whole = [n for n in _stored_numbers(spark, table) if files.exists(_files(spark, f"{table}/{_STORED}/{n}/whole")[1])]
+    return f"{table}/{_STORED}/{max(whole)}" if whole else None
+
+
+def _stored_numbers(spark: SparkSession, table: str) -> list[int]:
+    files, root = _files(spark, f"{table}/{_STORED}")
+    return [int(f.getPath().getName()) for f in files.listStatus(root)] if files.exists(root) else []
+
+
+def _files(spark: SparkSession, path: str):
+    """The store that ``path`` is in, and the path in it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place

@@ -5,7 +5,7 @@ import pytest
 from pyspark.errors import PySparkException
 
 from boxeval.llm.queries import ORACLES, QUERIES
-from boxeval.llm.rollups import commit, signed_sums, totals
+from boxeval.llm.rollups import commit, compact, signed_sums, totals
 from boxeval.session import checkpoint_root
 
 SF = "/root/testdata/sf0.001"
@@ -49,6 +49,28 @@ def test_empty_batches(spark, table):
     assert found(spark, table) == {A: (2, 20), B: (1, 7), N: (1, 0)}
 
 
+def test_closed_batches_stay_counted_and_count_once(spark, table):
+    commit(changes(spark, FIRST), table)
+    compact(spark, table)
+    assert spark.read.parquet(f"{table}/_stored/1/totals").count() == 3
+    assert found(spark, table) == {A: (2, 20), B: (1, 7), N: (1, 0)}
+    commit(changes(spark, FIRST + SECOND), table)
+    assert found(spark, table) == {A: (2, 14), B: (0, 0), N: (1, 3)}
+    # one that broke off before its end does not count, though it has a ledger
+    spark.range(2, 3).withColumnRenamed("id", "batch_id").write.parquet(f"{table}/_stored/2/closed")
+    assert found(spark, table) == {A: (2, 14), B: (0, 0), N: (1, 3)}
+    # a partition that a compaction closed but could not delete is not counted again
+    first = signed_sums(changes(spark, FIRST)).drop("batch_id")
+    first.select("source", "language", "tokenizer", "n_fixtures", "n_tokens").write.parquet(f"{table}/batch_id=1")
+    assert found(spark, table) == {A: (2, 14), B: (0, 0), N: (1, 3)}
+    compact(spark, table)
+    compact(spark, table)
+    assert found(spark, table) == {A: (2, 14), B: (0, 0), N: (1, 3)}
+    # late batches may have any number
+    commit(changes(spark, [*SECOND, (-5, "delete", *A, 4, None)]), table)
+    assert found(spark, table) == {A: (1, 10), B: (0, 0), N: (1, 3)}
+
+
 def test_a_change_without_a_batch_is_refused(spark, table):
     with pytest.raises(PySparkException, match="no batch_id"):
         commit(changes(spark, [(None, "insert", *A, 1, None)]), table)
