@@ -108,7 +108,8 @@ def _open(rows: DataFrame, table: str) -> DataFrame:
 
 def _last_stored(spark: SparkSession, table: str) -> str | None:
     """The folder of the last compaction that came to its end."""
-    whole = [n for n in _stored_numbers(spark, table) if files.exists(_files(spark, f"{table}/{_STORED}/{n}/whole")[1])]
+    marks = {n: _files(spark, f"{table}/{_STORED}/{n}/whole") for n in _stored_numbers(spark, table)}
+    whole = [n for n, (files, mark) in marks.items() if files.exists(mark)]
     return f"{table}/{_STORED}/{max(whole)}" if whole else None
 
 
